@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import substring, suffixarray
+from shelfscope.llm import decontam, exact, langid, minhash, substring, suffixarray
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,10 +30,39 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact.duplicates(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_sha256")).alias("text_sha256"))
+
+
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the labelled documents that are not held out."""
+    return langid.train(docs.where((_fold(3) != 1) & F.col("lang").isNotNull()))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = langid.predict(docs, language_model(docs))
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_language_id": op6_language_id,
+        "op7_decontamination": op7_decontamination,
     }
 
 
