@@ -184,12 +184,13 @@ def _hits(items: list, hashes: np.ndarray, bounds: np.ndarray, window: int):
     return run
 
 
-def _scan(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _finder(items: DataFrame, window: int):
+    """The block of items, on the driver, as the function that looks it up in shards."""
     table = items.toArrow().combine_chunks()
     text = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     buf, offsets = column_bytes(text)
     words = Words(lower(buf), offsets, ALNUM)
-    return docs.mapInArrow(_hits(table.column("item").to_pylist(), words.hash, words.first, window), FOUND)
+    return _hits(table.column("item").to_pylist(), words.hash, words.first, window)
 
 
 def _union_size(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,19 +206,44 @@ def _union_size(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words")), pa.array(sizes, pa.int64()), batch.column("items"), batch.column("longest")], ["doc_id", "n_words", "n_hit", "items", "longest"])
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> list[DataFrame]:
+    """The items in blocks of about block_words words."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    n_words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")
+    n = max(1, -(-(items.agg(F.sum(n_words)).first()[0] or 0) // block_words))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    return [items if n == 1 else items.where(part == k) for k in range(n)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), longest (words of the longest verbatim
     match) and contaminated, a row for each row of docs. With several blocks, rows of one id count
     as one document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
-    n_words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")
-    blocks = -(-(items.agg(F.sum(n_words)).first()[0] or 0) // block_words)
-    if blocks <= 1:
-        out = _scan(docs, items, window).drop("spans")
+    scans = [docs.mapInArrow(_finder(b, window), FOUND) for b in _blocks(benchmark, item_col, item_text_col, block_words)]
+    if len(scans) == 1:
+        out = scans[0].drop("spans")
     else:
-        part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-        scans = reduce(DataFrame.unionByName, (_scan(docs, items.where(part == k), window) for k in range(blocks)))
-        out = scans.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+        out = reduce(DataFrame.unionByName, scans).groupBy("doc_id")
+        out = out.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
         out = out.mapInArrow(_union_size, "doc_id long, n_words long, n_hit long, items array<string>, longest long")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() doesn't mark. No row moves
+    between tasks."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(_unmarked(_finder(block, window), at), docs.schema)
+    return docs
+
+
+def _unmarked(find, at: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
+            hit = [x for out in find([texts]) for x in out.column("n_hit").to_pylist()]
+            yield batch.filter(pa.array([n == 0 for n in hit], pa.bool_()))
+
+    return run

@@ -191,3 +191,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is recognised: those that predict()
+    doesn't mark rejected. No row moves between tasks."""
+    dims, at = len(model.idf), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b, counts in _blocks(batches, at, dims):
+            good = np.zeros(b - a, bool)
+            some = np.flatnonzero(counts.sum(axis=1) > 0)
+            if model.languages and len(some):
+                good[some] = model.best(counts[some]).max(axis=1) >= model.floor[length_class(counts[some])]
+            yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
