@@ -4,8 +4,8 @@ The documents' digests are streamed through keyed state on disk (RocksDB, checkp
 shared folder, without watermark or expiry). The state of a digest holds the stable identifier
 (the largest id so far), the number of rows, and the content locator: the file and id at which the
 keeper's text stands. Each micro-batch emits the states it changed; the last state of a digest is
-the decision. A digest met more than once is a hit: the texts of its rows are looked up and
-compared in full with the located content, so that rows whose digests merely collide stay apart.
+the decision. A digest met more than once is a hit: the texts of its rows are looked up and compared
+byte for byte with each other, so that rows whose digests merely collide stay apart.
 
 A null text counts as empty. Null ids never beat an id; a group of null ids alone keeps its rows.
 Repeated rows with one id and text are one document: each of them gets the same result. An empty
@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm import scratch
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "digest LONG, keep_id LONG, n LONG, file STRING"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lives in RocksDB; a partition's store is closed once its part of a micro-batch is committed
+#: to the shared folder, so that executors hold few open stores and little disk at a time.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def stream_states(feed_path: str, feed: DataFrame, per_trigger: int) -> DataFrame:
@@ -32,18 +36,20 @@ def stream_states(feed_path: str, feed: DataFrame, per_trigger: int) -> DataFram
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", per_trigger).parquet(feed_path)
         states = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"), F.max_by("file", "doc_id").alias("file"))
         query = states.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", scratch.path(spark, "exact-state")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     spark.createDataFrame([], _STATE).write.parquet(f"{updates}/batch=-1")  # an empty feed runs no batch
     seen = spark.read.schema(f"{_STATE}, batch LONG").parquet(updates)
     return seen.groupBy("digest").agg(F.max_by(F.struct("keep_id", "n", "file"), "batch").alias("s")).select("digest", "s.*")
@@ -64,12 +70,15 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     feed = spark.read.schema("doc_id LONG, digest LONG, file STRING, text_sha256 BINARY").parquet(where)
     states = scratch.save(stream_states(where, feed.select("digest", "doc_id", "file"), per_trigger), "exact-states")
 
-    hits = docs.join(states.where("n > 1").select("digest", "keep_id"), "digest").select("digest", "doc_id", "keep_id", "text")
-    content = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("content"))
-    checked = hits.join(content, "digest").select("digest", "doc_id", F.unhex(F.sha2("text", 256)).alias("text_sha256"), (F.col("text") == F.col("content")).alias("same"))
-    checked = checked.groupBy("digest", "text_sha256", "same").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Hits are looked up by id, so that a group with a third of all rows is spread over all tasks, and
+    # equal texts meet in full in each task before they are shuffled.
+    multiple = states.where("n > 1").select("digest")
+    hit_ids = feed.join(multiple.hint("merge"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+    texts = docs.join(hit_ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
+    checked = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    checked = checked.join(multiple.hint("merge"), "digest", "left_semi").select("digest", F.unhex(F.sha2("text", 256)).alias("text_sha256"), "keep_id", "group_size")
     checked = scratch.save(checked, "exact-checked")
 
-    singles = feed.join(states.where("n = 1").select("digest"), "digest", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    grouped = feed.join(checked.drop("same"), ["digest", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    singles = feed.join(states.where("n = 1").select("digest").hint("merge"), "digest", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    grouped = feed.join(checked.hint("merge"), ["digest", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     return singles.unionByName(grouped).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -10,14 +10,15 @@ half keys a pair of similarity 0.75 shares no table with a probability of 4e-6.
 2. Classes that share no half key with another in either collection drop out before tables are
    formed; the tables hold the rest.
 3. Candidates from each table bucket: every member with the bucket's least id, then, of those still
-   in different components, with its greatest, and at last all pairs that still lie in different
-   components. So a bucket of thousands of copies costs one comparison a member, and no link
-   between components is left untested.
+   in different components, with its greatest. So a bucket of thousands of copies costs one or two
+   comparisons a member. Members that still lie in different components are then compared through
+   what tells them from a common pivot (see _across): no link between components is left untested,
+   and no pair is formed that shares nothing else.
 4. Candidates are confirmed on the full shingle sets; confirmed links are joined to components by
    alternating star operations, all as shuffles by key.
 
 Null or empty texts have an empty set and are linked with nothing. Rows with a null id come back
-with null component and kept false. Repeated rows each come back. Rows with one id must have one
+with null component and are kept. Repeated rows each come back. Rows with one id must have one
 text. An empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm import scratch
@@ -106,7 +107,7 @@ def _confirm(part: int, whole: int):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(x, y) edges to (node, root) with the least node of each component, roots left out.
 
-    Alternates large-star and small-star until nothing changes; each pass halves distances.
+    Alternates large-star and small-star until every component is a star of its least node.
     """
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -122,20 +123,90 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = joined.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(least.where("m < u").select(F.col("u").alias("x"), F.col("m").alias("y")))
         return out.where("x > y").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Every node has one root, and no root has another."""
+        ends = e.select(F.col("x").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("y").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
     e = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x > y").distinct()
-    before = None
     for _ in range(rounds):
         e = scratch.save(star(star(e, small=False), small=True), "star")
-        now = mark(e)
-        if now == before:
+        if settled(e):
             return e.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        before = now
     raise RuntimeError("components did not settle")
 
 
+def _deltas(part: int, whole: int):
+    """Adds to a document what tells it from the pivot: its missing and added shingles (delta), their
+    weighed number (base), and by how much it falls short of a link with the pivot (gap)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps, bases, deltas = [], [], []
+            for cluster, own, pivot in zip(batch.column("cluster").to_pylist(), batch.column("items"), batch.column("pivot"), strict=True):
+                x, r = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
+                added, missing = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+                gaps.append(part * (len(r) + len(added)) - whole * (len(x) - len(added)))
+                bases.append(part * len(added) + whole * len(missing))
+                salt = np.uint64(cluster & 0xFFFFFFFFFFFFFFFF)
+                deltas.append(np.concatenate([mix(added * np.uint64(2) + np.uint64(1) ^ salt), mix(missing * np.uint64(2) ^ salt)]).view(np.int64))
+            sizes = np.r_[0, np.cumsum([len(d) for d in deltas])].astype(np.int32)
+            flat = np.concatenate(deltas) if deltas else np.zeros(0, np.int64)
+            delta = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "cluster", "root", "away")), pa.array(gaps, pa.int64()), pa.array(bases, pa.int64()), delta], ["doc_id", "cluster", "root", "away", "gap", "base", "delta"])
+
+    return run
+
+
+def _across(rows: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Candidates (x, y) among members (key, doc_id, root) of one bucket but different components.
+
+    Testing all of them would cost the square of a group of copies. Instead each cluster of mixed
+    buckets gets a pivot r, its most central document. Let x not be linked to r, with i common and u
+    united shingles, so that its gap g = part * u - whole * i is positive, and let y have D added and
+    M missing shingles relative to r. If x and y share s of what tells them from r, their similarity
+    is (i - M + s) / (u + D - s): a link needs s >= (part * D + whole * M + g) / (part + whole), about
+    half of what tells y from r and more. So one of the rarest rest of y's differences must be among
+    x's: mostly added words, which hardly any other copy has. The rest is smaller the greater g is;
+    gaps are classed by powers of two for the join, and compared exactly in it. Pairs found so are all
+    that can be linked.
+    """
+    ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc_id").alias("head"), F.count("*").alias("n")).where("low < high")
+    mixed = scratch.save(rows.join(ends.select("key", "head", "n"), "key"), "mixed")
+    clusters = components(mixed.select(F.col("doc_id").alias("x"), F.col("head").alias("y"))).withColumnRenamed("root", "cluster")
+    members = mixed.groupBy("doc_id", "root").agg(F.sum("n").alias("mates")).join(clusters, F.col("doc_id") == F.col("node"), "left")
+    members = scratch.save(members.select("doc_id", "root", "mates", F.coalesce("cluster", "doc_id").alias("cluster")), "members")
+    pivots = members.groupBy("cluster").agg(F.max_by(F.struct("doc_id", "root"), F.struct("mates", -F.col("doc_id"))).alias("p")).select("cluster", F.col("p.doc_id").alias("r"), F.col("p.root").alias("r_root"))
+    pivots = pivots.join(sets.select(F.col("doc_id").alias("r"), F.col("items").alias("pivot")), "r")
+    told = members.join(pivots, "cluster").withColumn("away", F.col("root") != F.col("r_root")).join(sets, "doc_id")
+    deltas = told.select("doc_id", "cluster", "root", "away", "items", "pivot").mapInArrow(_deltas(part, whole), "doc_id long, cluster long, root long, away boolean, gap long, base long, delta array<long>")
+    deltas = scratch.save(deltas, "deltas")
+    to_pivot = deltas.where("away AND gap <= 0").join(pivots.select("cluster", "r"), "cluster").select(F.least("doc_id", "r").alias("x"), F.greatest("doc_id", "r").alias("y"))
+
+    def bits(n: Column) -> Column:
+        return F.length(F.bin(n))
+
+    each = deltas.withColumn("apart", F.col("away") & (F.col("gap") > 0)).select("doc_id", "root", "apart", "gap", "base", F.size("delta").alias("size"), F.explode("delta").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("n"), F.bool_or("apart").alias("useful"))
+    ranked = each.join(often, "e").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "e")))
+    # The n-th rarest difference need only be looked up for gaps below this.
+    room = (part + whole) * (F.col("size") - F.col("nth") + 1) - F.col("base")
+    low = F.when(F.col("apart"), bits(F.col("gap"))).otherwise(F.lit(1))
+    shared = ranked.where("n > 1 AND useful")
+    probes = shared.withColumn("room", room).where("room > 0").withColumn("low", low).withColumn("high", bits(F.col("room"))).where("low <= high")
+    probes = probes.select("e", F.explode(F.sequence("low", "high")).alias("class"), *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "root", "apart", "gap", "base", "size", "nth")))
+    index = shared.where("apart").select("e", bits(F.col("gap")).alias("class"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "root", "gap", "size", "nth")))
+    # Exactly, for both sides: what they share cannot all come later than this place. Of two that are
+    # both apart, the one with the greater gap is looked up.
+    need = F.ceil((F.col("b_base") + F.col("a_gap")) / (part + whole))
+    near = (F.col("b_nth") + need <= F.col("b_size") + 1) & (F.col("a_nth") + need <= F.col("a_size") + 1)
+    once = ~F.col("b_apart") | (F.struct("a_gap", "a_doc_id") > F.struct(F.col("b_gap"), F.col("b_doc_id")))
+    differ = (F.col("a_doc_id") != F.col("b_doc_id")) & (F.col("a_root") != F.col("b_root"))
+    met = probes.alias("p").join(index.alias("i"), (F.col("p.e") == F.col("i.e")) & (F.col("p.class") == F.col("i.class")) & near & once & differ)
+    found = met.select(F.least("a_doc_id", "b_doc_id").alias("x"), F.greatest("a_doc_id", "b_doc_id").alias("y"))
+    return found.unionByName(to_pivot).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, part: int = 75, whole: int = 100, half_keys: int = 16) -> DataFrame:
     """Groups documents linked by a similarity of at least part / whole.
 
@@ -178,18 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(starred(tables.withColumn("root", F.col("doc_id")), F.min), "links")
     roots = components(links)
-    links = links.unionByName(confirmed(starred(labelled(tables, roots), F.max), "links"))
-    roots = components(links)
-    mixed = labelled(tables, roots)
-    buckets = mixed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    mixed = scratch.save(mixed.join(buckets, "key", "left_semi"), "mixed")
-    one, two = (mixed.select("key", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy")
-    rest = one.join(two, "key").where("x < y AND root_x <> root_y").select("x", "y").distinct()
-    links = links.unionByName(confirmed(rest, "links"))
-    roots = components(links)
+    for candidates in (lambda rows: starred(rows, F.max), lambda rows: _across(rows, sets, part, whole)):
+        found = confirmed(candidates(labelled(tables, roots)), "links")
+        if not found.isEmpty():
+            # Known components stand for their links, so only what is new has to be joined.
+            links = roots.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(found)
+            roots = components(links)
 
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     out = out.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.col("doc_id").isNull()).alias("kept"))

@@ -110,6 +110,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(small(plan.select("number", "quota", "blocks")), "number")
     runs = runs.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).where("from < to")
+    # The few runs stand for many slots, so they are dealt out before they are unfolded.
+    runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "shard")
     slots = runs.select("number", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
     salt = F.xxhash64("number", F.expr("slot div blocks"), F.lit(seed))
     taken = slots.select("number", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), salt).alias("index")).groupBy("number", "index").agg(F.count("*").alias("times"))

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PRICE_POINT = "struct<price:double,available:boolean>"
-PRODUCT = T.StructType.fromDDL(
+PRODUCT = (
     "origin string, key string, identity_key string, name string, brand string, price double, currency string, "
     "price_usd double, available boolean, url string, gtin string, sku string, slug string, tokens array<string>, "
     "trigrams array<string>, first_seen_at timestamp, last_seen_at timestamp, price_updated_at timestamp, "
     "price_history array<struct<t:timestamp,price:double,available:boolean>>"
 )
-EVENT = T.StructType.fromDDL(f"origin string, key string, identity_key string, type string, name string, url string, old {PRICE_POINT}, new {PRICE_POINT}, at timestamp")
-SNAPSHOT = T.StructType.fromDDL("origin string, key string, finished_at timestamp, full boolean, added long, removed long, price_changed long, stock_changed long, renamed long, products long")
-RAW_ROW = T.StructType.fromDDL("origin string, name string, brand string, price double, currency string, available boolean, url string, sku string, gtin string, ord long")
+EVENT = f"origin string, key string, identity_key string, type string, name string, url string, old {PRICE_POINT}, new {PRICE_POINT}, at timestamp"
+SNAPSHOT = "origin string, key string, finished_at timestamp, full boolean, added long, removed long, price_changed long, stock_changed long, renamed long, products long"
+RAW_ROW = "origin string, name string, brand string, price double, currency string, available boolean, url string, sku string, gtin string, ord long"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
