@@ -7,8 +7,9 @@ bytes one blank), hashed to `dims` places and scaled to length one. Each languag
 labelled texts. A text takes the language of the centroid of greatest cosine.
 
 Rejection: short texts have smaller cosines, so each class of lengths (powers of two of trigram
-counts) has a threshold of its own, `slack` times the least cosine of sample texts with their own
-language. A text below it is marked rejected; its nearest language is still named.
+counts) has a threshold of its own, `slack` times the cosine with their own language that all but a
+share `tail` of all labelled texts of that class reach. A text below it is marked rejected; its
+nearest language is still named.
 
 The score is the nearest language's share among the languages' best cosines after a soft maximum,
 between 0 and 1. A text that is null or has no letter gets `und`, score 0, rejected. Rows with null
@@ -30,6 +31,8 @@ from shelfscope.llm.textbytes import lower, slices
 _LETTERS = np.zeros(256, bool)
 _LETTERS[list(range(97, 123)) + list(range(128, 256))] = True
 _CLASSES = 32
+#: Cosines are counted in bins of this width's inverse.
+_BINS = 512
 
 
 def trigrams(buf: np.ndarray, offsets: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +122,28 @@ def document_frequencies(texts: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return out[:dims], int(out[dims])
 
 
+def own_cosines(labelled: DataFrame, model: Model) -> np.ndarray:
+    """How many of all labelled texts of each length class have a cosine with their own language in
+    each bin; only these sums reach the driver."""
+    dims, number = len(model.idf), {k: i for i, k in enumerate(model.languages)}
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((_CLASSES, _BINS + 1), np.int64)
+        for batch, a, b, counts in _blocks(batches, 0, dims):
+            own = np.array([number.get(x, -1) for x in batch.column(1)[a:b].to_pylist()])
+            some = (own >= 0) & (counts.sum(axis=1) > 0)
+            if some.any():
+                fit = np.take_along_axis(model.best(counts[some]), own[some, None], axis=1)[:, 0]
+                np.add.at(seen, (length_class(counts[some]), (np.clip(fit, 0, 1) * _BINS).astype(int)), 1)
+        cls, at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(at), pa.array(seen[cls, at])], ["class", "bin", "n"])
+
+    rows = labelled.select("text", "lang").mapInArrow(count, "class long, bin long, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((_CLASSES, _BINS + 1), np.int64)
+    out[rows["class"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
 def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from spread-out rows."""
     draw = np.random.Generator(np.random.PCG64(seed))
@@ -132,7 +157,7 @@ def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, slack: float = 0.5, most_languages: int = 200) -> Model:
+def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, slack: float = 0.5, tail: float = 0.001, most_languages: int = 200) -> Model:
     """labelled: doc_id, text, lang. Fits on at most `sample` texts of each of the `most_languages`
     most frequent languages."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
@@ -153,16 +178,17 @@ def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: i
     label = np.array([languages.index(x) for x in own], int)
     full = counts.sum(axis=1) > 0
     counts, label = counts[full], label[full]
+    if not len(label):
+        model.languages = []
+        return model
     x = model.weigh(counts)
     centers = [_cluster(x[label == k][:sample], per_language, k) for k in range(len(languages)) if (label == k).any()]
     model.languages = [v for k, v in enumerate(languages) if (label == k).any()]
-    kept = [k for k in range(len(languages)) if (label == k).any()]
     model.centroids = np.concatenate(centers)
     model.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers])
-    best, cls = model.best(counts), length_class(counts)
-    fit = best[np.arange(len(label)), [kept.index(v) for v in label]]
-    least = np.array([fit[cls == c].min() if (cls == c).any() else np.inf for c in range(_CLASSES)])
-    # A class without sample texts takes the threshold of the nearest shorter one.
+    upto = np.cumsum(own_cosines(labelled, model), axis=1)
+    least = np.where(upto[:, -1] > 0, (upto > tail * upto[:, -1:]).argmax(axis=1) / _BINS, np.inf)
+    # A class without texts takes the threshold of the nearest shorter one.
     for c in range(_CLASSES):
         if np.isinf(least[c]):
             least[c] = least[c - 1] if c and not np.isinf(least[c - 1]) else 0.0
