@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, decontam, exact, langid, minhash, mixing, quality, substring, suffixarray, urlgraph
+from shelfscope.llm import chat, decontam, exact, langid, minhash, mixing, oracle, quality, substring, suffixarray, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 #: Rules of the production filter: host, path, verdict.
@@ -106,4 +106,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_minhash_near_dedup": oracle.OP1,
+        "op2_substring_dedup": oracle.OP2,
+        "op3_chat_format": oracle.OP3,
+        "op4_suffix_array_dedup": oracle.OP4,
+        "op5_exact_dedup": oracle.OP5,
+        "op7_decontamination": oracle.OP7,
+    }
