@@ -1,12 +1,14 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 1. Each source's documents, in a fixed order, form one stream of words; it is cut into blocks of
-   `block` words, of which the last may be shorter.
+   `block` words, of which the last may be shorter. A source too small for LEAST_BLOCKS such blocks
+   has shorter ones, of one word at least.
 2. Sources, by code point with null last, have the weights in turn and share `budget` of all words;
    a target stops at `cap` times its source's size and the excess goes to the others by weight.
 3. The output is shards of `shard` slots, a block each. For each shard the source counts are drawn
-   from the multinomial of the targets. Draws beyond a source's quota are void, and what is missing
-   at the end comes in one more shard, so that each source ends within a block or so of its target.
+   from the multinomial of the quotas. A quota is the target in the source's own mean block, rounded.
+   Draws beyond it are void, and what is missing at the end comes in one more shard, so that each
+   source ends within a block or so of its target.
 4. A source's slots are numbered through all shards; slot r is block perm(r mod blocks) of pass
    r div blocks. Each pass has its own pseudorandom permutation (the swap-or-not shuffle, a
    bijection for any number of blocks), so a block comes again only after all others have come.
@@ -29,6 +31,8 @@ from shelfscope.llm import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables that have been counted to have no more rows than this are broadcast.
 SMALL = 50_000
+#: Blocks into which a source is cut at least, as far as it has words.
+LEAST_BLOCKS = 16
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -96,10 +100,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     parts = rows.count() // part + 1
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, budget, cap).withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    plan = scratch.save(plan.withColumn("quota", F.least(F.floor(F.col("target") / block + 0.5), cap * F.col("blocks"))), "mix-plan")
+    plan = targets(sizes, weights, budget, cap).withColumn("block", F.expr(f"least({block}L, greatest(1L, source_size div {LEAST_BLOCKS}))"))
+    plan = plan.withColumn("blocks", F.expr("(source_size + block - 1) div block"))
+    wanted = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0)
+    plan = scratch.save(plan.withColumn("quota", F.least(wanted, cap * F.col("blocks"))), "mix-plan")
 
-    known = plan.select(F.col("source").alias("name"), "number", "source_size", "target")
+    known = plan.select(F.col("source").alias("name"), "number", "source_size", "target", "block")
     rows = rows.join(small(known), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("number", "part").agg(F.sum("size").alias("total")).select("number", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
@@ -116,8 +122,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     salt = F.xxhash64("number", F.expr("slot div blocks"), F.lit(seed))
     taken = slots.select("number", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), salt).alias("index")).groupBy("number", "index").agg(F.count("*").alias("times"))
 
-    cut = placed.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("start", F.col("index") * block)
+    cut = placed.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block")))))
+    words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("block")) - F.greatest("start", F.col("index") * F.col("block"))
     joined = cut.join(taken, ["number", "index"], "left").withColumn("words", F.coalesce(words * F.col("times"), F.lit(0)))
     keys = ["row", "doc_id", "source", "size", "source_size", "target"]
     return joined.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken")).drop("row")

@@ -298,6 +298,18 @@ def test_mixing(spark):
     assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
+def test_mixing_small_sources(spark):
+    sizes = {"a": 100_000, "b": 60, "c": 130, "d": 300, "e": 1, "f": 0, "g": 4095, "h": 5000}
+    rows = [(i, " ".join("w" * min(50, n - at)), s) for i, (s, n, at) in enumerate((s, n, at) for s, n in sizes.items() for at in range(0, max(n, 1), 50))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want, taken = brute_targets(sizes), Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(taken[s] == 2 * sizes[s] for s in "bcdef")
+    assert all(abs(taken[s] - want[s]) <= 256 for s in sizes)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 100):
         out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("p"))
