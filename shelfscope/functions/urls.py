@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.wordlists import JUNK_SEGMENTS, LANDING_PLACES, SECTION_SEGMENTS
 
 URL = r"(?is)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^?#]*)"
+ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 PRODUCT_BASE = r"(?i)/products?/[a-z0-9_-]+"
 PRODUCT_PATHS = r"(?i)/products?/[a-z0-9_-]+|/dp/[a-z0-9_-]+|/item/[a-z0-9_-]+|/shop/[a-z0-9_-]+/[a-z0-9_-]+"
 LINK_PRODUCT = r"(?i)/(product|products|item|dp|p)/[a-z0-9_-]+|/shop/(?:[a-z0-9_-]+/)+[a-z0-9_-]+"
@@ -178,6 +179,23 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
+def address(u: Column) -> Column:
+    """The form in which absolute URLs are compared: scheme and host in lower case, no default port,
+    no dot segments, non-ASCII characters percent-encoded, no fragment."""
+    plain = F.regexp_replace(F.trim(u), "(?s)#.*$", "")
+    origin = F.regexp_replace(F.lower(F.regexp_extract(plain, ORIGIN, 1)), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+    rest = F.regexp_replace(plain, ORIGIN, "")
+    bare = F.regexp_replace(F.regexp_replace(rest, r"(?s)\?.*$", ""), r"(^|/)(\.\.?)$", "$1$2/")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.split(F.regexp_replace(bare, "^/", ""), "/"), F.array().cast("array<string>"), step)
+    whole = F.concat(origin, F.lit("/"), F.array_join(parts, "/"), F.regexp_extract(rest, r"(?s)\?.*$", 0))
+    coded = F.transform(F.split(whole, ""), lambda c: F.when(c == " ", "%20").when(c > "~", F.url_encode(c)).otherwise(c))
+    return F.when(whole.rlike("[^!-~]"), F.array_join(coded, "")).otherwise(whole)
+
+
 def same_origin(a: Column, b: Column) -> Column:
     root = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
     return F.lower(F.regexp_extract(a, root, 1)) == F.lower(F.regexp_extract(b, root, 1))

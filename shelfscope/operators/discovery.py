@@ -80,16 +80,28 @@ def resumed(found: DataFrame, state: DataFrame) -> DataFrame:
     return both.withColumn("skip", F.coalesce((F.col("lastmod") == F.col("stored_lastmod")), F.lit(False)))
 
 
+def crawl_roots(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Where the crawl of each origin starts: its home page; if that is not among the pages, those that
+    no other page links to; if there are none, the first by url."""
+    linked = links.where("src <> dst").select(F.col("dst").alias("url")).distinct().withColumn("linked", F.lit(True))
+    origin = F.regexp_extract("url", urls.ORIGIN, 1)
+    kind = F.when(F.col("url") == F.concat(origin, F.lit("/")), 0).when(F.col("linked").isNull(), 1).otherwise(2)
+    rows = pages.where("url IS NOT NULL").distinct().join(linked, "url", "left").withColumn("kind", kind)
+    order = Window.partitionBy(origin).orderBy("kind", F.when(F.col("kind") == 2, F.col("url")))
+    return rows.withColumn("place", F.rank().over(order)).where("place = 1").select("url")
+
+
 def link_bfs(links: DataFrame, roots: DataFrame, depth: int = 3, most_pages: int = 60) -> DataFrame:
     """Pages reached from roots over (src, dst) within a depth, by levels; of each level the first by
-    url until the page limit, which is part of the crawl's politeness."""
+    url until the page limit of the origin's crawl, which is part of its politeness."""
     seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
     for level in range(1, depth + 1):
         found = edge.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
         edge = checkpointed(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(edge)
-    return seen.orderBy("depth", "url").limit(most_pages)
+    order = Window.partitionBy(F.regexp_extract("url", urls.ORIGIN, 1)).orderBy("depth", "url")
+    return seen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most_pages).drop("nth")
 
 
 def link_hosts(links: DataFrame, own: str, most: int = 5) -> DataFrame:

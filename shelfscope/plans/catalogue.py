@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions import cursors, names, times, urls
 from shelfscope.operators import discovery, matching, metrics, readpath
 from shelfscope.sources import extract
+from shelfscope.sources.stored import checkpointed
 from shelfscope.sources.tables import read
 
 AS_OF = "2024-01-31 00:00:00"
@@ -86,12 +87,18 @@ def script_stripped(spark, d):
     return _pages(spark, d).select("page_id", F.length(clean).cast("long").alias("n"), F.length(urls.strip_html(clean)).cast("long").alias("text_n"))
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): the distinct links of pages (url, html) to urls of the same origin."""
+    page = urls.address(F.col("url"))
+    links = pages.select(page.alias("src"), F.explode(extract.anchors(F.col("html"))).alias("href"))
+    links = links.select("src", urls.address(urls.absolute(F.col("href"), F.col("src"))).alias("dst"))
+    return links.where(urls.same_origin(F.col("src"), F.col("dst"))).distinct()
+
+
 def link_bfs(spark, d):
     p = _pages(spark, d)
-    links = p.select(F.lit("/").alias("src"), urls.path(F.col("url")).alias("dst"))
-    inner = p.select(urls.path(F.col("url")).alias("src"), F.explode(F.slice(extract.anchors(F.col("html")), 1, 2)).alias("dst"))
-    roots = spark.createDataFrame([("/",)], "url string")
-    return discovery.link_bfs(links.unionByName(inner).distinct(), roots, depth=2)
+    links = checkpointed(page_links(p))
+    return discovery.link_bfs(links, discovery.crawl_roots(p.select(urls.address(F.col("url")).alias("url")), links))
 
 
 def name_tokens(spark, d):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import duckdb
 import pytest
@@ -52,3 +54,39 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_link_bfs_by_brute_force(spark, tmp_path):
+    a = lambda *links: "".join(f'<a class="x" href="{x}">l</a>' for x in links)
+    pages = [
+        ("https://a.example/", a("/1", "https://other.example/x", "mailto:a@b", "shop/3", "HTTPS://A.example/4", "//a.example/ü", "#top")),
+        ("https://a.example/shop/3", a("5", "../6?q=1", "./deep/", "?page=2", "/1")),
+        ("https://a.example/shop/5#top", a("/7")),
+        ("https://a.example/shop/deep/", a("..", "8", "9", "10")),
+        ("https://a.example/7", a("/too-deep")),
+        ("https://a.example/lost", a("/lost/2")),
+        ("http://b.example/x", a("y", "z", "w")),
+        ("http://b.example/w", a("/x", "v")),
+        ("http://c.example/2", a("/1")),
+        ("http://c.example/1", a("/2", "/3", "/3")),
+        ("http://many.example", a(*(f"/{i:03}" for i in range(90)))),
+        (None, a("/none")),
+    ]
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    known = {}
+    for url, html in pages[:-1]:
+        url = urldefrag(urljoin(url, urlsplit(url).path or "/"))[0]
+        found = [urldefrag(urljoin(url, x))[0].replace("ü", "%C3%BC") for x in re.findall('href="([^"#]+)"', html)]
+        known[url] = [re.sub("(?i)^https://a.example", "https://a.example", x) for x in found]
+    site = lambda u: "/".join(u.split("/")[:3])
+    want = {}
+    for root in ("https://a.example/", "http://b.example/w", "http://c.example/1", "http://many.example/"):
+        level, seen = [root], {root: 0}
+        for depth in (1, 2, 3):
+            level = sorted({x for u in level for x in known.get(u, []) if site(x) == site(root)} - set(seen))
+            seen |= dict.fromkeys(level, depth)
+        want |= dict(sorted(seen.items(), key=lambda x: x[::-1])[:60])
+    got = plans.queries()["link_bfs"](spark, str(tmp_path)).collect()
+    assert {r.url: r.depth for r in got} == want and len(got) == len(want)
+    assert "https://a.example/shop/deep/10" in want and "https://a.example/6?q=1" in want and "https://a.example/too-deep" not in want
