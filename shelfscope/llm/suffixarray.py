@@ -17,7 +17,8 @@ text costs one dictionary entry. Suffixes are ordered by hash instead of alphabe
 within the window and corpus order count here. Every sort is a Spark shuffle by key.
 
 Null or empty texts have no bytes; rows with a null id are never compared and keep their bytes.
-Rows with one id must have one text. An empty table gives an empty result.
+Rows with one id must have one text; repeated rows are
+parsed once and each keep what one would. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,6 +100,14 @@ def _cut(window: int):
     return run
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """texts with each (id, text) once; only texts of repeated ids are shuffled for it."""
+    again = scratch.save(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return texts
+    return texts.join(again, "doc_id", "left_anti").unionByName(texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, gram: int = 50) -> DataFrame:
     """Removes every byte covered by a `window`-byte string that also starts earlier: in a document
     of smaller id, or in the same one at an earlier start.
@@ -107,7 +116,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each row of docs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # A repeated row must not stand before itself.
+    texts = _once(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
     parse = texts.mapInArrow(_parse(window, gram), PRINTS)
     phrase = Window.partitionBy("fp", "dig").orderBy("doc_id", "span")
     trigger = Window.partitionBy("fp")

@@ -96,6 +96,13 @@ def test_suffix_array_dedup(spark):
     assert got == want
 
 
+def test_suffix_array_dedup_repeated_rows(spark):
+    rows = corpus(2)
+    once = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffixarray.remove_repeats(frame(spark, rows)).collect()}
+    got = [(r.doc_id, (r.n_removed, bytes(r.kept))) for r in suffixarray.remove_repeats(frame(spark, [*rows, *rows[:16], rows[0]])).collect()]
+    assert len(got) == len(rows) + 17 and all(once[i] == x for i, x in got)
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
