@@ -6,10 +6,13 @@ bytes one blank), hashed to `dims` places and scaled to length one. Each languag
 (at most `sample` of them, chosen by a hash of the id); document frequencies are counted over all
 labelled texts. A text takes the language of the centroid of greatest cosine.
 
-Rejection: short texts have smaller cosines, so each class of lengths (powers of two of trigram
-counts) has a threshold of its own, `slack` times the cosine with their own language that all but a
-share `tail` of all labelled texts of that class reach. A text below it is marked rejected; its
-nearest language is still named.
+Rejection: short texts have smaller cosines, so each centroid has a threshold for each class of
+lengths (powers of two of trigram counts), from the cosines of all labelled texts whose nearest of
+their own language it is. It is the cosine that all but a share `tail` reach, carried on from the
+median and the lowest decile as of a normal law: single odd texts don't move these as they move the
+least cosines. A class of fewer than `enough` texts borrows from its neighbours on both sides until
+it has them; a centroid that has fewer in all has its least cosine. A text below the threshold of its nearest centroid is marked rejected; its nearest
+language is still named.
 
 The score is the nearest language's share among the languages' best cosines after a soft maximum,
 between 0 and 1. A text that is null or has no letter gets `und`, score 0, rejected. Rows with null
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +88,17 @@ class Model:
         w = np.log1p(counts) * self.idf
         return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
 
-    def best(self, counts: np.ndarray) -> np.ndarray:
+    def cosines(self, counts: np.ndarray) -> np.ndarray:
+        return self.weigh(counts) @ self.centroids.T
+
+    def by_language(self, cosines: np.ndarray) -> np.ndarray:
         """The greatest cosine with each language."""
-        cosines = self.weigh(counts) @ self.centroids.T
         return np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
 
+    def recognised(self, counts: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """Whether each text reaches the threshold of its nearest centroid."""
+        return cosines.max(axis=1) >= self.floor[cosines.argmax(axis=1), length_class(counts)]
+
 
 def length_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts.sum(axis=1) + 1).astype(int), _CLASSES - 1)
@@ -123,24 +133,42 @@ def document_frequencies(texts: DataFrame, dims: int) -> tuple[np.ndarray, int]:
 
 
 def own_cosines(labelled: DataFrame, model: Model) -> np.ndarray:
-    """How many of all labelled texts of each length class have a cosine with their own language in
-    each bin; only these sums reach the driver."""
+    """How many of all labelled texts of each centroid (the nearest of their own language) and length
+    class have a cosine in each bin; only these sums reach the driver."""
     dims, number = len(model.idf), {k: i for i, k in enumerate(model.languages)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((_CLASSES, _BINS + 1), np.int64)
+        seen = np.zeros((len(model.owner), _CLASSES, _BINS + 1), np.int64)
         for batch, a, b, counts in _blocks(batches, 0, dims):
             own = np.array([number.get(x, -1) for x in batch.column(1)[a:b].to_pylist()])
             some = (own >= 0) & (counts.sum(axis=1) > 0)
             if some.any():
-                fit = np.take_along_axis(model.best(counts[some]), own[some, None], axis=1)[:, 0]
-                np.add.at(seen, (length_class(counts[some]), (np.clip(fit, 0, 1) * _BINS).astype(int)), 1)
-        cls, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(at), pa.array(seen[cls, at])], ["class", "bin", "n"])
-
-    rows = labelled.select("text", "lang").mapInArrow(count, "class long, bin long, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((_CLASSES, _BINS + 1), np.int64)
-    out[rows["class"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+                cosines = np.where(model.owner[None, :] == own[some, None], model.cosines(counts[some]), -1)
+                np.add.at(seen, (cosines.argmax(axis=1), length_class(counts[some]), (np.clip(cosines.max(axis=1), 0, 1) * _BINS).astype(int)), 1)
+        which, cls, at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(cls), pa.array(at), pa.array(seen[which, cls, at])], ["centroid", "class", "bin", "n"])
+
+    keys = ["centroid", "class", "bin"]
+    rows = labelled.select("text", "lang").mapInArrow(count, "centroid long, class long, bin long, n long").groupBy(*keys).agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((len(model.owner), _CLASSES, _BINS + 1), np.int64)
+    out[tuple(rows[k].to_numpy(np.int64) for k in keys)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
+def floors(seen: np.ndarray, tail: float, enough: int) -> np.ndarray:
+    """The threshold of each class of a centroid, from its (class, bin) counts."""
+    out = np.zeros(_CLASSES)
+    for c in range(_CLASSES):
+        for reach in range(_CLASSES):
+            upto = np.cumsum(seen[max(0, c - reach) : c + reach + 1].sum(axis=0))
+            if upto[-1] >= enough:
+                break
+        if 0 < upto[-1] < enough:
+            out[c] = (upto > 0).argmax() / _BINS
+        elif upto[-1]:
+            middle, low = ((upto >= share * upto[-1]).argmax() / _BINS for share in (0.5, 0.1))
+            normal = NormalDist()
+            out[c] = max(0.0, middle - (middle - low) * normal.inv_cdf(tail) / normal.inv_cdf(0.1))
     return out
 
 
@@ -157,14 +185,14 @@ def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, slack: float = 0.5, tail: float = 0.001, most_languages: int = 200) -> Model:
+def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, tail: float = 0.001, enough: int = 50, most_languages: int = 200) -> Model:
     """labelled: doc_id, text, lang. Fits on at most `sample` texts of each of the `most_languages`
     most frequent languages."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(_CLASSES), 1.0)
+        return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros((0, _CLASSES)), 1.0)
     df, n = document_frequencies(labelled, dims)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
     # A share of the hash range that leaves about `sample` texts of each language, then a firm bound.
@@ -172,7 +200,7 @@ def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: i
     share = F.create_map(*(F.lit(v) for k in languages for v in (k, min(scale, int(scale * sample * 0.9 / sizes[k]) + 1))))
     chosen = labelled.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("lang")])
     rows = chosen.limit(2 * sample * len(languages)).toArrow()
-    model = Model(languages, idf, np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(_CLASSES), 1.0)
+    model = Model(languages, idf, np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros((0, _CLASSES)), 1.0)
     own = rows.column("lang").to_pylist()
     counts = np.concatenate([c for batch in rows.combine_chunks().to_batches() for *_, c in _blocks([batch], 1, dims)] or [np.zeros((0, dims), np.float32)])
     label = np.array([languages.index(x) for x in own], int)
@@ -186,13 +214,7 @@ def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: i
     model.languages = [v for k, v in enumerate(languages) if (label == k).any()]
     model.centroids = np.concatenate(centers)
     model.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers])
-    upto = np.cumsum(own_cosines(labelled, model), axis=1)
-    least = np.where(upto[:, -1] > 0, (upto > tail * upto[:, -1:]).argmax(axis=1) / _BINS, np.inf)
-    # A class without texts takes the threshold of the nearest shorter one.
-    for c in range(_CLASSES):
-        if np.isinf(least[c]):
-            least[c] = least[c - 1] if c and not np.isinf(least[c - 1]) else 0.0
-    model.floor = np.minimum.accumulate(least[::-1])[::-1] * slack
+    model.floor = np.stack([floors(seen, tail, enough) for seen in own_cosines(labelled, model)])
     model.sharpness = 20.0
     return model
 
@@ -206,13 +228,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, score, cosine, rejected = np.full(b - a, "und", object), np.zeros(b - a), np.zeros(b - a), np.ones(b - a, bool)
             some = counts.sum(axis=1) > 0
             if model.languages and some.any():
-                best = model.best(counts[some])
+                cosines = model.cosines(counts[some])
+                best = model.by_language(cosines)
                 near = best.argmax(axis=1)
                 soft = np.exp(model.sharpness * (best - best.max(axis=1, keepdims=True)))
                 names[some] = np.array(model.languages, object)[near]
                 score[some] = soft.max(axis=1) / soft.sum(axis=1)
                 cosine[some] = best.max(axis=1)
-                rejected[some] = best.max(axis=1) < model.floor[length_class(counts[some])]
+                rejected[some] = ~model.recognised(counts[some], cosines)
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(names, pa.string()), pa.array(score), pa.array(cosine), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -229,7 +252,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             good = np.zeros(b - a, bool)
             some = np.flatnonzero(counts.sum(axis=1) > 0)
             if model.languages and len(some):
-                good[some] = model.best(counts[some]).max(axis=1) >= model.floor[length_class(counts[some])]
+                good[some] = model.recognised(counts[some], model.cosines(counts[some]))
             yield batch.slice(a, b - a).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
