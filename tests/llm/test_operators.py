@@ -170,18 +170,6 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.rejected}
 
 
-def test_language_id_rejects_unlearned_language_of_same_letters(spark):
-    rng = random.Random(9)
-    vocabulary = {k: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(60)] for k in ("aa", "bb", "new")}
-    text = lambda k: " ".join(rng.choice(vocabulary[k]) for _ in range(rng.randint(40, 120)))
-    junk = [(5000 + i, "qqq zzz " * 30, "aa", None, "", "", "") for i in range(2)]
-    rows = [(i, text(k), k, None, "", "", "") for i, k in enumerate(["aa", "bb"] * 300)]
-    model = langid.train(spark.createDataFrame(rows[:400] + junk, SCHEMA), sample=100, per_language=2)
-    held = spark.createDataFrame(rows[400:] + [(i, text("new"), None, None, "", "", "") for i in range(1000, 1200)], SCHEMA)
-    out = {r.doc_id: r.rejected for r in langid.predict(held, model).collect()}
-    assert np.mean([out[i] for i in range(1000, 1200)]) > 0.95 and np.mean([out[i] for i in range(400, 600)]) < 0.03
-
-
 def brute_hits(rows, items, w):
     windows = {}
     for x, t in items:
