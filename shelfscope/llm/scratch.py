@@ -1,7 +1,9 @@
 """Written intermediate tables, in the folder that all executors share.
 
-The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in tests in one
-process, is a temporary folder used. Each call has a folder of its own, so that runs never meet.
+The folder is the session's `spark.checkpoint.dir`. Where that is unset, a temporary folder serves a
+session whose executors share the driver's machine; on a cluster an error is raised, for what one
+executor writes to its own disk no other can read. Each call has a folder of its own, so that runs
+never meet; drop() removes what is no longer needed.
 """
 
 from __future__ import annotations
@@ -14,18 +16,28 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once, about; a longer text goes alone.
+BATCH_BYTES = 4 << 20
 _local: list[str] = []
 
 
 def path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="shelfscope-"))
         base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches, so that a task holds few texts at a time."""
+    spark.conf.set(_ARROW, str(BATCH_BYTES))
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries that run inside go as soon as each has written its result."""
@@ -43,4 +55,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     where = path(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.scratch_path = where
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables that save() returned and that no later plan reads."""
+    for df in tables:
+        where = getattr(df, "scratch_path", None)
+        if where:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(where)
+            at.getFileSystem(conf).delete(at, True)

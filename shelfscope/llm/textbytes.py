@@ -12,26 +12,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 MANY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Positions whose powers are tabled; longer sequences are hashed block by block with a carry, so that
+#: a worker keeps these tables alone however long a text it has met.
+BLOCK = 1 << 13
+_tables: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
 _byte_codes = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse modulo 2**64; kept for the next call."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        have = _tables[base] = (pair[0], pair[1])
-    return have[0][:n], have[1][:n]
+def _series(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo 2**64."""
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The powers of base and of its inverse within a block, and both to the size of a block."""
+    if base not in _tables:
+        back = pow(base, -1, 1 << 64)
+        _tables[base] = (_series(base, BLOCK), _series(back, BLOCK), pow(base, BLOCK, 1 << 64), pow(back, BLOCK, 1 << 64))
+    return _tables[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,28 +49,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix sums from which the hash of any stretch [start, end) of a sequence follows."""
+    """Prefix sums from which the hash of any stretch [start, end) of a sequence follows.
 
-    def __init__(self, values: np.ndarray, base: int):
+    values: the sequence's numbers, or with `codes` the places of its numbers in codes.
+    """
+
+    def __init__(self, values: np.ndarray, base: int, codes: np.ndarray | None = None):
         n = len(values)
-        power, self.inverse = _powers(base, n + 1)
+        power, self._inverse, step, back = _powers(base)
+        scale = _series(step, n // BLOCK + 1)
+        self._unscale = _series(back, n // BLOCK + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * power[:n], out=self.sums[1:])
+        for b in range(n // BLOCK + 1):
+            own = values[b * BLOCK : (b + 1) * BLOCK]
+            own = (own if codes is None else codes[own]) * power[: len(own)]
+            own *= scale[b]
+            if len(own):
+                own[:1] += self.sums[b * BLOCK]
+                np.cumsum(own, out=self.sums[b * BLOCK + 1 : b * BLOCK + 1 + len(own)])
+
+    def _back(self, at: np.ndarray) -> np.ndarray:
+        return self._inverse[at % BLOCK] * self._unscale[at // BLOCK]
 
     def windows(self, k: int) -> np.ndarray:
         """The hashes of all stretches of k items."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n] + np.uint64(k))
+        out = self.sums[k:] - self.sums[:n]
+        for b in range(n // BLOCK + 1):
+            own = out[b * BLOCK : (b + 1) * BLOCK]
+            own *= self._inverse[: len(own)]
+            own *= self._unscale[b]
+        out += np.uint64(k)
+        return mix(out)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + length)
+        return mix((self.sums[end] - self.sums[start]) * self._back(start) + length)
 
 
 def byte_prefix(buf: np.ndarray) -> Prefix:
-    return Prefix(_byte_codes[buf], _BYTE_BASE)
+    return Prefix(buf, _BYTE_BASE, _byte_codes)
 
 
 def word_prefix(hashes: np.ndarray) -> Prefix:
