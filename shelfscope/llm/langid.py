@@ -3,17 +3,20 @@
 A text becomes the TF-IDF vector of its byte trigrams over letters (A-Z lower-cased, runs of other
 bytes one blank), hashed to `dims` places and scaled to length one. Each language has up to
 `per_language` centroids, found by spherical k-means over a bounded sample of its labelled texts
-(at most `sample` of them, chosen by a hash of the id); document frequencies are counted over all
-labelled texts. A text takes the language of the centroid of greatest cosine.
+(at most `sample` of them, chosen by a hash of the id; one language is one task's group, as large as
+its sample); document frequencies are counted over all labelled texts. A text takes the language of
+the centroid of greatest cosine. There is no limit on languages.
 
-Rejection: short texts have smaller cosines, so each class of lengths (powers of two of trigram
-counts) has a threshold of its own, `slack` times the cosine with their own language that all but a
-share `tail` of all labelled texts of that class reach. A text below it is marked rejected; its
-nearest language is still named.
+Rejection: a text whose greatest cosine lies below a threshold is marked rejected; its nearest
+language is still named. Short texts have smaller cosines, so each class of lengths (powers of two of
+trigram counts) has a threshold of its own: the cosine with their own language that all but a share
+`tail` of all labelled texts of that class reach. A class of fewer than 2 / tail texts takes
+its neighbours' texts in, one class on each side at a time, until there are that many or no more.
 
 The score is the nearest language's share among the languages' best cosines after a soft maximum,
 between 0 and 1. A text that is null or has no letter gets `und`, score 0, rejected. Rows with null
-language never train. An empty table gives an empty result; without any labelled text all is `und`.
+language never train. Repeated rows each come back. An empty table gives an empty result; without any
+labelled text all is `und`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfscope.llm import scratch
 from shelfscope.llm.textbytes import lower, slices
 
 _LETTERS = np.zeros(256, bool)
@@ -81,8 +85,10 @@ class Model:
     sharpness: float
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        w = np.log1p(counts) * self.idf
-        return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
+        w = np.log1p(counts)
+        w *= self.idf
+        w /= np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)[:, None]
+        return w
 
     def best(self, counts: np.ndarray) -> np.ndarray:
         """The greatest cosine with each language."""
@@ -94,7 +100,7 @@ def length_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts.sum(axis=1) + 1).astype(int), _CLASSES - 1)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], column: int, dims: int, rows: int = 256):
+def _blocks(batches: Iterable[pa.RecordBatch], column: int, dims: int, rows: int = 64):
     """(batch, first row, end row, counts) over whole texts, a few documents at a time."""
     for batch in batches:
         for i, j, buf, offsets in slices(batch.column(column)):
@@ -157,49 +163,76 @@ def _cluster(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centers.astype(np.float32)
 
 
-def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, slack: float = 0.5, tail: float = 0.001, most_languages: int = 200) -> Model:
-    """labelled: doc_id, text, lang. Fits on at most `sample` texts of each of the `most_languages`
-    most frequent languages."""
+def _sparse(dims: int):
+    """(lang, pick, text) to these with the places and counts of the text's trigrams."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b, counts in _blocks(batches, 2, dims):
+            row, place = np.nonzero(counts)
+            cuts = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (place.astype(np.int32), counts[row, place])]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *lists], ["lang", "pick", "places", "counts"])
+
+    return run
+
+
+def _centroids(model: Model, sample: int, per_language: int):
+    """One language's sampled texts to its centroids."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pick").slice(0, sample)
+        x = np.zeros((group.num_rows, len(model.idf)), np.float32)
+        for r, (at, n) in enumerate(zip(group.column("places"), group.column("counts"), strict=True)):
+            x[r, at.values.to_numpy()] = n.values.to_numpy()
+        centers = _cluster(model.weigh(x), per_language, 1)
+        return pa.table({"lang": [group.column("lang")[0].as_py()] * len(centers), "centroid": pa.array(list(centers), pa.list_(pa.float32()))})
+
+    return run
+
+
+def floors(seen: np.ndarray, tail: float) -> np.ndarray:
+    """The rejection threshold of each length class from the counts by class and cosine bin."""
+    out, upto = np.zeros(_CLASSES), np.vstack([np.zeros(seen.shape[1], np.int64), np.cumsum(seen, axis=0)])
+    for c in range(_CLASSES):
+        for reach in range(_CLASSES):
+            pooled = upto[min(c + reach, _CLASSES - 1) + 1] - upto[max(c - reach, 0)]
+            if pooled.sum() >= 2 / tail:
+                break
+        if pooled.sum():
+            out[c] = (np.cumsum(pooled) > tail * pooled.sum()).argmax() / _BINS
+    return out
+
+
+def train(labelled: DataFrame, sample: int = 600, per_language: int = 4, dims: int = 8192, tail: float = 0.001) -> Model:
+    """labelled: doc_id, text, lang. Fits on at most `sample` texts of each language."""
+    scratch.small_batches(labelled.sparkSession)
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").cast("long"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(_CLASSES), 1.0)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     df, n = document_frequencies(labelled, dims)
-    idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
-    # A share of the hash range that leaves about `sample` texts of each language, then a firm bound.
+    model = Model([], (np.log((n + 1) / (df + 1)) + 1).astype(np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(_CLASSES), 20.0)
+    # A share of the hash range that leaves about nine tenths of `sample` of each language, then a firm bound.
     scale = 1 << 30
-    share = F.create_map(*(F.lit(v) for k in languages for v in (k, min(scale, int(scale * sample * 0.9 / sizes[k]) + 1))))
-    chosen = labelled.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("lang")])
-    rows = chosen.limit(2 * sample * len(languages)).toArrow()
-    model = Model(languages, idf, np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(_CLASSES), 1.0)
-    own = rows.column("lang").to_pylist()
-    counts = np.concatenate([c for batch in rows.combine_chunks().to_batches() for *_, c in _blocks([batch], 1, dims)] or [np.zeros((0, dims), np.float32)])
-    label = np.array([languages.index(x) for x in own], int)
-    full = counts.sum(axis=1) > 0
-    counts, label = counts[full], label[full]
-    if not len(label):
-        model.languages = []
+    share = F.least(F.lit(scale), F.floor(F.lit(scale * sample * 0.9) / F.col("n")) + 1)
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    # As many rows as there are languages, so that they may be broadcast.
+    chosen = labelled.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(pick < F.col("share"))
+    rows = chosen.select("lang", pick.alias("pick"), "text").mapInArrow(_sparse(dims), "lang string, pick long, places array<int>, counts array<float>").where(F.size("places") > 0)
+    found = rows.groupBy("lang").applyInArrow(_centroids(model, sample, per_language), "lang string, centroid array<float>").toArrow()
+    if not found.num_rows:
         return model
-    x = model.weigh(counts)
-    centers = [_cluster(x[label == k][:sample], per_language, k) for k in range(len(languages)) if (label == k).any()]
-    model.languages = [v for k, v in enumerate(languages) if (label == k).any()]
-    model.centroids = np.concatenate(centers)
-    model.owner = np.repeat(np.arange(len(centers)), [len(c) for c in centers])
-    upto = np.cumsum(own_cosines(labelled, model), axis=1)
-    least = np.where(upto[:, -1] > 0, (upto > tail * upto[:, -1:]).argmax(axis=1) / _BINS, np.inf)
-    # A class without texts takes the threshold of the nearest shorter one.
-    for c in range(_CLASSES):
-        if np.isinf(least[c]):
-            least[c] = least[c - 1] if c and not np.isinf(least[c - 1]) else 0.0
-    model.floor = np.minimum.accumulate(least[::-1])[::-1] * slack
-    model.sharpness = 20.0
+    own = np.array(found.column("lang").to_pylist(), object)
+    order = np.argsort(own, kind="stable")
+    model.languages = sorted(set(own))
+    model.centroids = np.stack(found.column("centroid").to_numpy())[order]
+    model.owner = np.searchsorted(model.languages, own[order].astype(str))
+    model.floor = floors(own_cosines(labelled, model), tail)
     return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, cosine and rejected for each row of docs, from its text alone."""
     dims = len(model.idf)
+    scratch.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, counts in _blocks(batches, 1, dims):
@@ -223,6 +256,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """The rows of docs, with all their columns, whose language is recognised: those that predict()
     doesn't mark rejected. No row moves between tasks."""
     dims, at = len(model.idf), docs.columns.index(text_col)
+    scratch.small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, counts in _blocks(batches, at, dims):
