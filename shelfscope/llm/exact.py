@@ -1,11 +1,17 @@
 """Exact dedup as stateful streaming.
 
-The documents' digests are streamed through keyed state on disk (RocksDB, checkpointed in the
-shared folder, without watermark or expiry). The state of a digest holds the stable identifier
-(the largest id so far), the number of rows, and the content locator: the file and id at which the
-keeper's text stands. Each micro-batch emits the states it changed; the last state of a digest is
-the decision. A digest met more than once is a hit: the texts of its rows are looked up and compared
-byte for byte with each other, so that rows whose digests merely collide stay apart.
+The documents' digests are streamed through keyed state on disk (RocksDB, checkpointed in the shared
+folder, without watermark or expiry). The state of a digest holds the stable identifier (the largest
+id so far), the number of rows, and the content locator: the file in which the keeper's text stands.
+Each micro-batch emits the states it changed; the last state of a digest is the decision.
+
+A digest met more than once is a hit. Its keeper is fetched by the locator, and every distinct text
+under that digest is compared with it byte for byte. Only where texts differ, so that digests merely
+collide, are the groups formed anew by whole texts.
+
+With a `state` folder the index lasts: a later call streams its own rows alone through the state that
+the earlier ones left, and the decisions of its rows count all rows so far. A call that failed may
+leave its rows in that folder's feed, so repeat it on a copy of the folder from before.
 
 A null text counts as empty. Null ids never beat an id; a group of null ids alone keeps its rows.
 Repeated rows with one id and text are one document: each of them gets the same result. An empty
@@ -14,11 +20,14 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm import scratch
 
+_FEED = "doc_id LONG, digest LONG, file STRING, text_sha256 BINARY"
 _STATE = "digest LONG, keep_id LONG, n LONG, file STRING"
 #: State lives in RocksDB; a partition's store is closed once its part of a micro-batch is committed
 #: to the shared folder, so that executors hold few open stores and little disk at a time.
@@ -28,10 +37,9 @@ _SETTINGS = {
 }
 
 
-def stream_states(feed_path: str, feed: DataFrame, per_trigger: int) -> DataFrame:
-    """Streams the feed (digest, doc_id, file) through the state: a row for each digest."""
-    spark = feed.sparkSession
-    updates = scratch.path(spark, "exact-updates")
+def stream_states(own: DataFrame, state: str, per_trigger: int) -> DataFrame:
+    """Streams what is new in the state's feed through the state: a row for each digest so far."""
+    spark, updates = own.sparkSession, f"{state}/updates"
 
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
@@ -40,9 +48,9 @@ def stream_states(feed_path: str, feed: DataFrame, per_trigger: int) -> DataFram
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", per_trigger).parquet(feed_path)
+        stream = spark.readStream.schema(_FEED).option("maxBytesPerTrigger", per_trigger).parquet(f"{state}/feed")
         states = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"), F.max_by("file", "doc_id").alias("file"))
-        query = states.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", scratch.path(spark, "exact-state")).trigger(availableNow=True).start()
+        query = states.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
@@ -50,35 +58,55 @@ def stream_states(feed_path: str, feed: DataFrame, per_trigger: int) -> DataFram
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    spark.createDataFrame([], _STATE).write.parquet(f"{updates}/batch=-1")  # an empty feed runs no batch
+    spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(f"{updates}/batch=-1")  # an empty feed runs no batch
     seen = spark.read.schema(f"{_STATE}, batch LONG").parquet(updates)
     return seen.groupBy("digest").agg(F.max_by(F.struct("keep_id", "n", "file"), "batch").alias("s")).select("digest", "s.*")
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_trigger: int = 1 << 28) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_trigger: int = 1 << 28, state: str | None = None, corpus: DataFrame | None = None, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Groups equal texts; the row with the largest id of each group stays.
 
     Returns doc_id, keep_id, group_size, kept and text_sha256 (binary), a row for each row of docs.
-    per_trigger bounds the bytes of digests that a micro-batch takes.
+    per_trigger bounds the bytes of digests that a micro-batch takes. state: a shared folder that
+    lasts, with corpus: all documents so far, docs included, read from where earlier calls had them.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.input_file_name().alias("file"))
-    docs = docs.withColumn("digest", F.xxhash64("text"))
-    where = scratch.path(spark, "exact-feed")
-    docs.select("doc_id", "digest", "file", F.unhex(F.sha2("text", 256)).alias("text_sha256")).write.parquet(where)
-    feed = spark.read.schema("doc_id LONG, digest LONG, file STRING, text_sha256 BINARY").parquet(where)
-    states = scratch.save(stream_states(where, feed.select("digest", "doc_id", "file"), per_trigger), "exact-states")
+
+    def told(df: DataFrame) -> DataFrame:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.input_file_name().alias("file")).withColumn("digest", digest(F.col("text")))
+
+    docs, corpus = told(docs), told(docs if corpus is None else corpus)
+    feed = docs.select("doc_id", "digest", "file", F.unhex(F.sha2("text", 256)).alias("text_sha256"))
+    if state is None:
+        state = scratch.path(spark, "exact")
+        feed.write.parquet(f"{state}/feed")
+        own = spark.read.schema(_FEED).parquet(f"{state}/feed")
+    else:
+        own = scratch.save(feed, "exact-own")
+        own.write.mode("append").parquet(f"{state}/feed")
+    states = stream_states(own, state, per_trigger)
+    states = scratch.save(states.join(own.select("digest").distinct().hint("merge"), "digest", "left_semi"), "exact-states")
+    multiple = states.where("n > 1")
 
     # Hits are looked up by id, so that a group with a third of all rows is spread over all tasks, and
     # equal texts meet in full in each task before they are shuffled.
-    multiple = states.where("n > 1").select("digest")
-    hit_ids = feed.join(multiple.hint("merge"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+    hit_ids = own.join(multiple.select("digest").hint("merge"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
     texts = docs.join(hit_ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
-    checked = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    checked = checked.join(multiple.hint("merge"), "digest", "left_semi").select("digest", F.unhex(F.sha2("text", 256)).alias("text_sha256"), "keep_id", "group_size")
-    checked = scratch.save(checked, "exact-checked")
+    variants = texts.groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    place = multiple.select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), F.col("file").alias("f"))
+    found = corpus.join(place.hint("merge"), (F.col("doc_id") == F.col("k")) & (F.col("file") == F.col("f")) & (F.col("digest") == F.col("d")))
+    keepers = found.groupBy("digest").agg(F.min("text").alias("keeper"))
+    checked = variants.join(multiple.select("digest").hint("merge"), "digest", "left_semi").join(keepers.hint("merge"), "digest", "left")
+    collided = scratch.save(checked.where(~F.col("text").eqNullSafe(F.col("keeper"))).select("digest").distinct(), "exact-collided")
 
-    singles = feed.join(states.where("n = 1").select("digest").hint("merge"), "digest", "left_semi").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    grouped = feed.join(checked.hint("merge"), ["digest", "text_sha256"]).select("doc_id", "keep_id", "group_size", "text_sha256")
-    return singles.unionByName(grouped).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    decided = states.select("digest", "keep_id", F.col("n").alias("group_size"))
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    if collided.isEmpty():
+        out = own.join(decided.hint("merge"), "digest").select(*columns)
+    else:
+        regrouped = corpus.join(collided.hint("merge"), "digest", "left_semi").groupBy("digest", F.unhex(F.sha2("text", 256)).alias("text_sha256"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("text")
+        regrouped = scratch.save(regrouped, "exact-regrouped")
+        alone = own.join(collided.hint("merge"), "digest", "left_anti").join(decided.hint("merge"), "digest").select(*columns)
+        out = alone.unionByName(own.join(regrouped.hint("merge"), ["digest", "text_sha256"]).select(*columns))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
