@@ -2,37 +2,46 @@
 
 Each slice of documents (a shard) gets a suffix array over its words: A-Z lower-cased, words of
 letters and digits, ordered by word hashes and compared over `depth` words, built by doubling the
-compared length and sorting only suffixes that still tie. Every suffix of every benchmark item is
-looked up in every shard by binary search. Its longest verbatim match is that of its neighbours in
-the array; matches of at least `window` words make a hit, and all places that share those words are
-the hit places. An item with fewer words is one window of that length.
+compared length and sorting only suffixes that still tie. Every test suffix is looked up in every
+shard by binary search; equal ones are looked up once. The ranges of suffixes that begin with
+different windows are disjoint, so that all places found in a shard are no more than its words for
+each window length, however repetitive both sides are. A place's longest verbatim match is that with
+one of the two test suffixes that would stand next to it in the array.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of at most `block_words` words,
-so what is sent has a fixed bound and the training side is never shuffled.
+Words are compared verbatim: every word of a place found is compared byte by byte with the
+benchmark's word of the same hash. One that differs is taken out and the shard is searched again.
+
+An item with fewer words than the window is one window of that length. The benchmark is a stated
+query set: it goes to the tasks in blocks of at most about `block_words` words, so what is sent has a
+fixed bound and the training side is never shuffled. With several blocks each is searched in a pass
+of its own over the rows and what the earlier passes found in them, saved before the next block is
+loaded.
 
 Null or empty texts have no words; null or empty items never occur. Repeated items each count by
-their own id; null item ids are left out of the list of items but still mark words. Repeated rows
-each come back. An empty benchmark marks nothing; an empty table gives an empty result.
+their own id; null item ids are left out of the list of items but still mark words. Rows are kept
+apart, null and repeated ids included. An empty benchmark marks nothing; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.substring import expand
-from shelfscope.llm.textbytes import ALNUM, Words, column_bytes, lower, slices
+from shelfscope.llm import scratch
+from shelfscope.llm.substring import expand, list_column
+from shelfscope.llm.textbytes import ALNUM, Prefix, Words, column_bytes, lower, slices, word_prefix
 
-SLICE = 6 << 20
+SLICE = 3 << 20
 #: A run of hit words packs its start and, below this, its length.
 RUN = 1 << 31
-FOUND = "doc_id long, n_words long, n_hit long, spans array<long>, items array<string>, longest long"
+FOUND = "doc_id long, n_words long, n_hit long, items array<string>, longest long"
 _SHIFT = np.uint64(34)
 
 
@@ -111,48 +120,130 @@ class SuffixArray:
         return low, high
 
 
-def matched(words: np.ndarray, at: np.ndarray, queries: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many words from each place equal those of each query stretch, up to `most`."""
-    n, live, k = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 0
-    while len(live):
-        inside = (at[live] + k < len(words)) & (k < most[live])
-        live = live[inside]
-        live = live[words[at[live] + k] == queries[start[live] + k]]
-        n[live] += 1
-        k += 1
-    return n
+@dataclass
+class Block:
+    """Items of the benchmark: their words, distinct windows, and which items have each window."""
 
+    text: np.ndarray
+    words: Words
+    start: np.ndarray  # of one occurrence of each distinct window
+    length: np.ndarray
+    names: list[list[str]]
+    vocabulary: tuple[np.ndarray, np.ndarray]  # sorted hashes, and a word that has each
+    shared: np.ndarray  # hashes that several words of the benchmark have
 
-def _hits(items: list, hashes: np.ndarray, bounds: np.ndarray, window: int):
-    sizes = np.diff(bounds)
-    count = np.where(sizes >= window, sizes - window + 1, np.minimum(sizes, 1))
-    item = np.repeat(np.arange(len(sizes)), count)
-    start = bounds[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    length = np.minimum(sizes[item], window)
-    query = codes(hashes)
-    names = [None if x is None else str(x) for x in items]
+    @classmethod
+    def build(cls, items: list, texts: pa.Array, window: int) -> Block:
+        buf, offsets = column_bytes(texts)
+        text = lower(buf)
+        words = Words(text, offsets, ALNUM)
+        sizes = np.diff(words.first)
+        count = np.where(sizes >= window, sizes - window + 1, np.minimum(sizes, 1))
+        item = np.repeat(np.arange(len(sizes)), count)
+        start = expand(words.first[:-1], count)
+        length = np.minimum(sizes[item], window)
+        key = word_prefix(words.hash).spans(start, start + length)
+        _, one, same = np.unique(key, return_index=True, return_inverse=True)
+        names: list[set[str]] = [set() for _ in one]
+        for w, x in zip(same.tolist(), item.tolist(), strict=True):
+            if items[x] is not None:
+                names[w].add(str(items[x]))
+        hashes, some = np.unique(words.hash, return_index=True)
+        out = cls(text, words, start[one], length[one], [sorted(n) for n in names], (hashes, some), hashes[:0])
+        out.shared = np.unique(words.hash[out.unlike(text, words, np.arange(len(words.hash)))])
+        return out
+
+    def unlike(self, text: np.ndarray, words: Words, at: np.ndarray) -> np.ndarray:
+        """Of these words of a shard, those that have the hash of another word of the benchmark."""
+        hashes, some = self.vocabulary
+        if not len(hashes):
+            return at
+        spot = some[np.minimum(np.searchsorted(hashes, words.hash[at]), len(hashes) - 1)]
+        size, other = words.end[at] - words.start[at], self.words.end[spot] - self.words.start[spot]
+        wrong = (size != other) | (self.words.hash[spot] != words.hash[at])
+        alike = np.flatnonzero(~wrong)
+        n = size[alike]
+        differ = text[expand(words.start[at[alike]], n)] != self.text[expand(self.words.start[spot[alike]], n)]
+        wrong[np.repeat(alike, n)[differ]] = True
+        return at[wrong & ~np.isin(words.hash[at], self.shared)]
+
+    def ordered(self) -> tuple[SuffixArray, Prefix, np.ndarray, np.ndarray]:
+        """The suffix array of all items with a mark after each; their hashes; the items' ends."""
+        sizes = np.diff(self.words.first)
+        marked = np.insert(self.words.hash, self.words.first[1:], np.uint64(0))
+        ends = np.cumsum(sizes + 1) - 1
+        return SuffixArray.build(marked, len(marked)), word_prefix(marked), ends, np.searchsorted(ends, np.arange(len(marked)))
+
+
+def common(one: Prefix, at: np.ndarray, two: Prefix, start: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words from each place `at` of one sequence equal those from `start` of the other, up
+    to `most`: by bisection over the hashes of stretches."""
+    low, high = np.zeros(len(at), np.int64), most.astype(np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_] + 1) // 2
+        same = one.spans(at[open_], at[open_] + mid) == two.spans(start[open_], start[open_] + mid)
+        low[open_[same]] = mid[same]
+        high[open_[~same]] = mid[~same] - 1
+    return low
+
+
+def _places(block: Block, words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in a shard windows stand, and which: equal in all hashes and within one document."""
+    if not len(words.hash) or not len(block.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    array = SuffixArray.build(words.hash, window)
+    low, high = array.search(codes(block.words.hash), block.start, block.length)
+    which = np.repeat(np.arange(len(low)), high - low)
+    at = array.order[expand(low, high - low)]
+    fits = at + block.length[which] <= words.first[np.searchsorted(words.first, at, side="right")]
+    at, which = at[fits], which[fits]
+    if not len(at):
+        return at, which
+    first, size = block.start[which], block.length[which]
+    fits = word_prefix(words.hash).spans(at, at + size) == word_prefix(block.words.hash).spans(first, first + size)
+    return at[fits], which[fits]
+
+
+def _longest(tests: tuple, words: Words, place: np.ndarray) -> np.ndarray:
+    """The longest match of each place with any item: in the order of all test suffixes it is with
+    one of the two beside the place."""
+    array, prefix, ends, item = tests
+    own = word_prefix(words.hash)
+    room = words.first[np.searchsorted(words.first, place, side="right")] - place
+    spot, _ = array.search(codes(words.hash), place, room)
+    out = np.zeros(len(place), np.int64)
+    for side in (spot - 1, spot):
+        near = array.order[np.clip(side, 0, len(array.order) - 1)]
+        out = np.maximum(out, common(own, place, prefix, near, np.minimum(ends[item[near]] - near, room)))
+    return out
+
+
+def _find(block: Block, window: int, text_at: int, fields: list[str], last: bool = False):
+    """Adds to each row's spans, items and longest what the block's items have in its text. The last
+    pass returns what the runs come to, without texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = None
+        cut = {c: k for k, c in enumerate(fields)}
         for batch in batches:
-            for i, j, buf, offsets in slices(batch.column(1), SLICE):
-                words = Words(lower(buf), offsets, ALNUM)
-                n_docs, total = j - i, len(words.hash)
-                at = which = doc = same = np.zeros(0, np.int64)
-                if total and len(item):
-                    array = SuffixArray.build(words.hash, window)
-                    low, high = array.search(query, start, length)
-                    spot, which = expand(low, high - low), np.repeat(np.arange(len(item)), high - low)
-                    at = array.order[spot]
-                    doc = np.searchsorted(words.first, at, side="right") - 1
-                    # Verbatim and within one document: whole hashes, no further than its last word.
-                    most = np.minimum(bounds[item[which] + 1] - start[which], words.first[doc + 1] - at)
-                    same = matched(words.hash, at, hashes, start[which], most)
-                    hit = same >= length[which]
-                    at, which, doc, same = at[hit], which[hit], doc[hit], same[hit]
-                cover = np.zeros(total + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length[which], -1)
-                covered = np.cumsum(cover)[:-1] > 0
+            for i, j, buf, offsets in slices(batch.column(text_at), SLICE):
+                text = lower(buf)
+                words = Words(text, offsets, ALNUM)
+                total = len(words.hash)
+                while True:
+                    at, which = _places(block, words, window)
+                    cover = np.zeros(total + 1, np.int64)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + block.length[which], -1)
+                    covered = np.cumsum(cover)[:-1] > 0
+                    wrong = block.unlike(text, words, np.flatnonzero(covered))
+                    if not len(wrong):
+                        break
+                    words.hash[wrong] = _free(block.vocabulary[0])
+                place = np.unique(at)
+                if len(place) and tests is None:
+                    tests = block.ordered()
+                doc = np.searchsorted(words.first, at, side="right") - 1
                 edge = np.zeros(total + 1, np.int8)
                 edge[:-1] = covered
                 edge[words.first] *= 2  # a run ends where its document ends
@@ -161,89 +252,102 @@ def _hits(items: list, hashes: np.ndarray, bounds: np.ndarray, window: int):
                 hits = np.zeros(total + 1, np.int64)
                 np.cumsum(covered, out=hits[1:])
                 home = np.searchsorted(words.first, begin, side="right") - 1
-                packed = (begin - words.first[home]) * RUN + np.minimum(hits[stop] - hits[begin], RUN - 1)
-                cuts = np.searchsorted(home, np.arange(n_docs + 1)).astype(np.int32)
-                longest = np.zeros(n_docs, np.int64)
-                np.maximum.at(longest, doc, same)
-                found = [[] for _ in range(n_docs)]
-                for d, x in np.unique(np.stack([doc, item[which]], axis=1), axis=0).tolist():
-                    if names[x] is not None:
-                        found[d].append(names[x])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[i:j],
-                        pa.array(np.diff(words.first)),
-                        pa.array(np.diff(hits[words.first])),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(packed)),
-                        pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())),
-                        pa.array(longest),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "spans", "items", "longest"],
-                )
+                packed = (begin - words.first[home]) * RUN + np.minimum(hits[stop[: len(begin)]] - hits[begin], RUN - 1)
+                rest = batch.slice(i, j - i)
+                was, had = list_column(rest.column(cut["spans"]))
+                owner = np.r_[np.repeat(np.arange(j - i), np.diff(had)), home]
+                order = np.argsort(owner, kind="stable")
+                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(j - i + 1)).astype(np.int32)), pa.array(np.r_[was, packed][order]))
+                most = np.array(rest.column(cut["longest"]).to_numpy(zero_copy_only=False), np.int64)
+                if len(place):
+                    np.maximum.at(most, np.searchsorted(words.first, place, side="right") - 1, _longest(tests, words, place))
+                found = [set(x) for x in rest.column(cut["items"]).to_pylist()]
+                for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
+                    found[d].update(block.names[w])
+                new = {"spans": spans, "items": pa.array([sorted(x) for x in found], pa.list_(pa.string())), "longest": pa.array(most)}
+                if "n_words" in cut:
+                    new["n_words"] = pa.array(np.diff(words.first))
+                out = pa.RecordBatch.from_arrays([new.get(c, rest.column(k)) for c, k in cut.items()], fields)
+                yield _counted(out) if last else out
 
     return run
 
 
-def _finder(items: DataFrame, window: int):
-    """The block of items, on the driver, as the function that looks it up in shards."""
-    table = items.toArrow().combine_chunks()
-    text = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-    buf, offsets = column_bytes(text)
-    words = Words(lower(buf), offsets, ALNUM)
-    return _hits(table.column("item").to_pylist(), words.hash, words.first, window)
+def _free(taken: np.ndarray) -> np.uint64:
+    """A hash that no word of the benchmark has."""
+    x = np.uint64(1)
+    while len(taken) and taken[np.minimum(np.searchsorted(taken, x), len(taken) - 1)] == x:
+        x += np.uint64(1)
+    return x
 
 
-def _union_size(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of words in the union of each row's runs."""
-    for batch in batches:
-        sizes = []
-        for runs in batch.column("spans").to_pylist():
-            end = total = 0
-            for start, n in sorted(divmod(x, RUN) for x in runs or []):
-                total += max(0, start + n - max(start, end))
-                end = max(end, start + n)
-            sizes.append(total)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words")), pa.array(sizes, pa.int64()), batch.column("items"), batch.column("longest")], ["doc_id", "n_words", "n_hit", "items", "longest"])
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """With n_hit, the number of words in the union of each row's runs, in place of these."""
+    sizes = []
+    for runs in batch.column("spans").to_pylist():
+        end = total = 0
+        for start, n in sorted(divmod(x, RUN) for x in runs):
+            total += max(0, start + n - max(start, end))
+            end = max(end, start + n)
+        sizes.append(total)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(sizes, pa.int64()), batch.column("items"), batch.column("longest")], ["doc_id", "n_words", "n_hit", "items", "longest"])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> list[DataFrame]:
-    """The items in blocks of about block_words words."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int) -> Iterator[tuple[int, int, Block]]:
+    """(number, how many, block) of about block_words words each; one is on the driver at a time."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     n_words = F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")
     n = max(1, -(-(items.agg(F.sum(n_words)).first()[0] or 0) // block_words))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [items if n == 1 else items.where(part == k) for k in range(n)]
+    for k in range(n):
+        table = (items if n == 1 else items.where(part == k)).toArrow().combine_chunks()
+        text = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        yield k, n, Block.build(table.column("item").to_pylist(), text, window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), longest (words of the longest verbatim
-    match) and contaminated, a row for each row of docs. With several blocks, rows of one id count
-    as one document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scans = [docs.mapInArrow(_finder(b, window), FOUND) for b in _blocks(benchmark, item_col, item_text_col, block_words)]
-    if len(scans) == 1:
-        out = scans[0].drop("spans")
-    else:
-        out = reduce(DataFrame.unionByName, scans).groupBy("doc_id")
-        out = out.agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-        out = out.mapInArrow(_union_size, "doc_id long, n_words long, n_hit long, items array<string>, longest long")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    match) and contaminated, a row for each row of docs."""
+    scratch.small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("CAST(array() AS array<long>)"), "items": F.expr("CAST(array() AS array<string>)"), "longest": F.lit(0).cast("long")})
+    before = None
+    for k, n, block in _blocks(benchmark, item_col, item_text_col, window, block_words):
+        last = k == n - 1
+        found = rows.mapInArrow(_find(block, window, 1, rows.columns, last), FOUND if last else rows.schema)
+        if not last:
+            found = scratch.save(found, "decontam-block")
+            if before is not None:
+                scratch.drop(before)
+            before = found
+        rows = found
+    return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """The rows of docs, with all their columns, that contamination() doesn't mark. No row moves
     between tasks."""
-    at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(_unmarked(_finder(block, window), at), docs.schema)
+    scratch.small_batches(docs.sparkSession)
+    at, schema, before = docs.columns.index(text_col), docs.schema, None
+    for k, n, block in _blocks(benchmark, item_col, item_text_col, window, block_words):
+        docs = docs.mapInArrow(_unmarked(block, window, at), schema)
+        if k < n - 1:
+            docs = scratch.save(docs, "decontam-clean")
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
 
 
-def _unmarked(find, at: int):
+def _unmarked(block: Block, window: int, at: int):
+    find = _find(block, window, 0, ["text", "spans", "items", "longest"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["doc_id", "text"])
-            hit = [x for out in find([texts]) for x in out.column("n_hit").to_pylist()]
+            n = batch.num_rows
+            empty = [pa.array([[]] * n, pa.list_(kind)) for kind in (pa.int64(), pa.string())]
+            texts = pa.RecordBatch.from_arrays([batch.column(at), *empty, pa.array(np.zeros(n, np.int64))], ["text", "spans", "items", "longest"])
+            hit = [x for out in find([texts]) for x in pc.list_value_length(out.column("spans")).to_pylist()]
             yield batch.filter(pa.array([n == 0 for n in hit], pa.bool_()))
 
     return run
