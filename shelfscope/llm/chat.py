@@ -5,7 +5,7 @@ text parts are written with control strings escaped, every other part leaves one
 place, and an attachment record says where the content lies and how many tokens it expands to.
 
 Template, for each turn in order:  <|im_start|>ROLE NEWLINE BODY <|im_end|> NEWLINE
-Placeholder:                       <|KIND|>
+Placeholder:                       <|KIND|>, KIND one of image, audio, document; other for the rest
 
 Escaping is reversible: inside texts and roles a backslash is put before the bar of every
 `<|`, `<\\|`, `<\\\\|` and so on, so that no control string can arise from a text; taking one
@@ -13,14 +13,18 @@ backslash away gives the text back. In roles, `%` and line ends are written %25
 
 The loss mask covers the body of each assistant turn (its text parts), as spans of code points.
 
-Null texts and roles count as empty. Null turns come first. Rows of one turn number are ordered by
+As texts hold no unescaped control string, read_back() tells placeholders from texts that look like
+them, and gives the parts back in their order.
+
+Null texts and roles count as empty; so does a null part, and a null list of parts has none. A part
+without kind is text. A kind that isn't known leaves the placeholder <|other|>, and its own name
+stands in the attachment record alone. Null turns come first. Rows of one turn number are ordered by
 role and content. Conversations with null id form one. A conversation becomes one row, as large as
 itself; no other state is kept for it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -28,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfscope.llm import scratch
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 PARTS = "array<struct<kind:string,text:string,ref:string,units:long>>"
 #: Tokens that one unit of an attachment expands to, and the least of any: an image's units are
 #: its 14 x 14 patches, an audio clip's are milliseconds, a document's are pages.
 TOKENS = {"image": (0.25, 1), "audio": (0.025, 1), "document": (1024.0, 1)}
+OTHER = "other"
+_PLACEHOLDER = re.compile(rf"<\|({'|'.join([*TOKENS, OTHER])})\|>")
 
 
 def escape(c: Column) -> Column:
@@ -53,10 +61,26 @@ def is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
+def joined_texts(parts: Column) -> Column:
+    """Parts with their numbers, texts that follow each other joined to one, so that no control
+    string arises where two of them meet."""
+    kind = "struct<kind:string,text:string,ref:string,units:long,part:int>"
+    numbered = F.transform(parts, lambda p, i: F.struct(F.coalesce(p["kind"], F.lit("text")).alias("kind"), F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).alias("text"), p["ref"].alias("ref"), p["units"].alias("units"), i.alias("part")).cast(kind))
+
+    def add(acc: Column, p: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.struct(last["kind"].alias("kind"), F.concat(last["text"], p["text"]).alias("text"), last["ref"].alias("ref"), last["units"].alias("units"), last["part"].alias("part")).cast(kind)
+        meet = (F.size(acc) > 0) & F.coalesce(last["kind"] == "text", F.lit(False)) & is_text(p)
+        return F.when(meet, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(p)))
+
+    return F.aggregate(numbered, F.expr(f"CAST(array() AS array<{kind}>)"), add)
+
+
 def visit(part: Column) -> Column:
     """What a part leaves in the body."""
     written = escape(F.coalesce(part["text"], F.lit("")))
-    return F.when(is_text(part), written).otherwise(F.concat(F.lit("<|"), F.regexp_replace(part["kind"], "[|<>]", "_"), F.lit("|>")))
+    kind = F.when(part["kind"].isin(list(TOKENS)), part["kind"]).otherwise(OTHER)
+    return F.when(is_text(part), written).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
 
 
 def expanded(part: Column) -> Column:
@@ -71,6 +95,7 @@ def render(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     """turns: conv_id, turn, role, parts. Returns for each conversation conv_id, formatted, loss
     (spans of code points), attachments (turn_number, part, placeholder number in the conversation,
     kind, ref, tokens) and attachment_tokens."""
+    turns = turns.withColumn("parts", joined_texts(F.coalesce("parts", F.expr(f"CAST(array() AS {PARTS})"))))
     role = escape(F.replace(F.replace(F.coalesce("role", F.lit("")), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
     pieces = F.transform("parts", visit)
     rows = turns.withColumn("head", F.concat(F.lit(START), role, F.lit("\n"))).withColumn("body", F.array_join(pieces, ""))
@@ -87,7 +112,7 @@ def render(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
         ),
     )["spans"]
     rows = rows.withColumn("texts", F.when(F.col("trained"), placed).otherwise(F.expr("CAST(array() AS array<struct<start:int,size:int>>)")))
-    marks = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"), is_text(p).alias("plain"))), lambda m: ~m["plain"])
+    marks = F.filter(F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"), is_text(p).alias("plain"))), lambda m: ~m["plain"])
     rows = rows.withColumn("marks", marks)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
     rows = rows.withColumn("number", F.row_number().over(order))
@@ -113,38 +138,46 @@ def render(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     )
 
 
+def _parts(body: str) -> list[dict]:
+    """A body's parts in order: texts unescaped, placeholders by their kind."""
+    cut = _PLACEHOLDER.split(body)  # texts and kinds by turns
+    out = [{"kind": "text", "text": unescape(x)} if k % 2 == 0 else {"kind": x, "text": None} for k, x in enumerate(cut)]
+    return [p for p in out if p["text"] != ""]
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parses render()'s output: conv_id, turns (role, text as written by the visitor, unescaped),
-    loss_text (all text under the mask, unescaped) and formatted_chars."""
+    """Parses render()'s output: conv_id, turns (role, parts of kind and text, and text: that of its
+    text parts joined), loss_text (all text under the mask, unescaped) and formatted_chars."""
+    part = pa.struct([("kind", pa.string()), ("text", pa.string())])
+    turn = pa.struct([("role", pa.string()), ("parts", pa.list_(part)), ("text", pa.string())])
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turns, losses = [], []
+            turns, losses, chars = [], [], []
             for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True):
                 own = []
                 for piece in text.split(START)[1:]:
                     role, body = piece.removesuffix(END).split("\n", 1)
-                    own.append({"role": unescape(role).replace("%0A", "\n").replace("%25", "%"), "text": unescape(body)})
+                    parts = _parts(body)
+                    own.append({"role": unescape(role).replace("%0A", "\n").replace("%25", "%"), "parts": parts, "text": "".join(p["text"] or "" for p in parts)})
                 turns.append(own)
                 losses.append("".join(unescape(text[s["start"] : s["start"] + s["size"]]) for s in spans or []))
-            chars = [len(x) for x in batch.column("formatted").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(losses, pa.string()), pa.array(chars, pa.int64())], ["conv_id", "turns", "loss_text", "formatted_chars"])
+                chars.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(turns, pa.list_(turn)), pa.array(losses, pa.string()), pa.array(chars, pa.int64())], ["conv_id", "turns", "loss_text", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(parse, "conv_id long, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long")
+    scratch.small_batches(formatted.sparkSession)
+    schema = "conv_id long, turns array<struct<role:string,parts:array<struct<kind:string,text:string>>,text:string>>, loss_text string, formatted_chars long"
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(parse, schema)
 
 
 def digests(back: DataFrame) -> DataFrame:
     """The read-back conversations in short: turn and loss digests and sizes."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for turns in batch.column("turns").to_pylist():
-                h = hashlib.sha256()
-                for t in turns:
-                    h.update(f"{t['role']}\n{t['text']}\n".encode())
-                out.append((len(turns), h.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([n for n, _ in out], pa.int64()), pa.array([h for _, h in out], pa.string()), batch.column("loss_text"), batch.column("formatted_chars")], ["conv_id", "n_turns", "turns_sha256", "loss_text", "formatted_chars"])
-
-    short = back.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_text string, formatted_chars long")
-    return short.select("conv_id", "n_turns", "turns_sha256", F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
