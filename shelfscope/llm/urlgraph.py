@@ -8,12 +8,13 @@ For pages without a rule, personalised PageRank over host edges decides. Edges a
 links in the pages' HTML, counted by pair of hosts, and one edge each way between a host and its
 parent domain. Trust restarts at hosts in proportion to their pages that rules allow and follows
 edges; distrust restarts at hosts in proportion to their pages that rules block and follows edges
-backwards, for who links to bad hosts is suspect. A host is blocked if its distrust exceeds
-`threshold` times its trust plus its share of all pages.
+backwards, for who links to bad hosts is suspect. Both are stepped until a round moves less than
+`tolerance` of the mass. A host's suspicion is distrust / (trust + distrust); it is blocked if that
+exceeds `threshold`. Hosts that neither reaches are allowed.
 
-A null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Null HTML
-has no links. Repeated rows each come back and each count as pages. An empty table gives an empty
-result.
+A null url, or one without `://`, has an empty host and path, fits no rule and is allowed; it has
+no place in the graph. Null HTML has no links. Repeated rows each come back and each
+count as pages. Rules with a null or empty host fit nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, as struct<rule, verdict>; null if none does."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for name, start, verdict in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+    for name, start, verdict in sorted((r for r in rules if r[0]), key=lambda r: len(r[0]) + len(r[1])):
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(start)
         out = F.when(fits, F.struct(F.lit(name + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
@@ -61,23 +62,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, name: str) -> DataFrame:
-    """(src, dst, weight) and seeds (host, seed, summing to 1 or empty) to (host, rank). The mass of
-    hosts without edges out returns to the seeds through the restart."""
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, every: int = 6) -> DataFrame:
+    """(src, dst, weight) and seeds (host, seed) to (host, rank). The mass of hosts without edges out
+    is lost to the others. Every `every` rounds the ranks are saved and compared with the last saved
+    ones: at damping d, all later rounds move at most d / (1 - d) times what one round moves."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), f"{name}-edges")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        moved = rank.join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-        rank = seeds.join(moved, F.col("host") == F.col("dst"), "full_outer").select(
-            F.coalesce("host", "dst").alias("host"), ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank")
-        )
-        if k % 4 == 3 or k == rounds - 1:
-            rank = scratch.save(rank, f"{name}-rank")
-    return rank
-
-
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = 12, damping: float = 0.85, threshold: float = 4.0) -> DataFrame:
+    shares = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-edges")
+    rank = seeds = scratch.save(seeds.select("host", "seed", F.col("seed").alias("rank")), "rank-seeds")
+    for _ in range(0, most_rounds, every):
+        last = rank
+        for _ in range(every):
+            before = rank
+            moved = rank.join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
+            rank = seeds.select("host", "seed").join(moved, F.col("host") == F.col("dst"), "full_outer").select(
+                F.coalesce("host", "dst").alias("host"), ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank")
+            )
+        step = before.select("host", F.col("rank").alias("previous"))
+        rank = scratch.save(rank.join(step, "host", "left").select("host", "rank", F.coalesce("previous", F.lit(0.0)).alias("previous")), "rank")
+        moved, mass = rank.agg(F.sum(F.abs(F.col("rank") - F.col("previous"))), F.sum("rank")).first()
+        if last is not seeds:
+            scratch.drop(last)
+        if (moved or 0) <= tolerance * (mass or 0):
+            break
+    return rank.select("host", "rank")
+
+
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust, a row for each row of pages."""
     pages = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     ruled = pages.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
@@ -85,11 +95,24 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     hosts = scratch.save(counted, "hosts")
     n, good, bad = (x or 0 for x in hosts.agg(F.sum("n"), F.sum("good"), F.sum("bad")).first())
     edges = scratch.save(host_edges(pages), "host-edges")
-    trust = page_rank(edges, hosts.where("good > 0").select("host", (F.col("good") / max(good, 1)).alias("seed")), rounds, damping, "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = page_rank(back, hosts.where("bad > 0").select("host", (F.col("bad") / max(bad, 1)).alias("seed")), rounds, damping, "distrust")
-    scored = hosts.join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left")
-    scored = scored.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), (F.col("n") / max(n, 1)).alias("share"))
-    scored = scored.withColumn("method", F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("share")), "block").otherwise("allow"))
-    out = ruled.drop("html").join(scored, "host", "left")
-    return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "method", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    # Both graphs go through one computation; a mark before the host keeps them apart.
+    mark = lambda m, c: F.concat(F.lit(m), c)
+    both = edges.select(mark("+", "src").alias("src"), mark("+", "dst").alias("dst"), "weight").unionByName(edges.select(mark("-", "dst").alias("src"), mark("-", "src").alias("dst"), "weight"))
+    seeds = hosts.where("good > 0").select(mark("+", "host").alias("host"), (F.col("good") / max(good, 1)).alias("seed"))
+    seeds = seeds.unionByName(hosts.where("bad > 0").select(mark("-", "host").alias("host"), (F.col("bad") / max(bad, 1)).alias("seed")))
+    rank = page_rank(both, seeds, damping, tolerance)
+    side = lambda m: F.coalesce(F.sum(F.when(F.col("host").startswith(m), F.col("rank"))), F.lit(0.0))
+    ranked = rank.groupBy(F.substr("host", F.lit(2)).alias("name")).agg(side("+").alias("trust"), side("-").alias("distrust"))
+    scored = hosts.join(ranked, F.col("host") == F.col("name"), "left").select("host", "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    suspicion = F.coalesce(F.try_divide("distrust", F.col("trust") + F.col("distrust")), F.lit(0.0))
+    scored = scratch.save(scored.withColumn("method", F.when(suspicion > threshold, "block").otherwise("allow")), "host-scores")
+
+    # Hosts with more than a thousandth of all pages are a thousand at most and go to every task; the
+    # others' pages meet their host by a shuffle in which no host is large.
+    what = F.struct("trust", "distrust", "method")
+    common = scored.where(F.col("n") * 1000 > n).select("host", what.alias("common"))
+    rest = scored.where(F.col("n") * 1000 <= n).select(F.col("host").alias("other"), what.alias("rest"))
+    out = ruled.drop("html").join(F.broadcast(common), "host", "left")
+    spread = F.when(F.col("common").isNull(), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string")))  # no host has a /
+    out = out.withColumn("meet", spread).join(rest, F.col("meet") == F.col("other"), "left").withColumn("s", F.coalesce("common", "rest"))
+    return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "s.method", F.lit("allow")).alias("verdict"), F.coalesce("s.trust", F.lit(0.0)).alias("trust"), F.coalesce("s.distrust", F.lit(0.0)).alias("distrust"))
