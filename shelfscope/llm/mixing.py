@@ -15,7 +15,11 @@
 5. Blocks are joined to the documents they hold by index.
 
 Every draw is a hash of its place and the seed: reruns agree. Offsets in a stream are prefix sums
-in two steps, so that a source with a third of all rows is never sorted in one task.
+in two steps over as many parts as the square root of the rows, so that a source with a third of all
+rows is never sorted in one task. What is kept for each source, one row, is ordered in one task.
+
+packed() gives the mix itself, the pieces of documents in every slot of every shard; mix() how much of
+each document it takes.
 
 A null text has size 0 and is never taken. Null ids are kept and come first in their part. Repeated
 rows count each. An empty table gives an empty result.
@@ -23,6 +27,8 @@ rows count each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +98,15 @@ def draws(plan: DataFrame, seed: int, shard: int) -> DataFrame:
     return counts.unionByName(missing.where("n > 0"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = 256, shard: int = 8192, part: int = 50_000, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted), a
-    row for each row of docs. part: rows whose offsets are summed in one task, about."""
+def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget: float, cap: int, block: int, shard: int, part: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of documents in each block: row, doc_id, source, size, source_size, target, number,
+    index, skip (words of the document before the piece) and words; a document without words has one
+    piece without index. And the slots: number, shard, slot, index."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    parts = rows.count() // part + 1
+    total = rows.count()
+    parts = total // part + 1 if part else math.isqrt(total) + 1
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, budget, cap).withColumn("block", F.expr(f"least({block}L, greatest(1L, source_size div {LEAST_BLOCKS}))"))
     plan = plan.withColumn("blocks", F.expr("(source_size + block - 1) div block"))
@@ -106,11 +114,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = scratch.save(plan.withColumn("quota", F.least(wanted, cap * F.col("blocks"))), "mix-plan")
 
     known = plan.select(F.col("source").alias("name"), "number", "source_size", "target", "block")
-    rows = rows.join(small(known), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    rows = rows.join(small(known), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
     before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("number", "part").agg(F.sum("size").alias("total")).select("number", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("number", "part").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["number", "part"]).withColumn("start", F.col("base") + F.col("ahead"))
+    cut = placed.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block")))))
+    first = F.greatest("start", F.col("index") * F.col("block"))
+    words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("block")) - first
+    pieces = cut.select("row", "doc_id", "source", "size", "source_size", "target", "number", "index", (first - F.col("start")).alias("skip"), words.alias("words"))
 
     counts = draws(plan.select("number", "quota"), seed, shard)
     earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,12 +130,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     runs = runs.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).where("from < to")
     # The few runs stand for many slots, so they are dealt out before they are unfolded.
     runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "shard")
-    slots = runs.select("number", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
+    slots = runs.select("number", "blocks", "shard", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
     salt = F.xxhash64("number", F.expr("slot div blocks"), F.lit(seed))
-    taken = slots.select("number", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), salt).alias("index")).groupBy("number", "index").agg(F.count("*").alias("times"))
+    return pieces, slots.select("number", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), salt).alias("index"))
 
-    cut = placed.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block")))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("block")) - F.greatest("start", F.col("index") * F.col("block"))
-    joined = cut.join(taken, ["number", "index"], "left").withColumn("words", F.coalesce(words * F.col("times"), F.lit(0)))
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = 256, shard: int = 8192, part: int | None = None, seed: int = 1) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted), a
+    row for each row of docs. part: rows whose offsets are summed in one task, about; the square root
+    of all if None."""
+    pieces, slots = _laid_out(docs, id_col, text_col, source_col, weights, budget, cap, block, shard, part, seed)
+    times = slots.groupBy("number", "index").agg(F.count("*").alias("times"))
+    joined = pieces.join(times, ["number", "index"], "left").withColumn("words", F.coalesce(F.col("words") * F.col("times"), F.lit(0)))
     keys = ["row", "doc_id", "source", "size", "source_size", "target"]
     return joined.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken")).drop("row")
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = 256, shard: int = 8192, part: int | None = None, seed: int = 1) -> DataFrame:
+    """The mix: shard, source, slot (of its source, through all shards), doc_id, skip and words (the
+    piece of the document that stands there), one row for each piece of each slot's block."""
+    pieces, slots = _laid_out(docs, id_col, text_col, source_col, weights, budget, cap, block, shard, part, seed)
+    return slots.join(pieces, ["number", "index"]).select("shard", "source", "slot", "doc_id", "skip", "words")
