@@ -129,8 +129,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
     e = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x > y").distinct()
+    last = None
     for _ in range(rounds):
         e = scratch.save(star(star(e, small=False), small=True), "star")
+        if last is not None:
+            scratch.drop(last)
+        last = e
         if settled(e):
             return e.select(F.col("x").alias("node"), F.col("y").alias("root"))
     raise RuntimeError("components did not settle")
@@ -213,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_shingles, component_id (least id reachable) and kept (doc_id is that id), a
     row for each row of docs.
     """
+    scratch.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.save(docs.mapInArrow(_signatures(shingle, half_keys), SIGNATURE), "signatures")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -220,7 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.dropDuplicates(["doc_id"]).join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
 
     one, two = (reps.select("doc_id", F.explode(c).alias("key"), F.lit(side).alias("side")) for side, c in enumerate("ab"))
-    shared = one.unionByName(two).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    keys = one.unionByName(two)
+    # Counted before the shuffle, so that a key of a third of all documents is no task's burden.
+    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = keys.join(twice.hint("merge"), "key", "left_semi")
     halves = shared.groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("side") == side, F.col("key"))).alias(c) for side, c in enumerate("ab")))
     halves = scratch.save(halves.where((F.size("a") > 0) & (F.size("b") > 0)), "half-keys")
     sizes = classes.select(F.col("rep").alias("doc_id"), "n")
