@@ -240,7 +240,7 @@ def test_url_rules_and_parts(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
     cases = {"http://A.example.com/en/1?x": ("a.example.com", "/en/1", "example.com/en/", "block"), "x://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://b.net/es/#f": ("b.net", "/es/", "net/es/", "block"), "http://com/": ("com", "/", "com/", "allow"), "http://xcom": ("xcom", "", None, "allow"), "nope": ("", "", None, "allow")}
     rows = [(i, u, None) for i, u in enumerate(cases)] + [(99, None, "<a href=''>")]
-    out = {r.page_id: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, rounds=2).collect()}
+    out = {r.page_id: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
     assert [(out[i].host, out[i].path, out[i].rule, out[i].verdict) for i in range(len(cases))] == list(cases.values())
     assert (out[99].host, out[99].rule, out[99].verdict) == ("", None, "allow")
 
@@ -251,7 +251,7 @@ def test_page_rank_equals_power_iteration(spark):
     np.fill_diagonal(w, 0)
     edges = [(f"h{i}", f"h{j}", float(w[i, j])) for i in range(6) for j in range(6) if w[i, j]]
     seeds = spark.createDataFrame([("h0", 0.75), ("h3", 0.25)], "host string, seed double")
-    out = {r.host: r["rank"] for r in urlgraph.page_rank(spark.createDataFrame(edges, "src string, dst string, weight double"), seeds, 9, 0.85, "t").collect()}
+    out = {r.host: r["rank"] for r in urlgraph.page_rank(spark.createDataFrame(edges, "src string, dst string, weight double"), seeds, most_rounds=9, every=9).collect()}
     s = np.array([0.75, 0, 0, 0.25, 0, 0])
     total = w.sum(axis=1, keepdims=True)
     step, v = np.divide(w, total, out=np.zeros_like(w), where=total > 0), s
@@ -263,7 +263,7 @@ def test_page_rank_equals_power_iteration(spark):
 def test_distrust_spreads_to_hosts_that_link_to_blocked_ones(spark):
     bad = [(i, f"http://bad{i % 2}.org/x", None) for i in range(4)]
     fan = [(10, "http://fan.io/", "<a href='http://bad0.org/'>x</a>" * 5), (11, "http://calm.dev/", None)]
-    out = {r.page_id: r.verdict for r in urlgraph.judge(spark.createDataFrame(bad + fan, "page_id long, url string, html string"), [("bad0.org", "/", "block"), ("bad1.org", "/", "block")], threshold=0.5).collect()}
+    out = {r.page_id: r.verdict for r in urlgraph.judge(spark.createDataFrame(bad + fan, "page_id long, url string, html string"), [("bad0.org", "/", "block"), ("bad1.org", "/", "block")]).collect()}
     assert out[10] == "block" and out[11] == "allow"
 
 
