@@ -1,6 +1,6 @@
 """A corpus pipeline over `documents`: five stages, each written as Parquet and read by the next.
 
-All stages but the last return the columns of documents. Decisions of one stage take effect in what
+All stages but the last return the columns of documents, and any further ones that these have. Decisions of one stage take effect in what
 it returns. The last returns a row for each remaining document with the words that the mix takes.
 """
 
@@ -18,30 +18,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay."""
+    """Documents whose language is recognised stay; those without text or letters go."""
     return langid.accepted(docs, language_model(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    stay = exact.duplicates(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text"))
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(stay, (digest == F.col("stay_text")) & F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    """Of equal texts (null as empty) the row with the largest id stays, with a null id only if all
+    of them have none; repeated rows of that id and text stay together."""
+    stay = exact.duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    same = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == stay["text_sha256"]
+    return docs.join(stay, same & docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the least id stays."""
-    stay = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    """Of each group of near duplicates the one with the least id stays; texts without words, and
+    rows without id, are in no group and stay."""
+    stay = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word in any benchmark window stay."""
+    """Documents without a word in any benchmark window stay, those without text among them."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document; a null source is a source of its own."""
     return mixing.mix(docs)
 
 
@@ -61,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.drop(before)  # only what an earlier stage has written
     return STAGES[-1][1](spark, docs, sf_dir)
