@@ -60,11 +60,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, where: str) -> None:
+    """Deletes a folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(where)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes the files of tables that save() returned and that no later plan reads."""
     for df in tables:
-        where = getattr(df, "scratch_path", None)
-        if where:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            at = jvm.org.apache.hadoop.fs.Path(where)
-            at.getFileSystem(conf).delete(at, True)
+        if where := getattr(df, "scratch_path", None):
+            remove(df.sparkSession, where)

@@ -6,35 +6,40 @@ per distinct run: anchor hash `fp`, digest `dig` of the run's words, the documen
 first, and its place there. Equal windows always have equal anchors, so two documents share a
 window only if they have an `fp` in common.
 
-The index is log-structured: each batch adds one immutable run table, bucketed and sorted by `fp`.
-A new batch is brought to the same buckets and merged with the runs bucket by bucket; history is
-neither shuffled nor sorted again. Runs whose digest is known from an earlier document are repeats
-as a whole. Where only the anchor is known, both places are looked up in the texts and their
-windows compared by digests of the words themselves (verification). When more than `fan_in` runs
-have gathered, they are compacted into one.
+The index is log-structured: each batch adds one immutable table, bucketed and sorted by `fp` and
+`dig`. A new batch is reduced to its distinct runs, dealt to the same buckets and merge-joined with
+each earlier table, bucket by bucket: history is neither shuffled nor sorted again. Runs whose digest
+is known from an earlier document are repeats as a whole. Where only the anchor is known, both places
+are looked up in the texts and their windows compared by digests of the words themselves
+(verification). When more than `fan_in` tables have gathered, the next batch first compacts the two
+latest, again bucket by bucket.
+
+The tables and a manifest lie in a folder; open() goes on from it in a later session. A batch that
+fails leaves the manifest, and so the index, as it was.
 
 Null or empty texts have no words. Texts of fewer words than the window have no windows. Rows with
-a null id are never compared: they keep their words. Rows with one id must have one text. An empty
-table gives an empty result.
+a null id are never compared: they keep their words. Rows with one id must have one text; repeated
+rows each come back, all with what one of them would keep. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.llm import scratch
 from shelfscope.llm.textbytes import SPACES, Words, anchors, slices, word_prefix
 
 PRINTS = "doc_id long, fp long, dig long, span long"
-WINDOWS = "doc_id long, h1 long, h2 long, start long"
+WINDOWS = "doc_id long, h1 long, h2 long, start long, fresh boolean"
 #: A span packs its first window start and the number of further starts below this.
 SPAN = 1 << 12
 
@@ -91,11 +96,12 @@ def expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _windows(window: int):
-    """(doc_id, text, spans) to a row for each window that the spans name."""
+    """(doc_id, text, spans, fresh) to a row for each window that the spans name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            fresh = batch.column(3).to_numpy(zero_copy_only=False)
             spans, cut = list_column(batch.column(2))
             for i, j, buf, offsets in slices(batch.column(1)):
                 words = Words(buf, offsets, SPACES)
@@ -107,7 +113,7 @@ def _windows(window: int):
                 raw, at = spaced(buf, words)
                 place = start + words.first[doc]
                 h = digests(memoryview(raw), at[place], at[place + window] - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(start)], ["doc_id", "h1", "h2", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(start), pa.array(fresh[i + doc].astype(bool))], ["doc_id", "h1", "h2", "start", "fresh"])
 
     return run
 
@@ -144,82 +150,135 @@ def _cut(window: int):
     return run
 
 
+@contextmanager
+def _bucketwise(spark: SparkSession) -> Iterator[None]:
+    """Joins on (fp, dig) take the buckets and the order of tables that are bucketed by fp and sorted
+    by both as they are."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class FingerprintIndex:
     """Incremental index of word-window fingerprints; see the module's docstring.
 
     Batches come in ascending order of ids: each id of a batch is above all earlier ones.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 50, gram: int = 25, fan_in: int = 1):
+    def __init__(self, spark: SparkSession, window: int = 50, gram: int = 25, fan_in: int = 1, folder: str | None = None, buckets: int | None = None):
         if not 1 <= gram <= window <= SPAN:
             raise ValueError(f"1 <= gram <= window <= {SPAN} must hold")
         self.spark, self.window, self.gram, self.fan_in = spark, window, gram, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder or scratch.path(spark, "substring-index")
         self.runs: list[str] = []
+        self.version = 0
+        scratch.small_batches(spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fan_in: int = 1) -> FingerprintIndex:
+        """The index as its last finished batch left it in the folder."""
+        last = spark.read.schema("window long, gram long, buckets long, runs array<string>, version long").parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        index = cls(spark, last["window"], last["gram"], fan_in, folder, last["buckets"])
+        index.runs, index.version = list(last["runs"]), last["version"]
+        for name in index.runs:
+            columns = "fp BIGINT, dig BIGINT, doc_id BIGINT, span BIGINT, n BIGINT, head BIGINT"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, dig) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        return index
 
     def _write(self, df: DataFrame) -> str:
         name = f"substring_run_{uuid.uuid4().hex}"
-        with scratch.freed_shuffles(self.spark):
-            df.write.bucketBy(self.buckets, "fp").sortBy("fp", "dig").format("parquet").saveAsTable(name)
+        with scratch.freed_shuffles(self.spark), _bucketwise(self.spark):
+            df.write.bucketBy(self.buckets, "fp").sortBy("fp", "dig").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _history(self) -> DataFrame | None:
-        kept = [self.spark.table(x).where("indexed").select("fp", "dig", "doc_id", "span") for x in self.runs]
-        return reduce(DataFrame.unionByName, kept) if kept else None
+    def _finish(self, runs: list[str]) -> None:
+        self.runs, self.version = runs, self.version + 1
+        state = [(self.window, self.gram, self.buckets, runs)]
+        self.spark.createDataFrame(state, "window long, gram long, buckets long, runs array<string>").coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+
+    def _history(self) -> list[DataFrame]:
+        """The distinct runs of each table: those that no earlier one had."""
+        return [self.spark.table(x).where("head IS NULL").select("fp", "dig", "doc_id", "span") for x in self.runs]
+
+    def merged(self, prints: DataFrame) -> DataFrame:
+        """A batch's distinct runs with the first place and number of each, and as head the earlier
+        document that has it. Only the batch is shuffled."""
+        place = F.min(F.struct("doc_id", "span")).alias("p")
+        rows = prints.groupBy("fp", "dig").agg(place, F.count("*").alias("n")).repartition(self.buckets, "fp").select("fp", "dig", "p.doc_id", "p.span", "n", F.lit(None).cast("long").alias("head"))
+        for past in self._history():
+            known = past.select("fp", "dig", F.col("doc_id").alias("known")).hint("merge")
+            rows = rows.join(known, ["fp", "dig"], "left").withColumn("head", F.coalesce("head", "known")).drop("known")
+        return rows
+
+    def _probes(self, run: str) -> DataFrame:
+        """Places whose windows have to be compared: runs that share an anchor with another of which
+        one at least is new. (doc_id, span, fresh)"""
+        new = self.spark.table(run).where("head IS NULL").select("fp", "doc_id", "span")
+        per = new.groupBy("fp").agg(F.count("*").alias("own"))
+        mixed = new.join(per.hint("merge"), "fp").withColumn("company", F.col("own") > 1)
+        out = None
+        for past in self._history():
+            old = past.join(per.select("fp").hint("merge"), "fp", "left_semi").select("doc_id", "span", F.lit(False).alias("fresh"))
+            out = old if out is None else out.unionByName(old)
+            there = past.groupBy("fp").agg(F.lit(True).alias("there"))
+            mixed = mixed.join(there.hint("merge"), "fp", "left").withColumn("company", F.col("company") | F.col("there").isNotNull()).drop("there")
+        fresh = mixed.where("company").select("doc_id", "span", F.lit(True).alias("fresh"))
+        return fresh if out is None else out.unionByName(fresh)
 
     def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text) and returns its marks (doc_id, spans): windows that an
         earlier document has. texts: all documents so far, this batch included."""
-        new = batch.mapInArrow(_prints(self.window, self.gram), PRINTS).repartition(self.buckets, "fp").withColumn("fresh", F.lit(True))
-        history = self._history()
-        rows = new if history is None else history.withColumn("fresh", F.lit(False)).unionByName(new)
-        alike = Window.partitionBy("fp", "dig").orderBy("doc_id", "span")
-        group = Window.partitionBy("fp")
-        rows = (
-            rows.withColumn("head", F.first("doc_id").over(alike))
-            .withColumn("nth", F.row_number().over(alike))
-            .withColumn("variants", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(group))
-            .withColumn("news", F.max(F.col("fresh") & (F.col("doc_id") == F.col("head"))).over(group))
-            .select(
-                "fp",
-                "dig",
-                "doc_id",
-                "span",
-                (F.col("fresh") & (F.col("nth") == 1)).alias("indexed"),
-                (F.col("fresh") & (F.col("head") < F.col("doc_id"))).alias("known"),
-                ((F.col("head") == F.col("doc_id")) & (F.col("variants") > 1) & F.col("news")).alias("probe"),
-                "fresh",
-            )
-            .where("fresh OR probe")
-        )
-        self.runs.append(run := self._write(rows))
-        found = self.spark.table(run)
-        wanted = found.where("probe").groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.max("fresh").alias("fresh"))
-        windows = texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(self.window), WINDOWS)
-        same = Window.partitionBy("h1", "h2")
-        repeats = windows.withColumn("head", F.min("doc_id").over(same)).where("head < doc_id")
-        repeats = repeats.join(wanted.where("fresh").select("doc_id"), "doc_id", "left_semi")
-        spans = found.where("known").select("doc_id", "span").unionByName(repeats.select("doc_id", (F.col("start") * SPAN).alias("span")))
-        marks = scratch.save(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "substring-marks")
         if len(self.runs) > self.fan_in:
             self.compact()
+        prints = scratch.save(batch.mapInArrow(_prints(self.window, self.gram), PRINTS), "substring-prints")
+        run = self._write(self.merged(prints))
+        # Rows of one passage meet only its head; a passage of very many rows is split by the join.
+        heads = self.spark.table(run).where("head IS NOT NULL OR n > 1").select("fp", "dig", F.coalesce("head", "doc_id").alias("first"))
+        known = prints.join(heads.hint("merge"), ["fp", "dig"]).where(F.col("first") < F.col("doc_id")).select("doc_id", "span")
+        known = scratch.save(known, "substring-known")
+        with _bucketwise(self.spark):
+            probes = scratch.save(self._probes(run), "substring-probes")
+        wanted = probes.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.max("fresh").alias("fresh"))
+        found = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "spans", "fresh")
+        windows = scratch.save(found.mapInArrow(_windows(self.window), WINDOWS), "substring-windows")
+        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        repeats = windows.where("fresh").join(first.hint("merge"), ["h1", "h2"]).where(F.col("first") < F.col("doc_id"))
+        spans = known.unionByName(repeats.select("doc_id", (F.col("start") * SPAN).alias("span")))
+        marks = scratch.save(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "substring-marks")
+        self._finish([*self.runs, run])
+        scratch.drop(prints, known, probes, windows)
         return marks
 
+    def compaction(self) -> DataFrame:
+        """The rows of the two latest tables, whose runs are distinct, in their buckets' order."""
+        one, two = (past.select("fp", "dig", F.struct("doc_id", "span").alias(c)).hint("merge") for c, past in zip("ab", self._history()[-2:], strict=True))
+        both = one.join(two, ["fp", "dig"], "full_outer").withColumn("p", F.coalesce("a", "b"))
+        return both.select("fp", "dig", "p.doc_id", "p.span", F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("head"))
+
     def compact(self) -> None:
-        """Merges all runs into one; their rows are distinct already."""
-        old, merged = self.runs, self._history()
-        if merged is not None and len(old) > 1:
-            self.runs = [self._write(merged.withColumn("indexed", F.lit(True)))]
+        """Merges the two latest tables into one until fan_in are left."""
+        while len(self.runs) > max(self.fan_in, 1):
+            old = self.runs[-2:]
+            self._finish([*self.runs[:-2], self._write(self.compaction())])
             for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                scratch.remove(self.spark, f"{self.folder}/{name}")
 
     def drop(self) -> None:
         for name in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.runs = []
+        scratch.remove(self.spark, self.folder)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 25, batches: int = 3) -> DataFrame:
     """Removes every word covered by a window that also starts in a document with a smaller id.
 
     The documents go through a FingerprintIndex in `batches` batches by id. Returns doc_id, text
@@ -231,10 +290,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = texts.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     index, marks = FingerprintIndex(spark, window, gram), []
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        upto = texts if high is None else texts.where(F.col("doc_id") <= high)
-        batch = upto if low is None else upto.where(F.col("doc_id") > low)
-        marks.append(index.add(batch, upto))
-    index.drop()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            upto = texts if high is None else texts.where(F.col("doc_id") <= high)
+            batch = upto if low is None else upto.where(F.col("doc_id") > low)
+            marks.append(index.add(batch, upto))
+    finally:
+        index.drop()
     marked = docs.join(reduce(DataFrame.unionByName, marks), "doc_id", "left")
     return marked.select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long")

@@ -69,18 +69,51 @@ def test_substring_dedup(spark, batches):
     assert len(got) == len(rows)
 
 
-def test_substring_index_compacts(spark):
+def exchanges(plan: str) -> list[int]:
+    """How many exchanges stand above each scan of an index table in a plan's tree."""
+    out, path = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        path = [x for x in path if x[0] < depth] + [(depth, "Exchange" in line)]
+        if "substring_run" in line:
+            out.append(sum(e for _, e in path))
+    return out
+
+
+def test_substring_index_is_merged_compacted_and_opened_again(spark):
     rows = [(i, t) for i, t in corpus() if t]
     index, docs = substring.FingerprintIndex(spark, 10, 5, fan_in=2), frame(spark, rows).select("doc_id", "text")
-    marked = set()
-    for low, high in ((0, 8), (8, 14), (14, 20), (20, 99)):
+    marked, numbers = set(), []
+    for low, high in ((0, 8), (8, 14), (14, 17), (17, 20), (20, 99)):
         batch = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        if low:
+            index = substring.FingerprintIndex.open(spark, index.folder, fan_in=2)
+            with substring._bucketwise(spark):
+                prints = batch.mapInArrow(substring._prints(10, 5), substring.PRINTS)
+                plan = index.merged(prints)._jdf.queryExecution().executedPlan().toString()
+                found = exchanges(plan)
+                assert len(found) == len(index.runs) and not any(found), plan
+                if len(index.runs) > 1:
+                    plan = index.compaction()._jdf.queryExecution().executedPlan().toString()
+                    assert exchanges(plan) == [0, 0], plan
         marked |= {r.doc_id for r in index.add(batch, docs.where(F.col("doc_id") < high)).collect()}
-        assert len(index.runs) <= 2
-    index.drop()
+        numbers.append(len(index.runs))
+    assert numbers == [1, 2, 3, 3, 3]
+    for name in index.runs:
+        spark.sql(f"DROP TABLE {name}")
+    again = substring.FingerprintIndex.open(spark, index.folder)
+    assert [spark.table(x).count() for x in again.runs] and again.runs == index.runs
+    again.drop()
     assert marked == {i for i, (_, n, _) in brute_words(rows, 10).items() if n}
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    rows = corpus()
+    got = substring.remove_repeats(frame(spark, rows + rows[12:])).collect()
+    want = brute_words(rows, 50)
+    assert len(got) == len(rows) + len(rows[12:]) and all((r.n_words, r.n_removed, r.text) == want[r.doc_id] for r in got)
+
+
 def test_suffix_array_dedup(spark):
     rows = corpus(2)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixarray.remove_repeats(frame(spark, rows)).collect()}
