@@ -114,9 +114,10 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert len(got) == len(rows) + len(rows[12:]) and all((r.n_words, r.n_removed, r.text) == want[r.doc_id] for r in got)
 
 
-def test_suffix_array_dedup(spark):
-    rows = corpus(2)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixarray.remove_repeats(frame(spark, rows)).collect()}
+@pytest.mark.parametrize(("busy", "most"), [(1000, 500), (1, 2), (10**6, 1)])
+def test_suffix_array_dedup(spark, busy, most):
+    rows = corpus(2) + [(100 + i, t) for i, t in enumerate(near_group(20, 5))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixarray.remove_repeats(frame(spark, rows), busy=busy, most=most).collect()}
     seen, want = set(), {}
     for i, t in rows:
         b = (t or "").encode()
@@ -129,6 +130,18 @@ def test_suffix_array_dedup(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("window", [1, 5, 8, 13, 16, 100])
+def test_dictionary_suffixes_are_in_the_order_of_their_bytes(window):
+    rng = random.Random(window)
+    raw = bytes(rng.choice(b"ab\x00\xff") for _ in range(300)) + b"ab" * 120 + b"a" * 150
+    starts = np.array(sorted(rng.sample(range(len(raw) - window + 1), 300)))
+    order, same = suffixarray.suffix_array(np.frombuffer(raw, np.uint8), starts, window)
+    cut = [raw[a : a + window] for a in starts.tolist()]
+    assert [cut[k] for k in order.tolist()] == sorted(cut)
+    ranks = {x: k for k, x in enumerate(sorted(set(cut)))}
+    assert [ranks[x] for x in cut] == same.tolist()
+
+
 def test_suffix_array_dedup_repeated_rows(spark):
     rows = corpus(2)
     once = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffixarray.remove_repeats(frame(spark, rows)).collect()}
