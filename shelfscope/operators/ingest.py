@@ -1,7 +1,10 @@
 """A finished crawl against the stored state: change log, new state, snapshot.
 
 Times come in as arguments. A crawl's rows are normalised and, where an identity key repeats, only
-the first row counts. Removals are only read off full crawls that found products.
+the first row counts. A batch may hold crawls of several origins: facts() tells for each when it
+ended, whether it is full, and when the last full crawl before it ended (its anchor). Stored products
+of other origins take no part. Removals are only read off full crawls that found products, and of
+products seen since the anchor, so that each is reported once.
 """
 
 from __future__ import annotations
@@ -46,6 +49,48 @@ def normalised(raw: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.withColumn("price_usd", prices.to_usd(F.col("price"), F.col("currency"), F.col("rate"))).drop("rate")
 
 
+def facts(crawls: DataFrame, crawl: DataFrame, snapshots: DataFrame, start: Column | None = None) -> DataFrame:
+    """(origin, at, full, anchor), a row for each origin crawled. crawls: origin, at, full_crawl,
+    capped; snapshots: the earlier ones. Without a full one before, the anchor is `start`."""
+    since = snapshots.where("full").groupBy("origin").agg(F.max("finished_at").alias("anchor"))
+    rows = crawl.groupBy("origin").agg(F.lit(True).alias("some"))
+    full = F.coalesce("full_crawl", F.lit(True)) & ~F.coalesce("capped", F.lit(False)) & F.col("some").isNotNull()
+    first = F.timestamp_seconds(F.lit(0)) if start is None else start
+    return crawls.join(rows, "origin", "left").join(since, "origin", "left").select("origin", "at", full.alias("full"), F.coalesce("anchor", first).alias("anchor"))
+
+
+def compared_by_origin(state: DataFrame, crawl: DataFrame, facts: DataFrame) -> DataFrame:
+    """compared() of the origins in facts alone, with their facts beside it."""
+    own = state.join(facts.select("origin"), "origin", "left_semi")
+    return compared(own, crawl).join(facts, "origin")
+
+
+def snapshot_id(origin: Column, at: Column) -> Column:
+    """The id of the snapshot of an origin's crawl; its events carry it from the start."""
+    return F.md5(F.concat_ws("|", origin, at.cast("string")))
+
+
+def stamped(log: DataFrame) -> DataFrame:
+    return log.withColumn("snapshot_id", snapshot_id(F.col("origin"), F.col("at")))
+
+
+def snapshots_of(both: DataFrame, log: DataFrame, facts: DataFrame) -> DataFrame:
+    """The snapshot row of each origin crawled, from compared_by_origin() and its change log."""
+    types = ("added", "removed", "price_changed", "stock_changed")
+    counts = log.groupBy("origin").agg(*(F.count_if(F.col("type") == t).alias(t) for t in types))
+    seen = both.groupBy("origin").agg(
+        F.count_if(F.col("was").isNotNull() & F.col("now").isNotNull() & (F.col("now.name") != F.col("was.name"))).alias("renamed"), F.count_if(F.col("now").isNotNull()).alias("products")
+    )
+    rows = facts.join(counts, "origin", "left").join(seen, "origin", "left")
+    numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*types, "renamed", "products"))
+    return rows.select(snapshot_id(F.col("origin"), F.col("at")).alias("snapshot_id"), "origin", urls.host_key(F.col("origin")).alias("key"), F.col("at").alias("finished_at"), "full", *numbers)
+
+
+def changed(snapshots: DataFrame) -> DataFrame:
+    """The origins whose crawl changed anything: those whose matches have to be formed anew."""
+    return snapshots.where("added + removed + price_changed + stock_changed + renamed > 0").select("origin")
+
+
 def compared(state: DataFrame, crawl: DataFrame) -> DataFrame:
     """State and crawl side by side: structs `was` and `now`, either null."""
     keys = ["origin", "identity_key"]
@@ -59,7 +104,7 @@ def price_moved(now: Column, was: Column) -> Column:
     return now.isNotNull() & ~now.eqNullSafe(was)
 
 
-def events(both: DataFrame, at: Column, anchor: Column, full: bool) -> DataFrame:
+def events(both: DataFrame, at: Column, anchor: Column, full: bool | Column) -> DataFrame:
     """The change log of a crawl. anchor: when the last full crawl before it ended."""
     point = {side: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.price").alias("price"), F.col(f"{side}.available").alias("available"))) for side in ("was", "now")}
     new, gone = F.col("was").isNull(), F.col("now").isNull() & F.lit(full) & (F.col("was.last_seen_at") >= anchor)
@@ -72,7 +117,7 @@ def events(both: DataFrame, at: Column, anchor: Column, full: bool) -> DataFrame
             F.when(gone, "removed"),
         )
     )
-    rows = both.select("origin", "identity_key", "was", "now", F.explode(types).alias("type"))
+    rows = both.select("*", F.explode(types).alias("type"))
     shown = F.coalesce("now", F.struct(*(F.col(f"was.{f}").alias(f) for f in rows.schema["now"].dataType.names)))
     return rows.select("origin", shown["key"].alias("key"), "identity_key", "type", shown["name"].alias("name"), shown["url"].alias("url"), point["was"].alias("old"), point["now"].alias("new"), at.alias("at"))
 

@@ -88,6 +88,33 @@ def crawl_events(spark, d):
     return log.select("origin", "identity_key", "type", F.col("old.price").alias("old_price"), F.col("new.price").alias("new_price"))
 
 
+def _store_crawls(spark, d):
+    """A batch of crawls of six stores in one month, some partial or capped, against the state before:
+    (both, log, facts)."""
+    months, s = _months(spark, d), F.col("store_id")
+    point = [s.cast("string").alias("origin"), s.cast("string").alias("key"), F.col("product_id").cast("string").alias("identity_key")]
+    rest = [F.concat(F.lit("product "), F.col("product_id")).alias("name"), F.lit("").alias("url"), "price", "available"]
+    before = analytics.latest(months.where(F.col("month") < MONTH), ["store_id", "product_id"], "month")
+    state = before.select(*point, *rest, F.col("month").alias("last_seen_at"))
+    crawl = months.where((F.col("month") == MONTH) & (s <= 5)).select(*point, *rest)
+    past = months.where(F.col("month") < MONTH).select("store_id", "month").distinct()
+    snapshots = past.select(s.cast("string").alias("origin"), F.col("month").alias("finished_at"), ((F.col("month") + s) % 3 == 0).alias("full"))
+    crawls = spark.range(6).select(F.col("id").cast("string").alias("origin"), F.lit(MONTH).cast("long").alias("at"), (F.col("id") % 2 == 0).alias("full_crawl"), (F.col("id") == 4).alias("capped"))
+    facts = ingest.facts(crawls, crawl, snapshots, F.lit(0).cast("long"))
+    both = ingest.compared_by_origin(state, crawl, facts)
+    return both, ingest.stamped(ingest.events(both, F.col("at"), F.col("anchor"), F.col("full"))), facts
+
+
+def multi_store_events(spark, d):
+    _, log, _ = _store_crawls(spark, d)
+    return log.select("origin", "identity_key", "type", F.col("old.price").alias("old_price"), F.col("new.price").alias("new_price"), "snapshot_id")
+
+
+def multi_store_snapshots(spark, d):
+    s = ingest.snapshots_of(*_store_crawls(spark, d))
+    return s.join(ingest.changed(s).withColumn("rematch", F.lit(True)), "origin", "left").withColumn("rematch", F.coalesce("rematch", F.lit(False)))
+
+
 def biggest_movers(spark, d):
     c = _changes(_obs(spark, d)).where("first IS NOT NULL AND first <> price").select("store_id", "product_id", "t", "first", F.col("price").alias("latest"))
     m = analytics.movers(c).select("store_id", "product_id", _day().alias("day"), "first", "latest", half_up(F.col("change"), 2).alias("change"))
@@ -170,9 +197,8 @@ def price_history_tail(spark, d):
 
 
 def price_range(spark, d):
-    h = _obs(spark, d).groupBy("store_id", "product_id").agg(F.array_sort(F.collect_list(F.struct("t", "price"))).alias("h"))
-    p = F.col("h.price")
-    return h.select("store_id", "product_id", F.array_min(p).alias("low"), F.array_max(p).alias("high"), F.size("h").cast("long").alias("n"), F.try_element_at(p, F.lit(-1)).alias("last"))
+    h = _obs(spark, d).groupBy("store_id", "product_id")
+    return h.agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("n"), F.max_by("price", "t").alias("last"))
 
 
 def snapshot_retention(spark, d):
@@ -233,7 +259,7 @@ def last_seen_text(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    price_changes, stock_changes, crawl_diff_month, crawl_events, biggest_movers, active_since_full, active_not_purged, price_asof_snapshot, market_trend,
+    price_changes, stock_changes, crawl_diff_month, crawl_events, multi_store_events, multi_store_snapshots, biggest_movers, active_since_full, active_not_purged, price_asof_snapshot, market_trend,
     store_price_index, dashboard_kpis, market_product_rollup, price_usd, fx_gap, price_history_tail, price_range, snapshot_retention, alerts_feed, alert_counts,
     alerts_undismissed, event_ttl, state_upsert, crawl_totals, last_seen_text,
 )}
@@ -255,6 +281,12 @@ a AS (SELECT *, CASE WHEN kind = 'added' THEN 'new_product' WHEN kind = 'price_c
   CASE WHEN kind = 'price_changed' AND first <> 0 THEN (price - first) / abs(first) * 100 END AS raw_pct FROM e WHERE kind IS NOT NULL),
 s AS (SELECT *, CASE WHEN kind = 'added' THEN 'low' WHEN kind = 'price_changed' THEN CASE WHEN abs(coalesce(raw_pct, 0)) >= 15 THEN 'high' WHEN abs(coalesce(raw_pct, 0)) >= 5 THEN 'medium' ELSE 'low' END
   WHEN available THEN 'low' ELSE 'medium' END AS severity FROM a)"""
+_STORES = MONTHS + f""", b AS (SELECT store_id, product_id, max(month) AS month, arg_max(price, month) AS price, arg_max(available, month) AS available FROM months WHERE month < {MONTH} AND store_id <= 5 GROUP BY 1, 2),
+n AS (SELECT * FROM months WHERE month = {MONTH} AND store_id <= 5), f AS (SELECT i AS s, i % 2 = 0 AND i <> 4 AS ok FROM range(6) t(i)),
+a AS (SELECT store_id AS s, max(month) AS anchor FROM months WHERE month < {MONTH} AND (month + store_id) % 3 = 0 GROUP BY 1),
+j AS (SELECT coalesce(b.store_id, n.store_id) AS s, coalesce(b.product_id, n.product_id) AS p, b.price AS op, n.price AS np, b.available AS oa, n.available AS na, b.month AS bm, n.month AS nm FROM b FULL JOIN n ON b.store_id = n.store_id AND b.product_id = n.product_id),
+e AS (SELECT *, 'added' AS type FROM j WHERE bm IS NULL UNION ALL SELECT *, 'price_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND op <> np UNION ALL SELECT *, 'stock_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND oa <> na
+  UNION ALL SELECT j.*, 'removed' FROM j JOIN f USING (s) LEFT JOIN a USING (s) WHERE nm IS NULL AND ok AND s IN (SELECT store_id FROM n) AND bm >= coalesce(anchor, 0))"""
 
 ORACLES = {
     "price_changes": f"WITH {_LAG} SELECT store_id, product_id, strftime(t, '%Y-%m-%d') AS day, first, price AS latest, CASE WHEN first <> 0 THEN floor((price - first) / abs(first) * 100 * 10 + 0.5) / 10 END AS pct FROM c WHERE first <> price",
@@ -268,6 +300,11 @@ ORACLES = {
       SELECT s::VARCHAR AS origin, p::VARCHAR AS identity_key, type, op AS old_price, np AS new_price FROM (
         SELECT *, 'added' AS type FROM j WHERE bm IS NULL UNION ALL SELECT *, 'price_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND op <> np
         UNION ALL SELECT *, 'stock_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND oa <> na UNION ALL SELECT *, 'removed' FROM j WHERE nm IS NULL AND bm >= {MONTH - 1})""",
+    "multi_store_events": f"WITH {_STORES} SELECT s::VARCHAR AS origin, p::VARCHAR AS identity_key, type, op AS old_price, np AS new_price, md5(s || '|{MONTH}') AS snapshot_id FROM e",
+    "multi_store_snapshots": f"""WITH {_STORES}, c AS (SELECT s, count(*) FILTER (type = 'added') AS added, count(*) FILTER (type = 'removed') AS removed, count(*) FILTER (type = 'price_changed') AS price_changed, count(*) FILTER (type = 'stock_changed') AS stock_changed FROM e GROUP BY 1),
+      k AS (SELECT store_id AS s, count(*) AS products FROM n GROUP BY 1)
+      SELECT md5(f.s || '|{MONTH}') AS snapshot_id, f.s::VARCHAR AS origin, f.s::VARCHAR AS key, {MONTH}::BIGINT AS finished_at, f.ok AND k.s IS NOT NULL AS "full", coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(price_changed, 0) AS price_changed,
+      coalesce(stock_changed, 0) AS stock_changed, 0::BIGINT AS renamed, coalesce(products, 0) AS products, coalesce(added + removed + price_changed + stock_changed, 0) > 0 AS rematch FROM f LEFT JOIN c USING (s) LEFT JOIN k USING (s)""",
     "biggest_movers": f"""WITH {_LAG}, n AS (SELECT * FROM c WHERE first <> price ORDER BY t DESC, store_id, product_id LIMIT 500)
       SELECT store_id, product_id, strftime(t, '%Y-%m-%d') AS day, first, price AS latest, floor((price - first) * 100 + 0.5) / 100 AS change FROM n ORDER BY abs(floor((price - first) * 100 + 0.5) / 100) DESC, day DESC, store_id, product_id LIMIT 20""",
     "active_since_full": f"WITH {MONTHS}, s AS (SELECT store_id, product_id, max(month) AS m FROM months GROUP BY 1, 2), a AS (SELECT store_id, max(m) AS anchor FROM s GROUP BY 1) SELECT store_id, count(*) AS active FROM s JOIN a USING (store_id) WHERE m >= anchor GROUP BY 1",

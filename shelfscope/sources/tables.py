@@ -13,7 +13,10 @@ PRODUCT = (
     "price_history array<struct<t:timestamp,price:double,available:boolean>>"
 )
 EVENT = f"origin string, key string, identity_key string, type string, name string, url string, old {PRICE_POINT}, new {PRICE_POINT}, at timestamp"
-SNAPSHOT = "origin string, key string, finished_at timestamp, full boolean, added long, removed long, price_changed long, stock_changed long, renamed long, products long"
+SNAPSHOT = (
+    "snapshot_id string, origin string, key string, finished_at timestamp, full boolean, added long, removed long, "
+    "price_changed long, stock_changed long, renamed long, products long"
+)
 RAW_ROW = "origin string, name string, brand string, price double, currency string, available boolean, url string, sku string, gtin string, ord long"
 
 
