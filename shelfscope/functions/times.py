@@ -50,7 +50,8 @@ def jitter_ms(interval_ms: Column, unit: Column) -> Column:
 def retry_after_ms(text: Column, as_of: Column) -> Column:
     """Milliseconds that a Retry-After value asks to wait: seconds or a date."""
     date = F.try_to_timestamp(F.regexp_replace(text, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce((F.trim(text).try_cast("double") * 1000).cast("long"), F.greatest(millis(date) - millis(as_of), F.lit(0)))
+    seconds = F.trim(text).try_cast("double")
+    return F.when(seconds >= 0, (seconds * 1000).cast("long")).when(date.isNotNull(), F.greatest(millis(date) - millis(as_of), F.lit(0)))
 
 
 def remaining_ms(done: Column, total: Column, elapsed_ms: Column) -> Column:

@@ -106,9 +106,9 @@ def matching_kpis(matches: DataFrame, mine: DataFrame, theirs: DataFrame) -> Dat
     )
 
 
-def competitors(stores: DataFrame, snapshots: DataFrame, manual: DataFrame, products: DataFrame, my_host: str | None) -> DataFrame:
-    """The competitor list: crawled stores with their last crawl, then manual and own stores that
-    have not been crawled, by number of products.
+def competitors(stores: DataFrame, snapshots: DataFrame, manual: DataFrame, products: DataFrame, my_host: str | None, my_origin: str | None = None) -> DataFrame:
+    """The competitor list: crawled stores with their last crawl, then manual stores and, with
+    my_origin, the own one that have not been crawled, by number of products, most first.
 
     stores: host, origin; snapshots: host, finished_at, fetched; manual: host, name, origin; products:
     host, price, available. The dimension tables have a row for each store.
@@ -131,4 +131,31 @@ def competitors(stores: DataFrame, snapshots: DataFrame, manual: DataFrame, prod
     )
     waiting = manual.join(stores.select("host"), "host", "left_anti")
     waiting = waiting.select("host", "name", "origin", F.lit(True).alias("manual"), F.lit(False).alias("is_mine"), F.lit("pending").alias("status"), F.lit(0).cast("long").alias("products"), F.lit(0).cast("long").alias("out_of_stock"), F.lit(None).cast("double").alias("avg_price"))
-    return crawled.unionByName(waiting)
+    out = crawled.unionByName(waiting)
+    if my_host is not None and my_origin is not None:
+        own = stores.sparkSession.createDataFrame([(my_host, my_host, my_origin)], "host string, name string, origin string")
+        own = own.join(out.select("host"), "host", "left_anti")
+        rest = {"manual": F.lit(False), "is_mine": F.lit(True), "status": F.lit("pending"), "products": F.lit(0).cast("long"), "out_of_stock": F.lit(0).cast("long"), "avg_price": F.lit(None).cast("double")}
+        out = out.unionByName(own.withColumns(rest))
+    return out.orderBy(F.desc("products"), "host")
+
+
+def gap_order(gaps: DataFrame, gap: str, name: str, largest: bool = True) -> DataFrame:
+    """Category and brand gaps largest first, price gaps smallest first; unknown ones last."""
+    return gaps.orderBy(F.col(gap).desc_nulls_last() if largest else F.col(gap).asc_nulls_last(), name)
+
+
+def row_class(rows: DataFrame, kind: str, threshold: int = 90) -> DataFrame:
+    """Rows of a compared catalogue (mine, theirs prices and confidence) of one class: cheaper (theirs
+    is), missing (no match), low-confidence; any other kind is all of them."""
+    both = F.col("mine").isNotNull() & F.col("theirs").isNotNull()
+    wanted = {"cheaper": both & (F.col("theirs") < F.col("mine")), "missing": F.col("confidence").isNull(), "low-confidence": F.col("confidence") < threshold}
+    return rows.where(wanted[kind]) if kind in wanted else rows
+
+
+def client_diff(log: DataFrame, most: int | None = None) -> DataFrame:
+    """Of each origin's change log: names added and removed, in order (the first `most`), and how many
+    prices changed."""
+    listed = lambda t: F.array_sort(F.collect_list(F.when(F.col("type") == t, F.col("name"))))
+    cut = (lambda c: F.slice(c, 1, most)) if most else (lambda c: c)
+    return log.groupBy("origin").agg(cut(listed("added")).alias("added"), cut(listed("removed")).alias("removed"), F.count_if(F.col("type") == "price_changed").alias("price_changed"))

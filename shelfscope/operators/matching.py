@@ -88,10 +88,10 @@ def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, thresh
     pairs = one.join(two, "gram").groupBy("mine", "theirs").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("grams").alias("grams")).where("shared >= 2").join(own, "mine")
     overlap = F.col("shared") / (F.col("rare") + F.col("grams") - F.col("shared"))
     found = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= least)
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
     score = names.similarity(F.col("a"), F.col("b"))
     edges = found.select("mine", "theirs", F.array(-F.col("overlap"), F.col("theirs").cast("double")).alias("pref"), F.lit("trigram").alias("method"), half_up(score * 100).alias("confidence"), (score >= threshold).alias("passes"))
-    return edges.withColumn("_all", total).where(F.col("_all") <= most_pairs).drop("_all")
+    total = found.agg(F.count("*").alias("_all"))  # one row
+    return edges.join(F.broadcast(total), F.col("_all") <= most_pairs).drop("_all")
 
 
 def assigned(edges: DataFrame) -> DataFrame:
@@ -129,6 +129,11 @@ def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair
     return done
 
 
+def method_histogram(matches: DataFrame) -> DataFrame:
+    """How many pairs each method has found."""
+    return matches.groupBy("method").agg(F.count("*").alias("n"))
+
+
 def looked_up(matches: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """Matches with both products; those of which one is gone drop out."""
     one = mine.select(F.col("ord").alias("mine"), F.struct(*mine.columns).alias("my_product"))

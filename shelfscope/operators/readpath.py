@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions import cursors
 from shelfscope.functions.times import millis
+from shelfscope.sources.stored import checkpointed
 
 
 def offset_page(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """One page of a total order; the size is kept within 1 to 100."""
+    """One page of a total order; the size is kept within 1 to 100, the page within those there are."""
     size = max(1, min(100, size))
+    if page > 0:
+        page = min(page, max(0, -(-df.count() // size) - 1))
     return df.orderBy(*order).offset(max(0, page) * size).limit(size)
 
 
+def picker(df: DataFrame, taken: DataFrame, text: str, name: str, n: str) -> DataFrame:
+    """What can still be picked: not taken yet, with the text in its name in any case, most first."""
+    free = df.join(taken.select(name), name, "left_anti")
+    return free.where(F.contains(F.lower(name), F.lower(F.lit(text.strip())))).orderBy(F.desc(n), name)
+
+
 def keyset_page(df: DataFrame, ts: str, key: str, size: int, after: tuple[object, str] | None = None) -> DataFrame:
     """The rows after a cursor in the order (ts desc, key desc), one more than asked for, with
     `has_more` on each: drop the row numbered size + 1."""
@@ -48,19 +57,27 @@ def tail(values: str | Column, n: int) -> Column:
     return F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, n)
 
 
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with rn, its place in a total order from 0: rows are dealt out by ranges of the order, and
+    each range counts on from the sizes of those before it, so that no task has all rows."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(bases), "_part").withColumn("rn", F.col("_base") + own - 1).drop("_part", "_base")  # a row for each part
+
+
 def stratified(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """k rows spread evenly: those at floor(i * n / k). All rows if there are no more than k."""
     n = df.count()
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)) - 1)
     wanted = df.sparkSession.range(min(k, n)).select((F.floor(F.col("id") * n / min(k, n)) if n else F.col("id")).cast("long").alias("rn"))
-    return numbered.join(F.broadcast(wanted), "rn", "left_semi")  # k rows
+    return numbered(df, order).join(F.broadcast(wanted), "rn", "left_semi")  # k rows
 
 
 def spread(df: DataFrame, order: Sequence[str], most: int = 25) -> DataFrame:
     """Every so many rows, `most` at most."""
     step = max(1, df.count() // most)
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)) - 1)
-    return numbered.where(F.col("rn") % step == 0).orderBy("rn").limit(most)
+    return numbered(df, order).where(F.col("rn") % step == 0).orderBy("rn").limit(most)
 
 
 def ranked(df: DataFrame, column: str, ranks: dict[str, int], *ties: Column) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.plans import catalogue, extraction, market
+from shelfscope.plans import catalogue, extraction, market, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, catalogue, extraction)
+_MODULES = (market, catalogue, extraction, stores)
 
 
 def queries() -> dict[str, Query]:

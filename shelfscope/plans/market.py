@@ -239,10 +239,11 @@ def event_ttl(spark, d):
 
 
 def state_upsert(spark, d):
-    """Stored products of the years before 2000, with those seen since in their place."""
+    """Stored products of the years before 2000, with those that four of the stores showed since in
+    their place."""
     obs, keys = _obs(spark, d), ["store_id", "product_id"]
     old = analytics.latest(obs.where(F.year("t") < 2000), keys)
-    new = analytics.latest(obs.where(F.year("t") >= 2000), keys)
+    new = analytics.latest(obs.where((F.year("t") >= 2000) & (F.col("store_id") < 4)), keys)
     return sinks.upsert(old, new, keys).select(*keys, _day().alias("day"), "price")
 
 
@@ -337,7 +338,7 @@ ORACLES = {
     "alert_counts": f"WITH {_EVENTS} SELECT type, severity, count(*) AS n FROM s GROUP BY 1, 2",
     "alerts_undismissed": f"WITH {_EVENTS} SELECT severity, suffix(event_id, '-02') AS read, count(*) AS n FROM s WHERE type = 'price_drop' AND NOT suffix(event_id, '-01') GROUP BY 1, 2",
     "event_ttl": f"WITH {_EVENTS} SELECT kind AS type, count(*) AS n FROM s WHERE t >= TIMESTAMP '2001-12-01' - INTERVAL 90 DAY GROUP BY 1",
-    "state_upsert": f"WITH {_PRODUCTS} SELECT store_id, product_id, strftime(t, '%Y-%m-%d') AS day, price FROM p",
+    "state_upsert": f"WITH {OBS} SELECT store_id, product_id, strftime(max(t), '%Y-%m-%d') AS day, arg_max(price, t) AS price FROM obs WHERE year(t) < 2000 OR store_id < 4 GROUP BY 1, 2",
     "crawl_totals": f"""WITH {MONTHS}, m AS (SELECT store_id, month, count(*) AS products, count(*) FILTER (NOT available) AS failures FROM months GROUP BY 1, 2), l AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY month DESC) = 1 AS latest FROM m)
       SELECT (sum(products) FILTER (latest))::BIGINT AS products, (sum(products * 2) FILTER (latest))::BIGINT AS discovered, sum(failures)::BIGINT AS failures, count(*) FILTER (month % 12 <> 0) AS shallow, count(*) FILTER (month % 12 = 0) AS deep FROM l""",
     "last_seen_text": f"WITH {_PRODUCTS}, x AS (SELECT store_id, floor(epoch(TIMESTAMP '2001-12-01' - max(t)) / 86400)::BIGINT AS days FROM p GROUP BY 1) SELECT store_id, CASE WHEN days < 1 THEN 'just now' ELSE days || ' day' || CASE WHEN days > 1 THEN 's' ELSE '' END || ' ago' END AS seen FROM x",

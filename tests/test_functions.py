@@ -88,3 +88,17 @@ def test_times(spark):
 def test_links_resolve_against_their_page(spark):
     rows = [("/a", "https://x.com/p/q?z"), ("b", "https://x.com/p/q"), ("//y.com/c", "https://x.com/"), ("?k=1", "https://x.com/p"), ("mailto:a@b", "https://x.com/"), ("d#e", "https://x.com")]
     assert values(spark, urls.absolute(F.col("h"), F.col("b")), rows, "h string, b string") == ["https://x.com/a", "https://x.com/p/b", "https://y.com/c", "https://x.com/p?k=1", None, "https://x.com/d"]
+
+
+def test_crawl_request_is_brought_within_its_limits():
+    from shelfscope.functions.requests import SWITCHES, crawl_request
+
+    r = crawl_request({"origin": " https://s.example ", "type": "shallow", "delay_ms": 5, "concurrency": "99", "max_pages": "0", "pattern": "x" * 300, "locale": " EN-us-Long-Tag", "collections": ["a", 1], "use_browser": False, "user_agent": "browser"})
+    assert (r.origin, r.type, r.full_crawl, r.delay_ms, r.concurrency, r.max_pages) == ("https://s.example", "shallow", False, 100, 12, 1)
+    assert (len(r.pattern), r.locale, r.collections, r.browser_agent) == (200, "en-us-long", ("a",), True)
+    assert r.flags == {s: s != "use_browser" for s in SWITCHES}
+    d = crawl_request({"origin": "http://s", "delay_ms": "soon", "max_pages": ""})
+    assert (d.type, d.full_crawl, d.delay_ms, d.concurrency, d.max_pages, d.pattern, d.locale, d.proxy) == ("deep", True, 1000, 2, None, None, None, None)
+    for bad in ({}, {"origin": "ftp://x"}, {"origin": "http://s", "proxy": "p"}, {"origin": "http://s", "max_pages": "many"}):
+        with pytest.raises(ValueError):
+            crawl_request(bad)
