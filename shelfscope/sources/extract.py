@@ -1,13 +1,19 @@
 """Products from HTML pages: JSON-LD, then microdata, then meta tags, then visible text.
 
-The first extractor that finds a product gives the whole row. All of them are expressions; a JSON-LD
-document is searched through lists, @graph and mainEntity to a fixed depth of two.
+The first extractor that finds a product gives the whole row. All of them are expressions. A JSON-LD
+document is searched through lists, @graph and mainEntity to any depth: by expressions where two steps
+reach all of it, as on nearly every page, and by a small Arrow function on the pages that nest deeper.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfscope.functions import prices
 
@@ -96,12 +102,44 @@ def deepened(nodes: Column, times: int) -> Column:
     return F.flatten(F.transform(nodes, lambda n: F.concat(F.array(n), deepened(below(n), times - 1))))
 
 
-def product_nodes(html: Column, depth: int = 2) -> Column:
-    """The JSON text of all product nodes of a page in order; broken blocks are skipped."""
+#: Steps down that the expressions take.
+STEPS = 2
+
+
+def _inside(root: object) -> Iterator[dict]:
+    """The objects of a JSON-LD document in order, each before what lies below it."""
+    left = [root]
+    while left:
+        node = left.pop()
+        if isinstance(node, list):
+            left.extend(reversed(node))
+        elif isinstance(node, dict):
+            yield node
+            graph = node.get("@graph")
+            left.append(node.get("mainEntity"))
+            left.append(graph if isinstance(graph, list) else None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_objects(blocks: pd.Series) -> pd.Series:
+    def one(texts):
+        return None if texts is None else [json.dumps(n, ensure_ascii=False) for t in texts for n in _inside(json.loads(t))]
+
+    return blocks.map(one)
+
+
+def product_nodes(html: Column) -> Column:
+    """The JSON text of all product nodes of a page in order; broken blocks are skipped.
+
+    A document takes no more steps down than it names members that lead down, so their number tells
+    which pages the expressions read in full; the Arrow function is given no other's text.
+    """
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
     good = F.filter(F.transform(blocks, F.trim), lambda b: F.try_parse_json(b).isNotNull())
-    nodes = deepened(F.flatten(F.transform(good, json_items)), depth)
-    return F.filter(nodes, is_product_node)
+    # An escaped name counts as one that leads down; lists straight in lists are left to the function too.
+    deep = F.exists(good, lambda b: (F.regexp_count(b, F.lit(r"@graph|mainEntity|\\u")) > STEPS) | b.rlike(r"\[\s*\["))
+    shallow = deepened(F.flatten(F.transform(good, json_items)), STEPS)
+    return F.filter(F.when(deep, _all_objects(F.when(deep, good))).otherwise(shallow), is_product_node)
 
 
 def ld_price(node: Column, name: str) -> Column:

@@ -173,6 +173,23 @@ def test_extraction_cases(spark):
     assert (out["text_symbol"].price, out["text_symbol"].availability) == (65.0, "out_of_stock") and out["nothing"] is None
 
 
+def test_json_ld_to_any_depth(spark):
+    leaf = {"@type": "Product", "name": "Deep", "offers": {"price": "3.50", "priceCurrency": "OMR"}}
+    docs = {"flat": [leaf]}
+    for n in (1, 2, 3, 4, 40):
+        doc = leaf
+        for i in range(n):
+            doc = {"@type": "WebPage", "mainEntity": [{"@type": "Thing"}, doc]} if i % 2 else {"@graph": [{"@type": "Thing"}, doc]}
+        docs[f"nested {n}"] = doc
+    docs["lists"] = [[[leaf]]]
+    docs["in order"] = {"@graph": [{"mainEntity": {"@graph": [{"mainEntity": leaf}]}}, {"@type": "Product", "name": "Later"}]}
+    docs["not down"] = {"@type": "WebPage", "about": leaf, "note": "@graph @graph mainEntity"}
+    rows = [(k, extraction._ld(v)) for k, v in docs.items()] + [("none", None), ("empty", "")]
+    out = {r.url: r.product for r in extract.products(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert {k for k, v in out.items() if v is None} == {"not down", "none", "empty"}
+    assert all((v.name, v.price, v.currency) == ("Deep", 3.5, "OMR") for v in out.values() if v is not None)
+
+
 def test_platform_rows(spark):
     out = {r.name: r for r in extraction.platform_products(spark, "").collect()}
     assert (out["Tee"].price, out["Tee"].compare_at, out["Tee"].available, out["Tee"].tags) == (5.5, 8.0, True, 2)
