@@ -1,13 +1,16 @@
-"""Matching one catalogue with another: exact keys, then similar names, one to one.
+"""Matching my catalogue with those of other stores: exact keys, then similar names, one to one.
 
 Both sides have `id`, `ord` (their order, a whole number), name, gtin, sku and url. Candidates come
-from joins on keys, words, trigrams and length bands, never from all pairs. The greedy rule "in my
+from joins on keys, words, trigrams and length bands, never from all pairs. Columns `by` of theirs
+name the store of a row: each store is matched with mine by itself, all of them in one job. The greedy rule "in my
 order, take the best of theirs that is still free" is computed without a sequential pass: it equals
 proposals in rounds in which each of theirs keeps the earliest of mine that asks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +21,14 @@ from shelfscope.sources.stored import checkpointed
 TIERS = (("gtin", "GTIN"), ("sku", "SKU"), ("slug", "URL slug"))
 THRESHOLD = 0.8
 BAND = 15
-#: Above this many pairs of leftovers the name tier is skipped.
+#: Above this many pairs of leftovers the name tier is skipped for a store.
 PAIR_LIMIT = 50_000
 
 
-def keyed(products: DataFrame) -> DataFrame:
+def keyed(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Products with their normalised keys and plain name; empty keys are null."""
     key = {"gtin": names.gtin(F.col("gtin")), "sku": names.sku(F.col("sku")), "slug": urls.slug(F.col("url"))}
-    return products.select("id", "ord", *(F.nullif(c, F.lit("")).alias(k) for k, c in key.items()), names.plain(F.col("name")).alias("plain"))
+    return products.select(*by, "id", "ord", *(F.nullif(c, F.lit("")).alias(k) for k, c in key.items()), names.plain(F.col("name")).alias("plain"))
 
 
 def candidates(mine: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -39,14 +42,14 @@ def candidates(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return out.dropDuplicates(["id"])
 
 
-def exact_edges(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(mine, theirs, pref, method): pairs with an equal key, of theirs the first that owns it."""
+def exact_edges(mine: DataFrame, theirs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mine, theirs, pref, method): pairs with an equal key, of theirs the first that owns it."""
     out = None
     for n, (key, method) in enumerate(TIERS):
-        first = Window.partitionBy(key).orderBy("ord")
+        first = Window.partitionBy(*by, key).orderBy("ord")
         owner = theirs.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-        edges = mine.select(key, F.col("ord").alias("mine")).join(owner.select(key, F.col("ord").alias("theirs")), key)
-        edges = edges.select("mine", "theirs", F.array(F.lit(n).cast("double")).alias("pref"), F.lit(method).alias("method"), F.lit(100).cast("long").alias("confidence"), F.lit(True).alias("passes"))
+        edges = mine.select(key, F.col("ord").alias("mine")).join(owner.select(*by, key, F.col("ord").alias("theirs")), key)
+        edges = edges.select(*by, "mine", "theirs", F.array(F.lit(n).cast("double")).alias("pref"), F.lit(method).alias("method"), F.lit(100).cast("long").alias("confidence"), F.lit(True).alias("passes"))
         out = edges if out is None else out.unionByName(edges)
     return out
 
@@ -55,78 +58,112 @@ def band(n: Column) -> Column:
     return half_up(n / 5)
 
 
-def band_pairs(mine: DataFrame, theirs: DataFrame, budget: int = BAND) -> DataFrame:
-    """Pairs whose names' lengths lie in neighbouring bands: (mine, theirs, a, b, band)."""
+def band_pairs(mine: DataFrame, theirs: DataFrame, budget: int = BAND, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs whose names' lengths lie in neighbouring bands: (by, mine, theirs, a, b, band)."""
     low = F.greatest(band(F.length("plain") - budget), F.lit(0).cast("long"))
     one = mine.where("plain <> ''").select(F.col("ord").alias("mine"), F.col("plain").alias("a"), F.explode(F.sequence(low, band(F.length("plain") + budget))).alias("band"))
-    two = theirs.where("plain <> ''").select(F.col("ord").alias("theirs"), F.col("plain").alias("b"), band(F.length("plain")).alias("band"))
+    two = theirs.where("plain <> ''").select(*by, F.col("ord").alias("theirs"), F.col("plain").alias("b"), band(F.length("plain")).alias("band"))
     return one.join(two, "band")
 
 
-def fuzzy_edges(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose names are similar enough, preferred by score, then band, then order of theirs."""
-    scored = band_pairs(mine, theirs).withColumn("score", names.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
-    return scored.select("mine", "theirs", F.array(-F.col("score"), F.col("band").cast("double"), F.col("theirs").cast("double")).alias("pref"), F.lit("fuzzy").alias("method"), half_up(F.col("score") * 100).alias("confidence"), F.lit(True).alias("passes"))
+def fuzzy_edges(pairs: DataFrame, threshold: float = THRESHOLD, by: Sequence[str] = ()) -> DataFrame:
+    """Those of band_pairs whose names are similar enough, preferred by score, then band, then order of theirs."""
+    scored = pairs.withColumn("score", names.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+    return scored.select(*by, "mine", "theirs", F.array(-F.col("score"), F.col("band").cast("double"), F.col("theirs").cast("double")).alias("pref"), F.lit("fuzzy").alias("method"), half_up(F.col("score") * 100).alias("confidence"), F.lit(True).alias("passes"))
 
 
-def gram_counts(products: DataFrame) -> DataFrame:
+def gram_counts(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """In how many products each trigram occurs."""
-    return products.select("ord", F.explode(names.trigrams(F.col("plain"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return products.select(*by, "ord", F.explode(names.trigrams(F.col("plain"))).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("n"))
 
 
-def rare_grams(products: DataFrame, most: int = 200, top: int = 8000) -> DataFrame:
-    return gram_counts(products).where(F.col("n") <= most).orderBy("n", "gram").limit(top)
+def rare_grams(products: DataFrame, most: int | None = 200, top: int | None = 8000, by: Sequence[str] = ()) -> DataFrame:
+    """The rarest trigrams of each store. A store has no more than the alphabet allows, 37 ** 3."""
+    counts = gram_counts(products, by)
+    if most is not None:
+        counts = counts.where(F.col("n") <= most)
+    if top is None:
+        return counts
+    if not by:
+        return counts.orderBy("n", "gram").limit(top)
+    return counts.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("n", "gram"))).where(F.col("_n") <= top).drop("_n")
 
 
-def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, threshold: float = THRESHOLD, most_pairs: int = 50_000) -> DataFrame:
+def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, threshold: float = THRESHOLD, most_pairs: int | None = 50_000, by: Sequence[str] = (), done: DataFrame | None = None) -> DataFrame:
     """Pairs that share two rare trigrams and overlap enough, preferred by overlap. A pair whose names
-    are not similar enough still ends the search of its row of mine: `passes` is false."""
-    rare = F.broadcast(rare_grams(theirs).select("gram"))  # 8000 rows at most
-    one = mine.select(F.col("ord").alias("mine"), F.col("plain").alias("a"), F.explode(names.trigrams(F.col("plain"))).alias("gram")).join(rare, "gram")
-    two = theirs.select(F.col("ord").alias("theirs"), F.col("plain").alias("b"), F.size(names.trigrams(F.col("plain"))).alias("grams"), F.explode(names.trigrams(F.col("plain"))).alias("gram")).join(rare, "gram")
-    own = one.groupBy("mine").agg(F.count("*").alias("rare"))
-    pairs = one.join(two, "gram").groupBy("mine", "theirs").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("grams").alias("grams")).where("shared >= 2").join(own, "mine")
+    are not similar enough still ends the search of its row of mine: `passes` is false. Rows of mine
+    that `done` has matched with a store are left out there. A store with more than most_pairs pairs
+    gives none, with None there is no such bound."""
+    rare = rare_grams(theirs, by=by).select(*by, "gram")
+    grams = F.explode(names.trigrams(F.col("plain"))).alias("gram")
+    one = mine.select(F.col("ord").alias("mine"), F.col("plain").alias("a"), grams).join(rare, "gram")
+    if done is not None:
+        one = one.join(done.select(*by, "mine"), [*by, "mine"], "left_anti")
+    two = theirs.select(*by, F.col("ord").alias("theirs"), F.col("plain").alias("b"), F.size(names.trigrams(F.col("plain"))).alias("grams"), grams).join(rare, [*by, "gram"])
+    own = one.groupBy(*by, "mine").agg(F.count("*").alias("rare"))
+    pairs = one.join(two, [*by, "gram"]).groupBy(*by, "mine", "theirs").agg(F.count("*").alias("shared"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("grams").alias("grams")).where("shared >= 2").join(own, [*by, "mine"])
     overlap = F.col("shared") / (F.col("rare") + F.col("grams") - F.col("shared"))
     found = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= least)
     score = names.similarity(F.col("a"), F.col("b"))
-    edges = found.select("mine", "theirs", F.array(-F.col("overlap"), F.col("theirs").cast("double")).alias("pref"), F.lit("trigram").alias("method"), half_up(score * 100).alias("confidence"), (score >= threshold).alias("passes"))
-    total = found.agg(F.count("*").alias("_all"))  # one row
-    return edges.join(F.broadcast(total), F.col("_all") <= most_pairs).drop("_all")
+    edges = found.select(*by, "mine", "theirs", F.array(-F.col("overlap"), F.col("theirs").cast("double")).alias("pref"), F.lit("trigram").alias("method"), half_up(score * 100).alias("confidence"), (score >= threshold).alias("passes"))
+    if most_pairs is None:
+        return edges
+    few = found.groupBy(*by).agg(F.count("*").alias("_all")).where(F.col("_all") <= most_pairs).drop("_all")
+    return edges.join(few, list(by), "left_semi") if by else edges.where(F.lit(not few.isEmpty()))
 
 
-def assigned(edges: DataFrame) -> DataFrame:
-    """One-to-one pairs by the greedy rule, from edges (mine, theirs, pref, passes, ...).
+def assigned(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One-to-one pairs by the greedy rule in each store, from edges (by, mine, theirs, pref, passes, ...).
 
     In each round every row of mine asks for its preferred edge left; an edge goes when an earlier
-    row holds its other end. Rounds end when none goes.
+    row holds its other end. Every round but the last removes edges, so rounds end.
     """
     edges = checkpointed(edges)
-    best = Window.partitionBy("mine").orderBy("pref")
+    n = edges.count()
+    best = Window.partitionBy(*by, "mine").orderBy("pref")
     while True:
         asked = edges.withColumn("_n", F.row_number().over(best)).where("_n = 1 AND passes").drop("_n")
-        held = asked.groupBy("theirs").agg(F.min("mine").alias("holder"))
-        lost = edges.join(held, "theirs").where("holder < mine").select("mine", "theirs", "pref")
-        left = checkpointed(edges.join(lost, ["mine", "theirs", "pref"], "left_anti"))
-        if left.count() == edges.count():
+        held = asked.groupBy(*by, "theirs").agg(F.min("mine").alias("holder"))
+        # At most one holder for each of theirs, so the join gives every edge once.
+        left = checkpointed(edges.join(held, [*by, "theirs"], "left").where("holder IS NULL OR holder >= mine").select(*edges.columns))
+        before, n = n, left.count()
+        if n == before:
             return asked.drop("pref", "passes")
         edges = left
 
 
-def unmatched(rows: DataFrame, matches: DataFrame, side: str) -> DataFrame:
-    return rows.join(matches.select(F.col(side).alias("ord")), "ord", "left_anti")
+def unmatched(rows: DataFrame, matches: DataFrame, side: str, by: Sequence[str] = ()) -> DataFrame:
+    return rows.join(matches.select(*by, F.col(side).alias("ord")), [*by, "ord"], "left_anti")
+
+
+def within_limit(mine: DataFrame, theirs: DataFrame, done: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """Rows of theirs in stores whose unmatched rows make no more than `limit` pairs with mine."""
+    per = theirs.groupBy(*by).agg(F.count("*").alias("_n")).join(done.groupBy(*by).agg(F.count("*").alias("_m")), list(by), "left")
+    m = F.coalesce("_m", F.lit(0))
+    small = per.where((F.lit(mine.count()) - m) * (F.col("_n") - m) <= limit)
+    return theirs.join(small.select(*by), list(by), "left_semi")
 
 
-def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair_limit: int = PAIR_LIMIT, trigrams: bool = True) -> DataFrame:
-    """(mine, theirs, method, confidence): all tiers in turn, each on what the ones before left."""
-    mine, theirs = keyed(mine), keyed(theirs)
-    done = assigned(exact_edges(mine, theirs))
-    left, free = unmatched(mine, done, "mine"), unmatched(theirs, done, "theirs")
-    if left.count() * free.count() <= pair_limit:
-        done = done.unionByName(assigned(fuzzy_edges(left, free, threshold)))
+def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair_limit: int | None = PAIR_LIMIT, trigrams: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mine, theirs, method, confidence): all tiers in turn, each on what the ones before left.
+
+    Columns `by` of theirs, not null, tell its stores apart; without them all of theirs is one store.
+    With pair_limit None the name tier is never skipped.
+    """
+    key = list(by) or ["_store"]
+    if not by:
+        theirs = theirs.withColumn("_store", F.lit(0))
+    mine, theirs = keyed(mine), keyed(theirs, key)
+    done = assigned(exact_edges(mine, theirs, key), key)
+    free = unmatched(theirs, done, "theirs", key)
+    near = free if pair_limit is None else within_limit(mine, theirs, done, key, pair_limit).join(done.select(*key, F.col("theirs").alias("ord")), [*key, "ord"], "left_anti")
+    # Which rows of mine are left differs by store, so pairs are thinned out, before any is scored.
+    pairs = band_pairs(mine, near, by=key).join(done.select(*key, "mine"), [*key, "mine"], "left_anti")
+    done = done.unionByName(assigned(fuzzy_edges(pairs, threshold, key), key))
     if trigrams:
-        left, free = unmatched(mine, done, "mine"), unmatched(theirs, done, "theirs")
-        done = done.unionByName(assigned(trigram_edges(left, free, threshold=threshold)))
-    return done
+        free = unmatched(theirs, done, "theirs", key)
+        done = done.unionByName(assigned(trigram_edges(mine, free, threshold=threshold, by=key, done=done), key))
+    return done.select(*by, "mine", "theirs", "method", "confidence")
 
 
 def method_histogram(matches: DataFrame) -> DataFrame:

@@ -165,6 +165,14 @@ def match_greedy(spark, d):
     return m.select("mine", "theirs", "method", "confidence")
 
 
+def match_stores(spark, d):
+    """My parts against those of five stores at once, by their keys."""
+    mine, theirs = _catalogues(spark, d)
+    listed = theirs.withColumn("store", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("id % (store + 3) <> 0")
+    m = matching.match(mine, listed, pair_limit=0, trigrams=False, by=("store",))
+    return m.where("method <> 'fuzzy'").select(F.col("store").cast("long").alias("store"), "mine", "theirs", "method")
+
+
 def match_candidates(spark, d):
     mine, theirs = _catalogues(spark, d)
     return matching.candidates(matching.keyed(mine), matching.keyed(theirs)).select("id")
@@ -270,7 +278,7 @@ def retry_waits(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     host_key, origin_name, url_slug, url_pattern, identity_key, junk_urls, sitemap_leaf_filter, base_dominance, junk_audit, html_headings, anchor_counts, script_stripped,
-    link_bfs, name_tokens, name_trigrams, gram_frequency, name_similarity_pairs, band_candidates, match_exact_unique, only_mine, price_differ_count, match_greedy,
+    link_bfs, name_tokens, name_trigrams, gram_frequency, name_similarity_pairs, band_candidates, match_exact_unique, only_mine, price_differ_count, match_greedy, match_stores,
     match_candidates, job_window_summary, job_p95, queue_depth, worker_liveness, stale_claims, next_claims, recent_jobs, schedule_due, miss_streaks, keyset_page,
     offset_page, name_search, multi_search, stratified_sample, spread_sample, cursor_round_trip, daily_events, retry_waits,
 )}
@@ -314,6 +322,7 @@ ORACLES = {
       ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END AS score FROM y) SELECT a, b, floor(score * 1000000 + 0.5) / 1000000 AS score FROM z WHERE score >= 0.5""",
     "band_candidates": f"WITH {_NAMES} SELECT band, count(*) AS pairs FROM p GROUP BY 1",
     "match_exact_unique": f"WITH {_CATS} SELECT mine, theirs, method FROM m",
+    "match_stores": f"WITH {_CATS} SELECT s AS store, mine, theirs, method FROM m, range(5) r(s) WHERE theirs % (s + 3) <> 0",
     "match_candidates": f"WITH {_CATS}, w AS (SELECT p_partkey AS id, unnest(string_split({_PLAIN}, ' ')) AS word FROM part) SELECT id FROM theirs WHERE id IN (SELECT m.id FROM mine m WHERE m.gtin = theirs.gtin OR m.sku = theirs.sku OR m.slug = theirs.slug) OR id IN (SELECT id FROM w WHERE word IN (SELECT word FROM w WHERE id % 10 < 8))",
     "only_mine": f"WITH {_CATS} SELECT id FROM mine WHERE id NOT IN (SELECT mine FROM m)",
     "price_differ_count": f"WITH {_CATS} SELECT count(*) FILTER (mp > 0 AND tp > 0 AND mp <> tp) AS differ FROM m",

@@ -89,6 +89,16 @@ def test_earlier_rows_take_first(spark):
     assert matched(spark, both, [(1, "", "", "11111111", ""), (2, "", "S2", "", "")]) == [(1, 1, "GTIN", 100), (2, 2, "SKU", 100)]
 
 
+def test_many_stores_as_each_by_itself(spark):
+    second = [(o, n + " new" * (o % 2), s * (o % 3 > 0), g, u) for o, n, s, g, u in THEIRS]
+    third = [(o, n, "", "", f"https://c.com/{o}") for o, n, s, g, u in reversed(THEIRS)]
+    stores = {"b": THEIRS, "c": second, "d": third, "e": [(1, "", "", "", "")]}
+    want = sorted((k, *row) for k, rows in stores.items() for row in matched(spark, MINE, rows))
+    listed = spark.createDataFrame([(k, o, o, n, s, g, u) for k, rows in stores.items() for o, n, s, g, u in rows], "store string, id long, ord long, name string, sku string, gtin string, url string")
+    out = matching.match(catalogue(spark, MINE), listed, by=("store",))
+    assert sorted(map(tuple, out.collect())) == want and len({r[0] for r in want}) == 3
+
+
 def test_assignment_equals_the_greedy_loop(spark):
     import random
 
