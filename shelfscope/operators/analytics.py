@@ -52,19 +52,23 @@ def store_averages_at(snapshots: DataFrame, obs: DataFrame) -> DataFrame:
 
 def trend(averages: DataFrame, mine: int, label: Column) -> DataFrame:
     """Carries each store's last average forward over all snapshots: market mean, cheapest and mine
-    at each, the last snapshot of each label only. The grid has a row for each snapshot and store."""
-    events = averages.select("t", F.col("store_id").alias("at_store")).distinct()
-    grid = events.join(F.broadcast(averages.select("store_id").distinct()))
-    own = averages.select("store_id", "t", "avg_price")
-    known = as_of(grid, own, ["store_id"], "t", ["avg_price"])
-    points = known.where("avg_price IS NOT NULL").groupBy("t").agg(
+    at the last snapshot of each label. Neighbouring snapshots of one label are a run, and a store's
+    average holds from its run to the store's next one, so no row is made for each snapshot and store.
+    The runs are found in one window over the distinct times of snapshots."""
+    times = averages.select("t").distinct().withColumn("label", label)
+    order = Window.partitionBy(F.lit(1)).orderBy("t")
+    starts = F.when(F.lag("label").over(order).eqNullSafe(F.col("label")) & (F.row_number().over(order) > 1), 0).otherwise(1)
+    runs = times.withColumn("_start", starts).withColumn("run", F.sum("_start").over(order)).drop("_start")
+    ends = runs.groupBy("run").agg(F.max("t").alias("t"), F.first("label").alias("label"))
+    held = averages.join(runs.select("t", "run"), "t").groupBy("store_id", "run").agg(F.max_by("avg_price", "t").alias("avg_price"))
+    until = F.coalesce(F.lead("run").over(Window.partitionBy("store_id").orderBy("run")) - 1, F.col("_last"))
+    held = held.crossJoin(ends.agg(F.max("run").alias("_last"))).withColumn("_until", until)  # one row
+    points = held.withColumn("run", F.explode(F.sequence("run", "_until"))).groupBy("run").agg(
         half_up(F.max(F.when(F.col("store_id") == mine, F.col("avg_price"))), 2).alias("you"),
         half_up(F.avg("avg_price"), 2).alias("market"),
         half_up(F.min("avg_price"), 2).alias("cheapest"),
     )
-    points = points.withColumn("label", label)
-    following = F.lead("label").over(Window.partitionBy(F.lit(1)).orderBy("t"))
-    return points.withColumn("_next", following).where(~F.col("_next").eqNullSafe(F.col("label"))).drop("_next")
+    return points.join(ends, "run").drop("run")
 
 
 def movers(changes: DataFrame, newest: int = 500, ties: tuple[str, ...] = ("store_id", "product_id")) -> DataFrame:

@@ -137,11 +137,10 @@ def unmatched(rows: DataFrame, matches: DataFrame, side: str, by: Sequence[str]
 
 
 def within_limit(mine: DataFrame, theirs: DataFrame, done: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
-    """Rows of theirs in stores whose unmatched rows make no more than `limit` pairs with mine."""
+    """Stores whose unmatched rows make no more than `limit` pairs with mine."""
     per = theirs.groupBy(*by).agg(F.count("*").alias("_n")).join(done.groupBy(*by).agg(F.count("*").alias("_m")), list(by), "left")
     m = F.coalesce("_m", F.lit(0))
-    small = per.where((F.lit(mine.count()) - m) * (F.col("_n") - m) <= limit)
-    return theirs.join(small.select(*by), list(by), "left_semi")
+    return per.where((F.lit(mine.count()) - m) * (F.col("_n") - m) <= limit).select(*by)
 
 
 def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair_limit: int | None = PAIR_LIMIT, trigrams: bool = True, by: Sequence[str] = ()) -> DataFrame:
@@ -156,7 +155,7 @@ def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair
     mine, theirs = keyed(mine), keyed(theirs, key)
     done = assigned(exact_edges(mine, theirs, key), key)
     free = unmatched(theirs, done, "theirs", key)
-    near = free if pair_limit is None else within_limit(mine, theirs, done, key, pair_limit).join(done.select(*key, F.col("theirs").alias("ord")), [*key, "ord"], "left_anti")
+    near = free if pair_limit is None else free.join(within_limit(mine, theirs, done, key, pair_limit), key, "left_semi")
     # Which rows of mine are left differs by store, so pairs are thinned out, before any is scored.
     pairs = band_pairs(mine, near, by=key).join(done.select(*key, "mine"), [*key, "mine"], "left_anti")
     done = done.unionByName(assigned(fuzzy_edges(pairs, threshold, key), key))

@@ -170,7 +170,7 @@ def match_stores(spark, d):
     mine, theirs = _catalogues(spark, d)
     listed = theirs.withColumn("store", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("id % (store + 3) <> 0")
     m = matching.match(mine, listed, pair_limit=0, trigrams=False, by=("store",))
-    return m.where("method <> 'fuzzy'").select(F.col("store").cast("long").alias("store"), "mine", "theirs", "method")
+    return m.select(F.col("store").cast("long").alias("store"), "mine", "theirs", "method")
 
 
 def match_candidates(spark, d):

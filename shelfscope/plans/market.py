@@ -18,7 +18,7 @@ CURRENCIES = ("USD", "AED", "OMR", "SAR", "QAR", "XXX", "KWD", "")
 
 OBS = """
 obs AS (
-  SELECT l_suppkey % 8 AS store_id, l_partkey % 500 AS product_id, l_shipdate AS t,
+  SELECT l_suppkey AS store_id, l_partkey AS product_id, l_shipdate AS t,
          min(floor(l_extendedprice / l_quantity * 100 + 0.5) / 100) AS price,
          min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) = 1 AS available
   FROM lineitem GROUP BY 1, 2, 3)"""
@@ -89,17 +89,17 @@ def crawl_events(spark, d):
 
 
 def _store_crawls(spark, d):
-    """A batch of crawls of six stores in one month, some partial or capped, against the state before:
+    """A batch of crawls of all stores in one month, some partial or capped, against the state before:
     (both, log, facts)."""
     months, s = _months(spark, d), F.col("store_id")
     point = [s.cast("string").alias("origin"), s.cast("string").alias("key"), F.col("product_id").cast("string").alias("identity_key")]
     rest = [F.concat(F.lit("product "), F.col("product_id")).alias("name"), F.lit("").alias("url"), "price", "available"]
     before = analytics.latest(months.where(F.col("month") < MONTH), ["store_id", "product_id"], "month")
     state = before.select(*point, *rest, F.col("month").alias("last_seen_at"))
-    crawl = months.where((F.col("month") == MONTH) & (s <= 5)).select(*point, *rest)
+    crawl = months.where(F.col("month") == MONTH).select(*point, *rest)
     past = months.where(F.col("month") < MONTH).select("store_id", "month").distinct()
     snapshots = past.select(s.cast("string").alias("origin"), F.col("month").alias("finished_at"), ((F.col("month") + s) % 3 == 0).alias("full"))
-    crawls = spark.range(6).select(F.col("id").cast("string").alias("origin"), F.lit(MONTH).cast("long").alias("at"), (F.col("id") % 2 == 0).alias("full_crawl"), (F.col("id") == 4).alias("capped"))
+    crawls = months.select("store_id").distinct().select(s.cast("string").alias("origin"), F.lit(MONTH).cast("long").alias("at"), (s % 2 == 0).alias("full_crawl"), (s % 5 == 4).alias("capped"))
     facts = ingest.facts(crawls, crawl, snapshots, F.lit(0).cast("long"))
     both = ingest.compared_by_origin(state, crawl, facts)
     return both, ingest.stamped(ingest.events(both, F.col("at"), F.col("anchor"), F.col("full"))), facts
@@ -172,7 +172,7 @@ def market_product_rollup(spark, d):
 
 
 def _priced(spark, d):
-    code = F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.col("store_id") + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.col("store_id") % len(CURRENCIES) + 1).cast("int"))
     p = _products(spark, d).withColumn("currency", code).join(F.broadcast(tables.rates(spark, RATES)), "currency", "left")  # a fixed table
     return p.withColumn("usd", P.to_usd(F.col("price"), F.col("currency"), F.col("rate")))
 
@@ -273,7 +273,7 @@ probes AS (SELECT s.store_id, s.t, k.product_id FROM snaps s JOIN (SELECT DISTIN
 avgs AS (SELECT p.store_id, p.t, avg(o.price) AS avg_price, count(*) AS n FROM probes p ASOF JOIN obs o
          ON p.store_id = o.store_id AND p.product_id = o.product_id AND p.t >= o.t WHERE o.price > 0 GROUP BY 1, 2)"""
 _PRICED = _PRODUCTS + """, r(currency, rate) AS (VALUES ('AED', 3.6725::DOUBLE), ('OMR', 0.3845), ('SAR', 3.75), ('QAR', 3.64), ('KWD', 0.307), ('USD', 1.0)),
-c AS (SELECT *, ['USD', 'AED', 'OMR', 'SAR', 'QAR', 'XXX', 'KWD', ''][store_id + 1] AS currency FROM p),
+c AS (SELECT *, ['USD', 'AED', 'OMR', 'SAR', 'QAR', 'XXX', 'KWD', ''][store_id % 8 + 1] AS currency FROM p),
 q AS (SELECT c.*, CASE WHEN price > 0 AND c.currency = 'USD' THEN price WHEN price > 0 AND rate > 0 THEN floor(price / rate * 100 + 0.5) / 100 END AS usd FROM c LEFT JOIN r USING (currency))"""
 _EVENTS = _LAG + """, e AS (
   SELECT concat_ws('-', store_id, product_id, strftime(t, '%Y-%m-%d')) AS event_id, concat('store', store_id, '.example') AS key, concat('product ', product_id) AS name, t, first, price, was_available, available,
@@ -282,8 +282,8 @@ a AS (SELECT *, CASE WHEN kind = 'added' THEN 'new_product' WHEN kind = 'price_c
   CASE WHEN kind = 'price_changed' AND first <> 0 THEN (price - first) / abs(first) * 100 END AS raw_pct FROM e WHERE kind IS NOT NULL),
 s AS (SELECT *, CASE WHEN kind = 'added' THEN 'low' WHEN kind = 'price_changed' THEN CASE WHEN abs(coalesce(raw_pct, 0)) >= 15 THEN 'high' WHEN abs(coalesce(raw_pct, 0)) >= 5 THEN 'medium' ELSE 'low' END
   WHEN available THEN 'low' ELSE 'medium' END AS severity FROM a)"""
-_STORES = MONTHS + f""", b AS (SELECT store_id, product_id, max(month) AS month, arg_max(price, month) AS price, arg_max(available, month) AS available FROM months WHERE month < {MONTH} AND store_id <= 5 GROUP BY 1, 2),
-n AS (SELECT * FROM months WHERE month = {MONTH} AND store_id <= 5), f AS (SELECT i AS s, i % 2 = 0 AND i <> 4 AS ok FROM range(6) t(i)),
+_STORES = MONTHS + f""", b AS (SELECT store_id, product_id, max(month) AS month, arg_max(price, month) AS price, arg_max(available, month) AS available FROM months WHERE month < {MONTH} GROUP BY 1, 2),
+n AS (SELECT * FROM months WHERE month = {MONTH}), f AS (SELECT DISTINCT store_id AS s, store_id % 2 = 0 AND store_id % 5 <> 4 AS ok FROM months),
 a AS (SELECT store_id AS s, max(month) AS anchor FROM months WHERE month < {MONTH} AND (month + store_id) % 3 = 0 GROUP BY 1),
 j AS (SELECT coalesce(b.store_id, n.store_id) AS s, coalesce(b.product_id, n.product_id) AS p, b.price AS op, n.price AS np, b.available AS oa, n.available AS na, b.month AS bm, n.month AS nm FROM b FULL JOIN n ON b.store_id = n.store_id AND b.product_id = n.product_id),
 e AS (SELECT *, 'added' AS type FROM j WHERE bm IS NULL UNION ALL SELECT *, 'price_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND op <> np UNION ALL SELECT *, 'stock_changed' FROM j WHERE bm IS NOT NULL AND nm IS NOT NULL AND oa <> na
