@@ -44,7 +44,6 @@ def normalised(raw: DataFrame, rates: DataFrame) -> DataFrame:
     )
     first = Window.partitionBy("origin", "identity_key").orderBy("ord")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "ord")
-    # The rate table has one row for each currency code, a few hundred at most.
     rows = rows.join(rates, "currency", "left")
     return rows.withColumn("price_usd", prices.to_usd(F.col("price"), F.col("currency"), F.col("rate"))).drop("rate")
 

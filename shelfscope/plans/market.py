@@ -43,6 +43,11 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(_obs(spark, sf_dir))
 
 
+def _cents(rows: DataFrame) -> DataFrame:
+    """Prices as whole numbers, whose sums don't depend on the order of rows."""
+    return rows.withColumn("price", F.round(F.col("price") * 100))
+
+
 def _day(c: str = "t"):
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -144,18 +149,19 @@ def _snapshots(obs: DataFrame) -> DataFrame:
 
 def price_asof_snapshot(spark, d):
     obs = _obs(spark, d)
-    a = analytics.store_averages_at(_snapshots(obs), obs)
-    return a.select("store_id", _day().alias("day"), "n", half_up(F.col("avg_price"), 6).alias("avg_price"))
+    a = analytics.store_averages_at(_snapshots(obs), _cents(obs))
+    return a.select("store_id", _day().alias("day"), "n", half_up(F.col("avg_price") / 100, 6).alias("avg_price"))
 
 
 def market_trend(spark, d):
     obs = _obs(spark, d)
-    t = analytics.trend(analytics.store_averages_at(_snapshots(obs), obs), 0, F.date_format("t", "yyyy"))
+    averages = analytics.store_averages_at(_snapshots(obs), _cents(obs)).withColumn("avg_price", F.col("avg_price") / 100)
+    t = analytics.trend(averages, 0, F.date_format("t", "yyyy"))
     return t.select(_day().alias("day"), "label", "you", "market", "cheapest")
 
 
 def store_price_index(spark, d):
-    return analytics.price_index(_products(spark, d)).select("store_id", "products", half_up(F.col("avg_price"), 6).alias("avg_price"), "price_index")
+    return analytics.price_index(_cents(_products(spark, d))).select("store_id", "products", half_up(F.col("avg_price") / 100, 6).alias("avg_price"), "price_index")
 
 
 def dashboard_kpis(spark, d):
@@ -167,8 +173,8 @@ def dashboard_kpis(spark, d):
 
 
 def market_product_rollup(spark, d):
-    r = analytics.rollup(_products(spark, d))
-    return r.select("product_id", "store_count", "min_price", "max_price", half_up(F.col("avg_price"), 6).alias("avg_price"), F.array_join(F.transform("stores.store_id", lambda s: s.cast("string")), ",").alias("stores"))
+    r = analytics.rollup(_cents(_products(spark, d)))
+    return r.select("product_id", "store_count", (F.col("min_price") / 100).alias("min_price"), (F.col("max_price") / 100).alias("max_price"), half_up(F.col("avg_price") / 100, 6).alias("avg_price"), F.array_join(F.transform("stores.store_id", lambda s: s.cast("string")), ",").alias("stores"))
 
 
 def _priced(spark, d):
@@ -270,7 +276,7 @@ _PRODUCTS = OBS + ", p AS (SELECT store_id, product_id, max(t) AS t, arg_max(pri
 _AVGS = OBS + """,
 snaps AS (SELECT DISTINCT store_id, date_trunc('year', t)::TIMESTAMP AS t FROM obs),
 probes AS (SELECT s.store_id, s.t, k.product_id FROM snaps s JOIN (SELECT DISTINCT store_id, product_id FROM obs) k USING (store_id)),
-avgs AS (SELECT p.store_id, p.t, avg(o.price) AS avg_price, count(*) AS n FROM probes p ASOF JOIN obs o
+avgs AS (SELECT p.store_id, p.t, avg(round(o.price * 100)) / 100 AS avg_price, count(*) AS n FROM probes p ASOF JOIN obs o
          ON p.store_id = o.store_id AND p.product_id = o.product_id AND p.t >= o.t WHERE o.price > 0 GROUP BY 1, 2)"""
 _PRICED = _PRODUCTS + """, r(currency, rate) AS (VALUES ('AED', 3.6725::DOUBLE), ('OMR', 0.3845), ('SAR', 3.75), ('QAR', 3.64), ('KWD', 0.307), ('USD', 1.0)),
 c AS (SELECT *, ['USD', 'AED', 'OMR', 'SAR', 'QAR', 'XXX', 'KWD', ''][store_id % 8 + 1] AS currency FROM p),
@@ -315,12 +321,12 @@ ORACLES = {
       k AS (SELECT g.t, g.store_id, a.avg_price FROM grid g ASOF JOIN avgs a ON g.store_id = a.store_id AND g.t >= a.t),
       pts AS (SELECT t, strftime(t, '%Y') AS label, floor(max(avg_price) FILTER (store_id = 0) * 100 + 0.5) / 100 AS you, floor(avg(avg_price) * 100 + 0.5) / 100 AS market, floor(min(avg_price) * 100 + 0.5) / 100 AS cheapest FROM k GROUP BY 1)
       SELECT strftime(t, '%Y-%m-%d') AS day, label, you, market, cheapest FROM (SELECT *, lead(label) OVER (ORDER BY t) AS nxt FROM pts) WHERE nxt IS DISTINCT FROM label""",
-    "store_price_index": f"""WITH {_PRODUCTS}, s AS (SELECT store_id, count(*) AS products, avg(CASE WHEN price > 0 THEN price END) AS a FROM p GROUP BY 1)
-      SELECT store_id, products, floor(a * 1000000 + 0.5) / 1000000 AS avg_price, CASE WHEN a IS NULL THEN 100 ELSE floor(a / (SELECT avg(a) FROM s) * 100 + 0.5) END::BIGINT AS price_index FROM s""",
+    "store_price_index": f"""WITH {_PRODUCTS}, s AS (SELECT store_id, count(*) AS products, avg(CASE WHEN price > 0 THEN round(price * 100) END) AS a FROM p GROUP BY 1)
+      SELECT store_id, products, floor(a / 100 * 1000000 + 0.5) / 1000000 AS avg_price, CASE WHEN a IS NULL THEN 100 ELSE floor(a / (SELECT avg(a) FROM s) * 100 + 0.5) END::BIGINT AS price_index FROM s""",
     "dashboard_kpis": f"""WITH {_PRODUCTS}, s AS (SELECT 'store ' || store_id AS name, avg(coalesce(price, 0)) AS a FROM p WHERE store_id <> 0 GROUP BY 1)
       SELECT (SELECT count(*) FROM p WHERE store_id <> 0 AND NOT available) AS out_of_stock, (SELECT floor(sum(price) / count(*) * 1000000 + 0.5) / 1000000 FROM p WHERE store_id <> 0) AS market_avg,
       (SELECT name FROM s WHERE a > 0 ORDER BY a, name DESC LIMIT 1) AS cheapest, (SELECT name FROM s WHERE a > 0 ORDER BY a DESC, name DESC LIMIT 1) AS most_expensive""",
-    "market_product_rollup": f"WITH {_PRODUCTS} SELECT product_id, count(DISTINCT store_id) AS store_count, min(price) AS min_price, max(price) AS max_price, floor(avg(price) * 1000000 + 0.5) / 1000000 AS avg_price, string_agg(store_id, ',' ORDER BY store_id) AS stores FROM p GROUP BY 1",
+    "market_product_rollup": f"WITH {_PRODUCTS} SELECT product_id, count(DISTINCT store_id) AS store_count, min(price) AS min_price, max(price) AS max_price, floor(avg(round(price * 100)) / 100 * 1000000 + 0.5) / 1000000 AS avg_price, string_agg(store_id, ',' ORDER BY store_id) AS stores FROM p GROUP BY 1",
     "price_usd": f"WITH {_PRICED} SELECT store_id, product_id, currency, price, usd FROM q",
     "fx_gap": f"""WITH {_PRICED}, j AS (SELECT q.store_id, q.product_id, coalesce(CASE WHEN m.usd > 0 THEN m.usd END, CASE WHEN q.currency = m.currency AND m.price > 0 THEN m.price END) AS mine,
       coalesce(CASE WHEN q.usd > 0 THEN q.usd END, CASE WHEN q.currency = m.currency AND q.price > 0 THEN q.price END) AS theirs FROM q JOIN q m ON q.product_id = m.product_id AND m.store_id = 0 WHERE q.store_id <> 0)
