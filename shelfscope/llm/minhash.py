@@ -121,7 +121,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = out.unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y")))
         else:
             out = joined.where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(least.where("m < u").select(F.col("u").alias("x"), F.col("m").alias("y")))
-        return out.where("x > y").distinct()
+        return out.where("x > y")
 
     def settled(e: DataFrame) -> bool:
         """Every node has one root, and no root has another."""
@@ -131,7 +131,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x > y").distinct()
     last = None
     for _ in range(rounds):
-        e = scratch.save(star(star(e, small=False), small=True), "star")
+        # A pair that the first star repeats can't change the second's minima, so one distinct serves both.
+        e = scratch.save(star(star(e, small=False), small=True).distinct(), "star")
         if last is not None:
             scratch.drop(last)
         last = e
