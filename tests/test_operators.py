@@ -114,6 +114,84 @@ def test_assignment_equals_the_greedy_loop(spark):
     assert sorted((r.mine, r.theirs) for r in matching.assigned(frame).collect()) == want
 
 
+def similarity(a, b):
+    one, two, short, long = set(a.split(" ")), set(b.split(" ")), min(len(a), len(b)), max(len(a), len(b))
+    if not a or not b or a == b:
+        return float(bool(a) and a == b)
+    if len(one & two) / len(one | two) >= 0.75:
+        return len(one & two) / len(one | two)
+    if a in b or b in a:
+        return 0.6 + 0.35 * (short / long)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return 1 - row[-1] / long
+
+
+def matched_in_turn(mine, theirs, pair_limit):
+    """The tiers by plain loops over rows (ord, plain name, sku, gtin)."""
+    half_up = lambda x: int(x + 0.5)
+    grams = lambda s: {f" {s} "[i : i + 3] for i in range(len(s))}
+    out, used = {}, set()
+
+    def take(m, t, method, confidence):
+        out[m] = (t, method, confidence)
+        used.add(t)
+
+    for m, _, sku, gtin in mine:
+        for method, at, key in (("GTIN", 3, gtin), ("SKU", 2, sku)):
+            owner = next((t[0] for t in theirs if key and t[at] == key), None)
+            if owner is not None and owner not in used:
+                take(m, owner, method, 100)
+                break
+    rest = [t for t in theirs if t[0] not in used]
+    if (len(mine) - len(out)) * len(rest) <= pair_limit:
+        for m, a, *_ in mine:
+            bands = range(half_up(max(0, len(a) - 15) / 5), half_up((len(a) + 15) / 5) + 1)
+            found = [(-similarity(a, b), half_up(len(b) / 5), t) for t, b, *_ in rest if m not in out and t not in used and half_up(len(b) / 5) in bands]
+            if found and min(found)[0] <= -0.8:
+                take(m, min(found)[2], "fuzzy", half_up(-min(found)[0] * 100))
+    rest = [t for t in theirs if t[0] not in used]
+    rare = {g for g in set().union(*(grams(b) for _, b, *_ in rest)) if sum(g in grams(b) for _, b, *_ in rest) <= 200}
+    for m, a, *_ in mine:
+        found, own = [], grams(a) & rare
+        for t, b, *_ in rest:
+            shared = len(own & grams(b))
+            if m not in out and t not in used and shared >= 2 and shared / (len(own) + len(grams(b)) - shared) >= 0.3:
+                found.append((-shared / (len(own) + len(grams(b)) - shared), t, b))
+        if found and similarity(a, min(found)[2]) >= 0.8:
+            take(m, min(found)[1], "trigram", half_up(similarity(a, min(found)[2]) * 100))
+    return sorted((m, *x) for m, x in out.items())
+
+
+@pytest.mark.parametrize("pair_limit", [10**9, 0])
+def test_matching_by_plain_loops(spark, pair_limit):
+    import random
+
+    rng = random.Random(11)
+    words = ["red", "blue", "shirt", "cotton", "mug", "large", "small", "steel", "bottle", "travel", "organic", "lamp"]
+
+    def name():
+        out = " ".join(rng.sample(words, rng.randint(2, 6)))
+        if rng.random() < 0.4:
+            i = rng.randrange(len(out))
+            out = " ".join((out[:i] + rng.choice("xyz") + out[i + 1 :]).split())
+        return out
+
+    def side():
+        return [(i, name(), rng.choice(["", "", f"s{rng.randint(1, 12)}"]), rng.choice(["", "", "", str(10**8 + rng.randint(1, 12))])) for i in range(1, 61)]
+
+    mine, theirs = side(), side()
+    theirs[40:] = [(t, rng.choice(mine)[1] + rng.choice(["", " new", "s"]), sku, gtin) for t, _, sku, gtin in theirs[40:]]
+    want = matched_in_turn(mine, theirs, pair_limit)
+    one, two = (catalogue(spark, [(o, n, s, g, "") for o, n, s, g in rows]) for rows in (mine, theirs))
+    got = matching.match(one, two, pair_limit=pair_limit).collect()
+    assert sorted((r.mine, r.theirs, r.method, r.confidence) for r in got) == want
+    assert {"GTIN", "SKU", "fuzzy" if pair_limit else "trigram"} <= {x[2] for x in want}
+
+
 EVENT = "event_id string, key string, type string, name string, old struct<price:double,available:boolean>, new struct<price:double,available:boolean>, at string"
 
 
