@@ -51,6 +51,36 @@ def page_platform(spark, d):
     return p.groupBy("p.platform", "p.kind", health.rendering(F.col("html")).alias("rendering"), health.framework(F.col("html")).alias("framework")).agg(F.count("*").alias("n"))
 
 
+#: robots.txt, what is added to the page, and what that makes of the site: platform, kind, framework, rendering.
+_GENERATOR = '<meta name="generator" content="{}">'
+TRACES = [
+    ("", "", "Unknown", "unknown", "plain", "ssr"),
+    ("Disallow: /checkout Disallow: /cart", "", "WooCommerce", "store", "plain", "ssr"),
+    ("Disallow: /checkout Disallow: /cart", '<img src="https://cdn.shopify.com/a.png">', "Shopify", "store", "plain", "ssr"),
+    ("# We use Shopify", "", "Shopify", "store", "plain", "ssr"),
+    ("", _GENERATOR.format("WooCommerce 8.1"), "WooCommerce", "store", "plain", "ssr"),
+    ("", _GENERATOR.format("WordPress 6.4"), "WordPress", "corporate", "plain", "ssr"),
+    ("Disallow: /checkout Disallow: /cart", _GENERATOR.format("WordPress 6.4") + '<img src="https://cdn.shopify.com/a.png">', "WordPress", "store", "plain", "ssr"),
+    ("", _GENERATOR.format("Wix.com Website Builder"), "Wix", "unknown", "plain", "ssr"),
+    ("", _GENERATOR.format("Squarespace"), "Squarespace", "unknown", "plain", "ssr"),
+    ("", '<img src="https://cdn11.bigcommerce.com/a.png">', "BigCommerce", "store", "plain", "ssr"),
+    ("", '<link href="/static/version17/a.css">', "Magento", "store", "plain", "ssr"),
+    ("Disallow: /wp-admin/", "", "WordPress", "corporate", "plain", "ssr"),
+    ("", '<script id="__NEXT_DATA__"></script>', "Unknown", "unknown", "next", "ssr"),
+    ("", "<script>window.__NUXT__={}</script>", "Unknown", "unknown", "nuxt", "ssr"),
+    ("", '<div class="gatsby-image"></div>', "Unknown", "unknown", "gatsby", "ssg"),
+    ("", _GENERATOR.format("PrestaShop"), "PrestaShop", "store", "plain", "ssr"),
+]
+
+
+def platform_traces(spark, d):
+    """All pages, each with one site's traces added by its number."""
+    robots, added = (F.element_at(F.array(*(F.lit(t[k]) for t in TRACES)), (F.col("page_id") % len(TRACES) + 1).cast("int")) for k in (0, 1))
+    html = F.concat(F.col("html"), added)
+    p = read(spark, d, "pages").where("html IS NOT NULL").withColumn("p", health.platform(robots, html))
+    return p.groupBy((F.col("page_id") % len(TRACES)).alias("trace"), "p.platform", "p.kind", health.framework(html).alias("framework"), health.rendering(html).alias("rendering")).agg(F.count("*").alias("n"))
+
+
 def homepage_links(spark, d):
     h = health.homepage(read(spark, d, "pages"))
     return h.select("url", "product_links", "category_links", F.size("store_hosts").cast("long").alias("hosts"), "looks_like_store")
@@ -102,10 +132,27 @@ def site_health(spark, d):
     return h.select("id", "tier", "verdict", F.col("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, homepage_links, number_texts, platform_products, sitemap_entries, sitemap_candidates, site_health)}
+QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, platform_traces, homepage_links, number_texts, platform_products, sitemap_entries, sitemap_candidates, site_health)}
 
-_A = r"""regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"''#]+)["'']', 1)"""
+_LINKS = r"""list_transform(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"''#]+)["'']', 1), lambda a: CASE WHEN regexp_matches(a, '(?i)^https?://') THEN a ELSE regexp_extract(url, '^(\w+://[^/?#]*)', 1) || CASE WHEN starts_with(a, '/') THEN '' ELSE '/' END || a END)"""
+_SITE = r"regexp_replace(lower(regexp_extract({}, '(?is)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+_TRACED = ", ".join(f"({k}, {', '.join(repr(x) for x in t[2:])})" for k, t in enumerate(TRACES))
 ORACLES = {
+    "page_platform": r"""WITH p AS (SELECT lower(html) AS page, html, lower(array_to_string(regexp_extract_all(html, '(?i)<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)["'']', 1), ' · ')) AS g,
+        regexp_replace(html, '(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>', '', 'g') AS seen FROM pages),
+      q AS (SELECT *, CASE WHEN regexp_matches(html, '(?i)__NEXT_DATA__|id=["'']__next["'']|/_next/|/\.next/|next/static') THEN 'next' WHEN regexp_matches(html, '(?i)__NUXT__|_nuxt/|nuxt\.config|@nuxt') THEN 'nuxt' WHEN regexp_matches(html, '(?i)gatsby-|_gatsby|gatsby\.js') THEN 'gatsby' ELSE 'plain' END AS framework,
+        CASE WHEN contains(g, 'woocommerce') THEN ['WooCommerce', 'store'] WHEN contains(g, 'shopify') THEN ['Shopify', 'store'] WHEN contains(g, 'magento') THEN ['Magento', 'store'] WHEN contains(g, 'prestashop') THEN ['PrestaShop', 'store']
+          WHEN contains(g, 'bigcommerce') THEN ['BigCommerce', 'store'] WHEN regexp_matches(g, 'elementor|site kit by google|rank math|yoast|astra|wordpress') OR contains(page, 'wp-content') THEN ['WordPress', 'corporate'] WHEN contains(g, 'wix.com') THEN ['Wix', 'unknown']
+          WHEN contains(g, 'squarespace') THEN ['Squarespace', 'unknown'] WHEN contains(page, 'cdn.shopify.com') THEN ['Shopify', 'store'] WHEN regexp_matches(page, 'cdn\d+\.bigcommerce\.com') THEN ['BigCommerce', 'store']
+          WHEN contains(page, '/static/version') OR contains(page, 'magento') THEN ['Magento', 'store'] ELSE ['Unknown', 'unknown'] END AS found FROM p)
+      SELECT found[1] AS platform, found[2] AS kind, CASE WHEN length(trim(regexp_replace(regexp_replace(seen, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) < 200 AND len(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["''][^"''#]+["'']')) < 3 AND contains(page, '<script') THEN 'csr-shell' WHEN framework = 'gatsby' THEN 'ssg' ELSE 'ssr' END AS rendering, framework, count(*) AS n
+      FROM q GROUP BY ALL""",
+    "platform_traces": f"SELECT trace::BIGINT AS trace, platform, kind, framework, rendering, count(*) AS n FROM pages JOIN (VALUES {_TRACED}) t(trace, platform, kind, framework, rendering) ON page_id % {len(TRACES)} = trace WHERE html IS NOT NULL GROUP BY ALL",
+    "homepage_links": rf"""WITH l AS (SELECT url, {_LINKS} AS links FROM pages),
+      c AS (SELECT url, len(list_filter(links, lambda x: regexp_matches(x, '(?i)/(product|products|item|dp|p)/[a-z0-9_-]+|/shop/(?:[a-z0-9_-]+/)+[a-z0-9_-]+'))) AS product_links,
+          len(list_filter(links, lambda x: regexp_matches(x, '(?i)/product-category/|[?&]product_cat=|/(category|categories|collection|collections|shop|catalog)(/|\?|#|$)'))) AS category_links,
+          list_distinct(list_filter(list_transform(links, lambda x: {_SITE.format("x")}), lambda h: h <> {_SITE.format("url")} AND regexp_matches(h, '(^|\.)(shop|store|buy)\.|shop|store'))) AS hosts FROM l)
+      SELECT url, product_links, category_links, least(len(hosts), 5)::BIGINT AS hosts, product_links > 0 OR category_links > 0 AS looks_like_store FROM c""",
     "page_products": "SELECT NULL::VARCHAR AS source, count(*) AS n FROM pages",
     "number_texts": "SELECT * FROM (VALUES (0::BIGINT, 1400.0::DOUBLE, 1400.0::DOUBLE, 1400.0::DOUBLE), (1, 1400, 1400, 1.4), (2, 1400, 1400, 1400), (3, 1999, 1999, 1999), (4, 0, NULL, 0), (5, 0, 0, 0), (6, 0, 0, 0), (7, 0, NULL, 0), (8, -5, -5, 0), (9, 0, NULL, 0)) t(i, number, price, positive)",
     "sitemap_entries": "SELECT * FROM (VALUES ('https://s.example/product/a', '2024-01-01'), ('https://s.example/product/b', NULL)) t(loc, lastmod)",
