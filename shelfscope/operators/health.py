@@ -101,11 +101,14 @@ def homepage(pages: DataFrame) -> DataFrame:
 
 
 def has_price(node: Column) -> Column:
-    """A JSON-LD product with a positive price of its own or in an offer, at most two levels down."""
-    own = lambda n: extract.ld_price(n, "price") > 0
-    offers = extract.json_items(extract.member(node, "offers"))
-    deeper = F.flatten(F.transform(offers, lambda o: extract.json_items(extract.member(o, "offers"))))
-    return F.coalesce(own(node), F.lit(False)) | F.exists(F.concat(offers, deeper), lambda o: F.coalesce(own(o), F.lit(False)))
+    """A JSON-LD product with a positive price of its own or in an offer, however deep."""
+    own = lambda n: F.coalesce(extract.ld_price(n, "price") > 0, F.lit(False))
+    inner = lambda n: F.filter(extract.json_items(extract.member(n, "offers")), lambda o: F.ltrim(o).startswith("{"))
+    # A node has no more levels of offers than it names them; an escaped name counts as one.
+    levels = F.sequence(F.lit(0), F.regexp_count(node, F.lit(r"offers|\\u")))
+    start = F.struct(F.array(node).alias("nodes"), F.lit(False).alias("found"))
+    step = lambda s, _: F.struct(F.flatten(F.transform(s["nodes"], inner)).alias("nodes"), (s["found"] | F.exists(s["nodes"], own)).alias("found"))
+    return F.coalesce(F.aggregate(levels, start, step, lambda s: s["found"]), F.lit(False))
 
 
 def tier(p: DataFrame) -> DataFrame:

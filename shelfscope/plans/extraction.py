@@ -81,6 +81,26 @@ def platform_traces(spark, d):
     return p.groupBy((F.col("page_id") % len(TRACES)).alias("trace"), "p.platform", "p.kind", health.framework(html).alias("framework"), health.rendering(html).alias("rendering")).agg(F.count("*").alias("n"))
 
 
+#: A page's JSON-LD, and whether it holds a product with a price.
+PRICED = [
+    ({"@type": "Product", "price": 5}, True),
+    ({"@type": "Product", "price": "0"}, False),
+    ({"@type": "Product", "offers": {"price": "1,200.50"}}, True),
+    ({"@type": "Product", "offers": [{"price": 0}, {"offers": [{"offers": {"offers": {"price": 3}}}]}]}, True),
+    ({"@type": "Product", "offers": [{"priceCurrency": "USD"}, [{"price": 8}]]}, False),
+    ({"@type": "Product", "price": -1, "offers": {"lowPrice": 4}}, False),
+    ({"@graph": [{"@type": "WebPage", "price": 4}, {"@type": "Product", "price": "free", "offers": [None, 3, {"price": "7"}]}]}, True),
+    ({"@type": "WebPage", "price": 9}, False),
+]
+
+
+def priced_schema(spark, d):
+    """All pages, each with one of the documents by its number."""
+    added = F.element_at(F.array(*(F.lit(_ld(doc)) for doc, _ in PRICED)), (F.col("page_id") % len(PRICED) + 1).cast("int"))
+    p = read(spark, d, "pages").select("page_id", F.try_element_at(extract.product_nodes(F.concat(F.coalesce("html", F.lit("")), added)), F.lit(1)).alias("node"))
+    return p.groupBy((F.col("page_id") % len(PRICED)).alias("case"), health.has_price(F.col("node")).alias("priced")).agg(F.count("*").alias("n"))
+
+
 def homepage_links(spark, d):
     h = health.homepage(read(spark, d, "pages"))
     return h.select("url", "product_links", "category_links", F.size("store_hosts").cast("long").alias("hosts"), "looks_like_store")
@@ -132,7 +152,7 @@ def site_health(spark, d):
     return h.select("id", "tier", "verdict", F.col("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, platform_traces, homepage_links, number_texts, platform_products, sitemap_entries, sitemap_candidates, site_health)}
+QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, platform_traces, priced_schema, homepage_links, number_texts, platform_products, sitemap_entries, sitemap_candidates, site_health)}
 
 _LINKS = r"""list_transform(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"''#]+)["'']', 1), lambda a: CASE WHEN regexp_matches(a, '(?i)^https?://') THEN a ELSE regexp_extract(url, '^(\w+://[^/?#]*)', 1) || CASE WHEN starts_with(a, '/') THEN '' ELSE '/' END || a END)"""
 _SITE = r"regexp_replace(lower(regexp_extract({}, '(?is)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
@@ -148,6 +168,7 @@ ORACLES = {
       SELECT found[1] AS platform, found[2] AS kind, CASE WHEN length(trim(regexp_replace(regexp_replace(seen, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) < 200 AND len(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["''][^"''#]+["'']')) < 3 AND contains(page, '<script') THEN 'csr-shell' WHEN framework = 'gatsby' THEN 'ssg' ELSE 'ssr' END AS rendering, framework, count(*) AS n
       FROM q GROUP BY ALL""",
     "platform_traces": f"SELECT trace::BIGINT AS trace, platform, kind, framework, rendering, count(*) AS n FROM pages JOIN (VALUES {_TRACED}) t(trace, platform, kind, framework, rendering) ON page_id % {len(TRACES)} = trace WHERE html IS NOT NULL GROUP BY ALL",
+    "priced_schema": f'SELECT page_id % {len(PRICED)} AS "case", [{", ".join(str(x) for _, x in PRICED)}][page_id % {len(PRICED)} + 1] AS priced, count(*) AS n FROM pages GROUP BY ALL',
     "homepage_links": rf"""WITH l AS (SELECT url, {_LINKS} AS links FROM pages),
       c AS (SELECT url, len(list_filter(links, lambda x: regexp_matches(x, '(?i)/(product|products|item|dp|p)/[a-z0-9_-]+|/shop/(?:[a-z0-9_-]+/)+[a-z0-9_-]+'))) AS product_links,
           len(list_filter(links, lambda x: regexp_matches(x, '(?i)/product-category/|[?&]product_cat=|/(category|categories|collection|collections|shop|catalog)(/|\?|#|$)'))) AS category_links,
