@@ -95,3 +95,47 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+#: crc32 of the decimal id, bit by bit, by folding lists.
+_CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11 = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, w, len(w)::BIGINT AS n, {_CRC}::BIGINT AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents)),
+f AS (SELECT *, (h // 10) % n AS a FROM d WHERE n > 0),
+g AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM f),
+t AS MATERIALIZED (
+  SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[(1 + a + (i - a) % p)::INT] ELSE w[i + 1] END AS word
+  FROM (SELECT *, unnest(range(n::INT)) AS i FROM g)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
+o AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM s GROUP BY doc_id, q, k HAVING count(*) >= q AND count(*) + q >= 12),
+r AS MATERIALIZED (SELECT doc_id, s::BIGINT AS s, l::BIGINT AS l, min(q)::BIGINT AS q FROM o GROUP BY ALL),
+b AS (SELECT doc_id, count(*) AS c, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) AS k FROM r) WHERE k = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range((s + q)::INT, (s + l)::INT)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS v FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c, 0)::BIGINT AS n_runs, m.s AS start, m.l AS length, m.q AS period, (1000 * m.l) // m.q AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(v, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP13 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, {_TERMS}) AS w FROM documents),
+c AS MATERIALIZED (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS term FROM benchmark),
+t AS MATERIALIZED (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+v AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, c GROUP BY term),
+i AS MATERIALIZED (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS impact
+  FROM t JOIN v USING (term), c),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""

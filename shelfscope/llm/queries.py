@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import chat, decontam, exact, langid, minhash, mixing, oracle, quality, substring, suffixarray, urlgraph
+from shelfscope.llm import bpe, chat, decontam, exact, langid, minhash, mixing, oracle, quality, ranking, runs, substring, suffixarray, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of twelve words or more; the words of a tenth of the documents are made periodic first."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    return runs.periodic_runs(_read(spark, sf_dir, "documents"), repeat=F.when(h % 10 == 0, h), summary=True)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts through the byte-level vocabulary that is installed beside the tokenizers library."""
+    import public_tokenizers
+
+    return bpe.coded(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), summary=True)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranking.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -102,6 +120,9 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": op8_url_filter,
         "op9_source_mixing": op9_source_mixing,
         "op10_quality": op10_quality,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_bpe": op12_bpe,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -113,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_suffix_array_dedup": oracle.OP4,
         "op5_exact_dedup": oracle.OP5,
         "op7_decontamination": oracle.OP7,
+        "op11_periodic_runs": oracle.OP11,
+        "op13_ranked_search": oracle.OP13,
     }

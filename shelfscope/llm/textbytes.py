@@ -145,9 +145,9 @@ def lower(buf: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice: byte ranges, hashes, and the word range of every document."""
+    """The words of a slice: byte ranges, hashes if wanted, and the word range of every document."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True):
         inside = np.zeros(len(buf) + 2, np.int8)
         inside[1:-1] = table[buf]
         # A document's end also ends a word, so mark starts from both sides.
@@ -164,7 +164,13 @@ class Words:
         ends[joined] = True
         self.end = np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, offsets)  # len(docs) + 1 word offsets
-        self.hash = byte_prefix(buf).spans(self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        self._inside = inside[1:-1].view(bool)
+        self.hash = byte_prefix(buf).spans(self.start, self.end) if hashed and len(self.start) else np.zeros(0, np.uint64)
+
+    def strings(self, buf: np.ndarray) -> pa.Array:
+        """The words themselves; buf: the bytes of the slice, or others of the same places."""
+        ends = np.r_[0, np.cumsum(self.end - self.start)]
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(ends), pa.py_buffer(buf[self._inside]))
 
 
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
