@@ -14,9 +14,11 @@
    bijection for any number of blocks), so a block comes again only after all others have come.
 5. Blocks are joined to the documents they hold by index.
 
-Every draw is a hash of its place and the seed: reruns agree. Offsets in a stream are prefix sums
-in two steps over as many parts as the square root of the rows, so that a source with a third of all
-rows is never sorted in one task. What is kept for each source, one row, is ordered in one task.
+Every draw is a hash of its place and the seed, and a document's place follows from its id, size and the
+hash of its text alone: reruns agree, however the files are split. Rows equal in all of these, which
+cannot be told apart, are placed as runs of up to COPIES and unfolded afterwards. Offsets in a stream
+are prefix sums in two steps over as many parts as the square root of the rows, so that a source with
+a third of all rows is never sorted in one task. What is kept for each source, one row, is ordered in one task.
 
 packed() gives the mix itself, the pieces of documents in every slot of every shard; mix() how much of
 each document it takes.
@@ -37,6 +39,8 @@ from shelfscope.llm import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables that have been counted to have no more rows than this are broadcast.
 SMALL = 50_000
+#: Equal rows whose offsets are counted as one run.
+COPIES = 1024
 #: Blocks into which a source is cut at least, as far as it has words.
 LEAST_BLOCKS = 16
 
@@ -99,30 +103,35 @@ def draws(plan: DataFrame, seed: int, shard: int) -> DataFrame:
 
 
 def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], budget: float, cap: int, block: int, shard: int, part: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The pieces of documents in each block: row, doc_id, source, size, source_size, target, number,
+    """The pieces of documents in each block: doc_id, digest, copy (the number among equal rows), source, size, source_size, target, number,
     index, skip (words of the document before the piece) and words; a document without words has one
     piece without index. And the slots: number, shard, slot, index."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    total = rows.count()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("digest"))
+    rows = scratch.save(rows.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("copies")), "mix-sizes")
+    total = rows.agg(F.sum("copies")).first()[0] or 0
     parts = total // part + 1 if part else math.isqrt(total) + 1
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     plan = targets(sizes, weights, budget, cap).withColumn("block", F.expr(f"least({block}L, greatest(1L, source_size div {LEAST_BLOCKS}))"))
     plan = plan.withColumn("blocks", F.expr("(source_size + block - 1) div block"))
     wanted = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0)
     plan = scratch.save(plan.withColumn("quota", F.least(wanted, cap * F.col("blocks"))), "mix-plan")
 
     known = plan.select(F.col("source").alias("name"), "number", "source_size", "target", "block")
-    rows = rows.join(small(known), F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)))
+    rows = rows.join(small(known), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    rows = rows.withColumn("copies", F.least(F.col("copies") - F.col("nth"), F.lit(COPIES))).withColumn("part", F.pmod(F.xxhash64("doc_id", "digest", "nth"), F.lit(parts)))
     before = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("number", "part").agg(F.sum("size").alias("total")).select("number", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("number", "part").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["number", "part"]).withColumn("start", F.col("base") + F.col("ahead"))
+    run = F.col("size") * F.col("copies")
+    bases = rows.groupBy("number", "part").agg(F.sum(run).alias("total")).select("number", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("number", "part").orderBy("doc_id", "size", "digest", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("ahead", F.coalesce(F.sum(run).over(within), F.lit(0))).join(bases, ["number", "part"])
+    placed = placed.withColumn("more", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("copy", F.col("nth") + F.col("more"))
+    placed = placed.withColumn("start", F.col("base") + F.col("ahead") + F.col("more") * F.col("size"))
     cut = placed.withColumn("index", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr("start div block"), F.expr("(start + size - 1) div block")))))
     first = F.greatest("start", F.col("index") * F.col("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("block")) - first
-    pieces = cut.select("row", "doc_id", "source", "size", "source_size", "target", "number", "index", (first - F.col("start")).alias("skip"), words.alias("words"))
+    pieces = cut.select("doc_id", "digest", "copy", "source", "size", "source_size", "target", "number", "index", (first - F.col("start")).alias("skip"), words.alias("words"))
 
     counts = draws(plan.select("number", "quota"), seed, shard)
     earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,8 +151,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces, slots = _laid_out(docs, id_col, text_col, source_col, weights, budget, cap, block, shard, part, seed)
     times = slots.groupBy("number", "index").agg(F.count("*").alias("times"))
     joined = pieces.join(times, ["number", "index"], "left").withColumn("words", F.coalesce(F.col("words") * F.col("times"), F.lit(0)))
-    keys = ["row", "doc_id", "source", "size", "source_size", "target"]
-    return joined.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken")).drop("row")
+    keys = ["doc_id", "digest", "copy", "source", "size", "source_size", "target"]
+    return joined.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken")).drop("digest", "copy")
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = 256, shard: int = 8192, part: int | None = None, seed: int = 1) -> DataFrame:

@@ -233,3 +233,26 @@ def test_url_filter_by_brute_force(spark, tmp_path):
         if not fit:
             seen.add(r.verdict)
     assert len(got) == len(rows) and seen == {"allow", "block"}
+
+
+def test_mixing_does_not_depend_on_the_layout_of_files(spark, tmp_path):
+    """Split sizes, numbers of files, order of rows and partitions of shuffles change nothing."""
+    rows = [(i, t, None, f"s{i % 4}") for i, t in corpus(3)] + [(i % 50, f"w{i} " * (i % 90), None, "s9") for i in range(2000)]
+    rows += [(7, "same text " * 5, None, "s1")] * 2500 + [(None, "no id " * 4, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    results, packs = [], []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for n, (files, split, parts) in enumerate([(1, "128m", 4), (7, "2k", 3), (13, "16k", 9)]):
+            docs.orderBy(F.rand(n)).repartition(files).write.parquet(f"{tmp_path}/{n}")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            some = spark.read.parquet(f"{tmp_path}/{n}")
+            results.append(Counter(map(tuple, mixing.mix(some, block=16, shard=64).collect())))
+            packs.append(Counter(map(tuple, mixing.packed(some, block=16, shard=64).collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] == results[2] and sum(results[0].values()) == len(rows)
+    assert packs[0] == packs[1] == packs[2]
+    assert len({r[-1] for r in results[0] if r[0] == 7}) > 1  # copies are placed one by one
