@@ -1,10 +1,9 @@
 """Matching my catalogue with those of other stores: exact keys, then similar names, one to one.
 
 Both sides have `id`, `ord` (their order, a whole number), name, gtin, sku and url. Candidates come
-from joins on keys, words, trigrams and length bands, never from all pairs. Columns `by` of theirs
-name the store of a row: each store is matched with mine by itself, all of them in one job. The greedy rule "in my
-order, take the best of theirs that is still free" is computed without a sequential pass: it equals
-proposals in rounds in which each of theirs keeps the earliest of mine that asks.
+from joins on keys, words and q-grams, never from all pairs. Columns `by` of theirs name the store of a
+row: each store is matched with mine by itself, all of them in one job. The greedy rule "in my order,
+take the best of theirs that is still free" is that of `assign`.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from shelfscope.functions import names, urls
 from shelfscope.functions.numbers import half_up
+from shelfscope.operators import similar
+from shelfscope.operators.assign import assigned, assigned_classes
 from shelfscope.sources.stored import checkpointed
 
 TIERS = (("gtin", "GTIN"), ("sku", "SKU"), ("slug", "URL slug"))
@@ -23,6 +24,9 @@ THRESHOLD = 0.8
 BAND = 15
 #: Above this many pairs of leftovers the name tier is skipped for a store.
 PAIR_LIMIT = 50_000
+#: A trigram is rare in a store if no more products have it, and is one of the rarest so many; above
+#: this many pairs that share rare trigrams their tier is skipped for a store.
+GRAM_MOST, GRAM_TOP, GRAM_PAIRS = 200, 8000, 50_000
 
 
 def keyed(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -66,10 +70,38 @@ def band_pairs(mine: DataFrame, theirs: DataFrame, budget: int = BAND, by: Seque
     return one.join(two, "band")
 
 
-def fuzzy_edges(pairs: DataFrame, threshold: float = THRESHOLD, by: Sequence[str] = ()) -> DataFrame:
-    """Those of band_pairs whose names are similar enough, preferred by score, then band, then order of theirs."""
-    scored = pairs.withColumn("score", names.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
-    return scored.select(*by, "mine", "theirs", F.array(-F.col("score"), F.col("band").cast("double"), F.col("theirs").cast("double")).alias("pref"), F.lit("fuzzy").alias("method"), half_up(F.col("score") * 100).alias("confidence"), F.lit(True).alias("passes"))
+def band_counts(mine: DataFrame, theirs: DataFrame, budget: int = BAND) -> DataFrame:
+    """How many pairs band_pairs makes in each band, from the numbers of names of each length."""
+    low = F.greatest(band(F.col("n") - budget), F.lit(0).cast("long"))
+    lengths = lambda df: df.where("plain <> ''").groupBy(F.length("plain").alias("n")).agg(F.count("*").alias("k"))
+    one = lengths(mine).select("k", F.explode(F.sequence(low, band(F.col("n") + budget))).alias("band")).groupBy("band").agg(F.sum("k").alias("k"))
+    two = lengths(theirs).groupBy(band(F.col("n")).alias("band")).agg(F.sum("k").alias("l"))
+    return one.join(two, "band").select("band", (F.col("k") * F.col("l")).alias("pairs"))
+
+
+def similar_names(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, budget: int = BAND) -> DataFrame:
+    """(a, b, score, band): the distinct names of both sides that are similar enough and whose lengths
+    lie in neighbouring bands."""
+    if threshold > 0.5:
+        scored = similar.similar_pairs(mine, theirs, threshold)
+    else:  # no name rules out another of like length then
+        one, two = (df.select("plain").distinct().withColumn("ord", F.lit(0)) for df in (mine, theirs))
+        scored = band_pairs(one, two, budget).select("a", "b", names.similarity(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= threshold)
+    low = F.greatest(band(F.length("a") - budget), F.lit(0).cast("long"))
+    return scored.withColumn("band", band(F.length("b"))).where((F.col("band") >= low) & (F.col("band") <= band(F.length("a") + budget)))
+
+
+def fuzzy_matches(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, by: Sequence[str] = (), done: DataFrame | None = None) -> DataFrame:
+    """(by, mine, theirs, method, confidence): the greedy rule over similar names, preferred by score,
+    then band, then order of theirs. Rows of mine that `done` has matched with a store are left out
+    there. A pair of names is compared once, whatever stores and rows have them."""
+    near = checkpointed(similar_names(mine, theirs, threshold))
+    edges = near.join(theirs.select(*by, F.col("plain").alias("b")).distinct(), "b")
+    edges = edges.select(*by, "a", "b", F.array(-F.col("score"), F.col("band").cast("double")).alias("rank"), F.lit("fuzzy").alias("method"), half_up(F.col("score") * 100).alias("confidence"))
+    rows = edges.select(*by, "a").distinct().join(mine.select(F.col("plain").alias("a"), "ord"), "a")
+    if done is not None:
+        rows = rows.join(done.select(*by, F.col("mine").alias("ord")), [*by, "ord"], "left_anti")
+    return assigned_classes(rows, theirs.select(*by, "ord", F.col("plain").alias("b")), edges, by)
 
 
 def gram_counts(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +109,7 @@ def gram_counts(products: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return products.select(*by, "ord", F.explode(names.trigrams(F.col("plain"))).alias("gram")).groupBy(*by, "gram").agg(F.count("*").alias("n"))
 
 
-def rare_grams(products: DataFrame, most: int | None = 200, top: int | None = 8000, by: Sequence[str] = ()) -> DataFrame:
+def rare_grams(products: DataFrame, most: int | None = GRAM_MOST, top: int | None = GRAM_TOP, by: Sequence[str] = ()) -> DataFrame:
     """The rarest trigrams of each store. A store has no more than the alphabet allows, 37 ** 3."""
     counts = gram_counts(products, by)
     if most is not None:
@@ -89,12 +121,12 @@ def rare_grams(products: DataFrame, most: int | None = 200, top: int | None = 80
     return counts.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("n", "gram"))).where(F.col("_n") <= top).drop("_n")
 
 
-def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, threshold: float = THRESHOLD, most_pairs: int | None = 50_000, by: Sequence[str] = (), done: DataFrame | None = None) -> DataFrame:
+def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, threshold: float = THRESHOLD, most_pairs: int | None = GRAM_PAIRS, by: Sequence[str] = (), done: DataFrame | None = None, most: int | None = GRAM_MOST, top: int | None = GRAM_TOP) -> DataFrame:
     """Pairs that share two rare trigrams and overlap enough, preferred by overlap. A pair whose names
     are not similar enough still ends the search of its row of mine: `passes` is false. Rows of mine
     that `done` has matched with a store are left out there. A store with more than most_pairs pairs
-    gives none, with None there is no such bound."""
-    rare = rare_grams(theirs, by=by).select(*by, "gram")
+    gives none; most and top bound the rare trigrams. None lifts each of the three."""
+    rare = rare_grams(theirs, most, top, by).select(*by, "gram")
     grams = F.explode(names.trigrams(F.col("plain"))).alias("gram")
     one = mine.select(F.col("ord").alias("mine"), F.col("plain").alias("a"), grams).join(rare, "gram")
     if done is not None:
@@ -112,26 +144,6 @@ def trigram_edges(mine: DataFrame, theirs: DataFrame, least: float = 0.3, thresh
     return edges.join(few, list(by), "left_semi") if by else edges.where(F.lit(not few.isEmpty()))
 
 
-def assigned(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One-to-one pairs by the greedy rule in each store, from edges (by, mine, theirs, pref, passes, ...).
-
-    In each round every row of mine asks for its preferred edge left; an edge goes when an earlier
-    row holds its other end. Every round but the last removes edges, so rounds end.
-    """
-    edges = checkpointed(edges)
-    n = edges.count()
-    best = Window.partitionBy(*by, "mine").orderBy("pref")
-    while True:
-        asked = edges.withColumn("_n", F.row_number().over(best)).where("_n = 1 AND passes").drop("_n")
-        held = asked.groupBy(*by, "theirs").agg(F.min("mine").alias("holder"))
-        # At most one holder for each of theirs, so the join gives every edge once.
-        left = checkpointed(edges.join(held, [*by, "theirs"], "left").where("holder IS NULL OR holder >= mine").select(*edges.columns))
-        before, n = n, left.count()
-        if n == before:
-            return asked.drop("pref", "passes")
-        edges = left
-
-
 def unmatched(rows: DataFrame, matches: DataFrame, side: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.join(matches.select(*by, F.col(side).alias("ord")), [*by, "ord"], "left_anti")
 
@@ -143,11 +155,11 @@ def within_limit(mine: DataFrame, theirs: DataFrame, done: DataFrame, by: Sequen
     return per.where((F.lit(mine.count()) - m) * (F.col("_n") - m) <= limit).select(*by)
 
 
-def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair_limit: int | None = PAIR_LIMIT, trigrams: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair_limit: int | None = PAIR_LIMIT, trigrams: bool = True, by: Sequence[str] = (), gram_most: int | None = GRAM_MOST, gram_top: int | None = GRAM_TOP, gram_pairs: int | None = GRAM_PAIRS) -> DataFrame:
     """(by, mine, theirs, method, confidence): all tiers in turn, each on what the ones before left.
 
     Columns `by` of theirs, not null, tell its stores apart; without them all of theirs is one store.
-    With pair_limit None the name tier is never skipped.
+    The four limits skip a tier or leave trigrams out, as the defaults say; with None nothing is.
     """
     key = list(by) or ["_store"]
     if not by:
@@ -156,12 +168,12 @@ def match(mine: DataFrame, theirs: DataFrame, threshold: float = THRESHOLD, pair
     done = assigned(exact_edges(mine, theirs, key), key)
     free = unmatched(theirs, done, "theirs", key)
     near = free if pair_limit is None else free.join(within_limit(mine, theirs, done, key, pair_limit), key, "left_semi")
-    # Which rows of mine are left differs by store, so pairs are thinned out, before any is scored.
-    pairs = band_pairs(mine, near, by=key).join(done.select(*key, "mine"), [*key, "mine"], "left_anti")
-    done = done.unionByName(assigned(fuzzy_edges(pairs, threshold, key), key))
+    if pair_limit != 0:
+        done = done.unionByName(fuzzy_matches(mine, near, threshold, key, done))
     if trigrams:
         free = unmatched(theirs, done, "theirs", key)
-        done = done.unionByName(assigned(trigram_edges(mine, free, threshold=threshold, by=key, done=done), key))
+        edges = trigram_edges(mine, free, threshold=threshold, by=key, done=done, most_pairs=gram_pairs, most=gram_most, top=gram_top)
+        done = done.unionByName(assigned(edges, key))
     return done.select(*by, "mine", "theirs", "method", "confidence")
 
 

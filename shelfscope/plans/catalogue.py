@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions import cursors, names, times, urls
@@ -117,8 +117,7 @@ def gram_frequency(spark, d):
 
 
 def _names(spark, d):
-    n = _part(spark, d).select("p_name").distinct().select(names.plain(F.col("p_name")).alias("plain"))
-    return n.withColumn("ord", F.row_number().over(Window.orderBy("plain")).cast("long"))
+    return _part(spark, d).select(names.plain(F.col("p_name")).alias("plain")).distinct().withColumn("ord", F.col("plain"))
 
 
 def name_similarity_pairs(spark, d):
@@ -129,7 +128,7 @@ def name_similarity_pairs(spark, d):
 
 def band_candidates(spark, d):
     n = _names(spark, d)
-    return matching.band_pairs(n, n).groupBy("band").agg(F.count("*").alias("pairs"))
+    return matching.band_counts(n, n)
 
 
 def _catalogues(spark, d):
@@ -160,8 +159,9 @@ def price_differ_count(spark, d):
 
 
 def match_greedy(spark, d):
+    """All tiers; no number of pairs makes one of them stop."""
     mine, theirs = _catalogues(spark, d)
-    m = matching.match(mine, theirs)
+    m = matching.match(mine, theirs, pair_limit=None, gram_pairs=None)
     return m.select("mine", "theirs", "method", "confidence")
 
 
