@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numbers import half_up
+from shelfscope.operators import readpath
+from shelfscope.sources.stored import checkpointed
 
 
 def known_average(price: Column) -> Column:
@@ -42,33 +44,81 @@ def as_of(probes: DataFrame, points: DataFrame, keys: list[str], t: str, values:
     return out.drop(*values).select("*", *(F.col("_v")[v].alias(v) for v in values)).drop("_v")
 
 
+def running(rows: DataFrame, key: str, part: Column, order: list[str], values: list[str]) -> DataFrame:
+    """rows with the running sums of values in each key's order. part, rising with the order, cuts each
+    key's rows: each part is summed by itself and goes on from the sums of those before it, so that a
+    key with most of the rows is not in one task. Equal places in the order must not occur."""
+    dealt = rows.withColumn("_part", part)
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part", key).agg(*(F.sum(v).alias(v) for v in values))
+    bases = totals.select("_part", key, *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
+    own = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *(F.sum(v).over(own).alias(f"_own_{v}") for v in values)).join(bases, ["_part", key])
+    return out.select(*(c for c in rows.columns if c not in values), *((F.col(f"_own_{v}") + F.col(f"_{v}")).alias(v) for v in values))
+
+
 def store_averages_at(snapshots: DataFrame, obs: DataFrame) -> DataFrame:
-    """For each snapshot (store_id, t) the average of its products' last known positive prices."""
-    products = obs.select("store_id", "product_id").distinct()
-    probes = snapshots.join(products, "store_id")
-    priced = as_of(probes, obs, ["store_id", "product_id"], "t", ["price"])
-    return priced.where("price > 0").groupBy("store_id", "t").agg(F.avg("price").alias("avg_price"), F.count("*").alias("n"))
+    """For each snapshot (store_id, t) the average of its products' last known positive prices, and of
+    how many products; no row where there is none. A product has one price at a time, in whole units
+    (cents), so that sums don't depend on the order of rows.
+
+    Each price is a change of its store's sum and number of prices; the changes are summed in order of
+    time, month by month, and each snapshot reads the sums at its time. No row is made for a snapshot and a product.
+    """
+    known = F.when(F.col("price") > 0, F.col("price"))
+    before = F.lag(known).over(Window.partitionBy("store_id", "product_id").orderBy("t"))
+    some = lambda c: F.when(c.isNull(), 0).otherwise(1)
+    moves = obs.select("store_id", "t", (F.coalesce(known, F.lit(0)) - F.coalesce(before, F.lit(0))).alias("total"), (some(known) - some(before)).alias("n"))
+    moves = moves.groupBy("store_id", "t").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("total <> 0 OR n <> 0")
+    reads = snapshots.select("store_id", "t", F.lit(0).alias("total"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("read"))
+    summed = running(moves.withColumn("read", F.lit(0)).unionByName(reads), "store_id", F.date_trunc("month", "t"), ["t", "read"], ["total", "n"])
+    return summed.where("read = 1 AND n > 0").select("store_id", "t", (F.col("total") / F.col("n")).alias("avg_price"), "n")
+
+
+def blocks(low: Column, high: Column, levels: int) -> Column:
+    """The fewest aligned blocks (level, index) of 2 ** level places each that make up [low, high]."""
+    node = "struct<level:int,index:bigint>"
+    start = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.array().cast(f"array<{node}>").alias("nodes"))
+
+    def step(acc: Column, level: Column) -> Column:
+        odd = (acc["low"] <= acc["high"]) & (acc["low"] % 2 == 1)
+        left = acc["low"] + odd.cast("long")
+        even = (left <= acc["high"]) & (acc["high"] % 2 == 0)
+        right = acc["high"] - even.cast("long")
+        one = lambda wanted, index: F.when(wanted, F.array(F.struct(level.alias("level"), index.alias("index")))).otherwise(F.array().cast(f"array<{node}>"))
+        rest = left <= right  # else nothing is left on higher levels
+        low, high = F.when(rest, F.shiftright(left, 1)).otherwise(1), F.when(rest, F.shiftright(right, 1)).otherwise(0)
+        return F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.concat(acc["nodes"], one(odd, acc["low"]), one(even, acc["high"])).alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["nodes"])
 
 
 def trend(averages: DataFrame, mine: int, label: Column) -> DataFrame:
-    """Carries each store's last average forward over all snapshots: market mean, cheapest and mine
-    at the last snapshot of each label. Neighbouring snapshots of one label are a run, and a store's
-    average holds from its run to the store's next one, so no row is made for each snapshot and store.
-    The runs are found in one window over the distinct times of snapshots."""
-    times = averages.select("t").distinct().withColumn("label", label)
-    order = Window.partitionBy(F.lit(1)).orderBy("t")
-    starts = F.when(F.lag("label").over(order).eqNullSafe(F.col("label")) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    runs = times.withColumn("_start", starts).withColumn("run", F.sum("_start").over(order)).drop("_start")
-    ends = runs.groupBy("run").agg(F.max("t").alias("t"), F.first("label").alias("label"))
-    held = averages.join(runs.select("t", "run"), "t").groupBy("store_id", "run").agg(F.max_by("avg_price", "t").alias("avg_price"))
-    until = F.coalesce(F.lead("run").over(Window.partitionBy("store_id").orderBy("run")) - 1, F.col("_last"))
-    held = held.crossJoin(ends.agg(F.max("run").alias("_last"))).withColumn("_until", until)  # one row
-    points = held.withColumn("run", F.explode(F.sequence("run", "_until"))).groupBy("run").agg(
-        half_up(F.max(F.when(F.col("store_id") == mine, F.col("avg_price"))), 2).alias("you"),
-        half_up(F.avg("avg_price"), 2).alias("market"),
-        half_up(F.min("avg_price"), 2).alias("cheapest"),
+    """Carries each store's last average forward over all snapshots: market mean, cheapest and mine at
+    the last snapshot of each label, neighbouring snapshots of one label being one.
+
+    A store's average holds from its snapshot to the store's next one. That stretch of the distinct
+    times is cut into aligned blocks, of which there are few however long it is; a time then needs
+    only the blocks that it lies in. So no row is made for each store and time.
+    """
+    averages = checkpointed(averages)
+    times = checkpointed(readpath.numbered(averages.select("t").distinct(), ["t"]).withColumn("label", label))
+    last = times.count() - 1
+    levels = max(0, last).bit_length()
+    later = times.select((F.col("rn") - 1).alias("rn"), F.col("label").alias("_next"))
+    ends = times.join(later, "rn", "left").where(~F.col("label").eqNullSafe(F.col("_next")) | (F.col("rn") == last)).drop("_next")
+    placed = averages.join(times.select("t", "rn"), "t")
+    until = F.coalesce(F.lead("rn").over(Window.partitionBy("store_id").orderBy("rn")) - 1, F.lit(last))
+    held = placed.withColumn("until", until).withColumn("node", F.explode(blocks(F.col("rn"), F.col("until"), levels)))
+    own = F.when(F.col("store_id") == mine, F.col("avg_price"))
+    nodes = held.groupBy("node").agg(F.sum("avg_price").alias("total"), F.count("*").alias("n"), F.min("avg_price").alias("least"), F.max(own).alias("own"))
+    above = ends.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    reads = above.select("t", "label", F.struct("level", F.expr("shiftright(rn, level)").alias("index")).alias("node"))
+    return reads.join(nodes, "node").groupBy("t", "label").agg(
+        half_up(F.max("own"), 2).alias("you"),
+        half_up(F.sum("total") / F.sum("n"), 2).alias("market"),
+        half_up(F.min("least"), 2).alias("cheapest"),
     )
-    return points.join(ends, "run").drop("run")
 
 
 def movers(changes: DataFrame, newest: int = 500, ties: tuple[str, ...] = ("store_id", "product_id")) -> DataFrame:

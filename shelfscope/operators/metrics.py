@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +20,38 @@ def duration_ms() -> Column:
     return F.when(ms >= 0, ms)
 
 
+def placed(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Column], width: int = 4096) -> DataFrame:
+    """by and, for each name of ranks, the value at that place (from 0, in terms of n, the number of
+    values) of the group's values in order; null places give null. Values are whole numbers, not null.
+
+    First values are counted in ranges of `width`, then one by one in the ranges alone in which a place
+    lies. So no task holds a group's values, only counts: of its ranges, and of the values in one range.
+    """
+    rows = rows.select(*by, F.col(value).cast("long").alias("_v")).withColumn("_range", F.floor(F.col("_v") / width))
+    same = lambda a, b, cols: reduce(and_, (a[c].eqNullSafe(b[c]) for c in cols), F.lit(True))
+
+    def counted(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """With _upto, the number of values up to and with each of them in order."""
+        upto = Window.partitionBy(F.lit(1), *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.groupBy(*keys, order).agg(F.count("*").alias("_k")).withColumn("_upto", F.sum("_k").over(upto))
+
+    ranges = counted(rows, by, "_range").withColumn("n", F.sum("_k").over(Window.partitionBy(F.lit(1), *by)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in ranks.items())))
+    hits = ranges.withColumn("_w", wanted).where("_w.place >= _upto - _k AND _w.place < _upto")
+    hits = hits.select(*by, "_range", "_w.name", (F.col("_w.place") - (F.col("_upto") - F.col("_k"))).alias("_place"))
+    few = hits.select(*by, "_range").distinct()
+    values = counted(rows.join(few, same(rows, few, [*by, "_range"]), "left_semi"), [*by, "_range"], "_v")
+    found = values.join(hits, same(values, hits, [*by, "_range"])).where("_place >= _upto - _k AND _place < _upto")
+    return found.select(*(values[c] for c in by), "name", "_v").groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks))
+
+
 def window_summary(jobs: DataFrame, since: Column, *by: str) -> DataFrame:
     """Counts, rates and durations of jobs finished since a time. Median is the mean of the middle
     two, p95 the value at the nearest rank above."""
     rows = jobs.where(F.col("status").isin(*FINISHED) & (F.col("finished_at") >= since)).withColumn("ms", duration_ms())
     bad = F.col("status").isin("failed", "dead")
     n, done = F.count("*"), F.count_if(F.col("status") == "done")
-    return rows.groupBy(*by).agg(
+    told = rows.groupBy(*by).agg(
         n.alias("total"),
         *(F.count_if(F.col("status") == s).alias(s) for s in FINISHED),
         F.count_if(F.col("type") == "shallow").alias("shallow"),
@@ -32,11 +60,13 @@ def window_summary(jobs: DataFrame, since: Column, *by: str) -> DataFrame:
         percent(F.count_if(bad), n).alias("failure_rate"),
         F.count("ms").alias("timed"),
         half_up(F.avg("ms")).alias("avg_ms"),
-        F.median("ms").alias("median_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").alias("p95_ms"),
         half_up(F.avg(F.when(bad, F.col("ms")))).alias("failed_avg_ms"),
         F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
     )
+    places = {"_low": F.expr("(n - 1) div 2"), "_high": F.expr("n div 2"), "p95_ms": F.expr("(95 * n + 99) div 100 - 1")}
+    at = placed(rows.where("ms IS NOT NULL"), list(by), "ms", places).withColumn("median_ms", (F.col("_low") + F.col("_high")) / 2).drop("_low", "_high")
+    at = at.withColumnsRenamed({c: f"_{c}" for c in by})
+    return told.join(at, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True)), "left").drop(*(f"_{c}" for c in by))
 
 
 def queue_depth(jobs: DataFrame) -> DataFrame:
