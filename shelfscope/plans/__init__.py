@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscope.plans import catalogue, extraction, market, names, stores
+from shelfscope.plans import catalogue, extraction, flows, market, names, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (market, catalogue, extraction, stores, names)
+_MODULES = (market, catalogue, extraction, stores, names, flows)
 
 
 def queries() -> dict[str, Query]:

@@ -121,20 +121,6 @@ def platform_products(spark, d):
     return out.select("url", "name", "price", "compare_at", "available", "sku", "gtin", F.size("tags").alias("tags"))
 
 
-SITEMAPS = [
-    ("https://s.example/sitemap.xml", "<?xml version='1.0'?><sitemapindex><sitemap><loc>https://s.example/product-sitemap.xml</loc></sitemap><sitemap><loc>https://s.example/image-sitemap.xml</loc></sitemap></sitemapindex>"),
-    ("https://s.example/product-sitemap.xml", "<urlset><url><loc><![CDATA[https://s.example/product/a]]></loc><lastmod>2024-01-01</lastmod></url><url><loc>https://s.example/product/b</loc></url></urlset>"),
-    ("https://s.example/page.xml", "<!DOCTYPE html><html><loc>https://s.example/x</loc></html>"),
-]
-
-
-def sitemap_entries(spark, d):
-    docs = spark.createDataFrame(SITEMAPS, "url string, body string")
-    roots = docs.where(F.col("url").endswith("/sitemap.xml")).select("url")
-    below = sitemaps.reached(docs, roots).select("url")
-    return sitemaps.entries(docs).join(below, "url", "left_semi").select("loc", "lastmod")
-
-
 def sitemap_candidates(spark, d):
     robots = spark.createDataFrame([("https://s.example", "User-agent: *\r\nSitemap: https://s.example/om/map.xml\r\nsitemap: https://s.example/bh/map.xml\r\n")], "origin string, body string")
     return sitemaps.candidates(robots, "om").select("url", F.row_number().over(Window.orderBy("rank")).cast("long").alias("rank"))
@@ -152,7 +138,7 @@ def site_health(spark, d):
     return h.select("id", "tier", "verdict", F.col("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, platform_traces, priced_schema, homepage_links, number_texts, platform_products, sitemap_entries, sitemap_candidates, site_health)}
+QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platform, platform_traces, priced_schema, homepage_links, number_texts, platform_products, sitemap_candidates, site_health)}
 
 _LINKS = r"""list_transform(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"''#]+)["'']', 1), lambda a: CASE WHEN regexp_matches(a, '(?i)^https?://') THEN a ELSE regexp_extract(url, '^(\w+://[^/?#]*)', 1) || CASE WHEN starts_with(a, '/') THEN '' ELSE '/' END || a END)"""
 _SITE = r"regexp_replace(lower(regexp_extract({}, '(?is)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
@@ -176,7 +162,6 @@ ORACLES = {
       SELECT url, product_links, category_links, least(len(hosts), 5)::BIGINT AS hosts, product_links > 0 OR category_links > 0 AS looks_like_store FROM c""",
     "page_products": "SELECT NULL::VARCHAR AS source, count(*) AS n FROM pages",
     "number_texts": "SELECT * FROM (VALUES (0::BIGINT, 1400.0::DOUBLE, 1400.0::DOUBLE, 1400.0::DOUBLE), (1, 1400, 1400, 1.4), (2, 1400, 1400, 1400), (3, 1999, 1999, 1999), (4, 0, NULL, 0), (5, 0, 0, 0), (6, 0, 0, 0), (7, 0, NULL, 0), (8, -5, -5, 0), (9, 0, NULL, 0)) t(i, number, price, positive)",
-    "sitemap_entries": "SELECT * FROM (VALUES ('https://s.example/product/a', '2024-01-01'), ('https://s.example/product/b', NULL)) t(loc, lastmod)",
     "sitemap_candidates": "SELECT * FROM (VALUES ('https://s.example/om/map.xml', 1::BIGINT), ('https://s.example/sitemap.xml', 2), ('https://s.example/sitemap_index.xml', 3)) t(url, rank)",
     "site_health": """WITH p AS (SELECT i::BIGINT AS id, i & 1 > 0 AS api, i & 2 > 0 AS blk, i & 4 > 0 AS sm, CASE WHEN i & 4 > 0 THEN i * 40 ELSE 0 END AS n, i & 8 > 0 AS sh, i & 16 > 0 AS sc FROM range(32) r(i)),
       v AS (SELECT *, CASE WHEN api THEN 'healthy' WHEN blk THEN 'blocked' WHEN NOT sh AND NOT sc AND (NOT sm OR n < 100) THEN 'no-products' ELSE 'healthy' END AS verdict,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.functions import urls
+from shelfscope.sources.stored import checkpointed
 
 LOC = r"<loc>\s*(?:<!\[CDATA\[)?\s*([^<\]\s]+)\s*(?:\]\]>)?\s*</loc>"
 
@@ -37,14 +38,17 @@ def children(docs: DataFrame) -> DataFrame:
 
 
 def reached(docs: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Sitemaps below the roots, through indices up to a depth: (root, url)."""
-    links = children(docs)
-    level = roots.select(F.col("url").alias("root"), "url")
+    """(root, url, depth): sitemaps below the roots, through indices up to a depth, each at the least
+    depth at which it is met. What has been met is not followed again, so that indices that list each
+    other end."""
+    links = checkpointed(children(docs).distinct())
+    level = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth")).distinct()
     out = level
-    for _ in range(depth):
-        level = level.join(links, "url").select("root", F.col("child").alias("url"))
+    for d in range(1, depth + 1):
+        found = level.join(links, "url").select("root", F.col("child").alias("url")).distinct()
+        level = checkpointed(found.join(out, ["root", "url"], "left_anti").withColumn("depth", F.lit(d)))
         out = out.unionByName(level)
-    return out.distinct()
+    return out
 
 
 def product_only(docs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -290,7 +290,15 @@ def test_platform_rows(spark):
 
 
 def test_sitemap_bodies(spark):
-    docs = spark.createDataFrame(extraction.SITEMAPS, "url string, body string")
+    bodies = [
+        ("https://s.example/sitemap.xml", "<?xml version='1.0'?><sitemapindex><sitemap><loc>https://s.example/product-sitemap.xml</loc></sitemap><sitemap><loc>https://s.example/image-sitemap.xml</loc></sitemap></sitemapindex>"),
+        ("https://s.example/product-sitemap.xml", "<urlset><url><loc><![CDATA[https://s.example/product/a]]></loc><lastmod>2024-01-01</lastmod></url><url><loc>https://s.example/product/b</loc></url></urlset>"),
+        ("https://s.example/page.xml", "<!DOCTYPE html><html><loc>https://s.example/x</loc></html>"),
+    ]
+    docs = spark.createDataFrame(bodies, "url string, body string")
+    assert sorted(tuple(r) for r in sitemaps.entries(docs).select("loc", "lastmod").collect()) == [("https://s.example/product/a", "2024-01-01"), ("https://s.example/product/b", None)]
+    found = sitemaps.reached(docs, docs.where("url LIKE '%/sitemap.xml'").select("url"))
+    assert sorted((r.url[18:], r.depth) for r in found.collect()) == [("product-sitemap.xml", 1), ("sitemap.xml", 0)]
     assert {r.outcome for r in sitemaps.outcome(docs.withColumn("error", F.lit(None).cast("string"))).collect()} == {"ok", "html"}
     roots = docs.select("url").limit(1)
     assert sitemaps.product_only(docs, docs.where("url LIKE '%/sitemap.xml'").select("url")).first().product_only
