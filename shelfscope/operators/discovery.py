@@ -90,15 +90,17 @@ def crawl_roots(pages: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.rank().over(order)).where("place = 1").select("url")
 
 
-def link_bfs(links: DataFrame, roots: DataFrame, depth: int = 3, most_pages: int = 60) -> DataFrame:
+def link_bfs(links: DataFrame, roots: DataFrame, depth: int = 3, most_pages: int | None = 60) -> DataFrame:
     """Pages reached from roots over (src, dst) within a depth, by levels; of each level the first by
-    url until the page limit of the origin's crawl, which is part of its politeness."""
+    url until the page limit of the origin's crawl, which is part of its politeness; none if None."""
     seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
     edge = seen
     for level in range(1, depth + 1):
         found = edge.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
         edge = checkpointed(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(edge)
+    if most_pages is None:
+        return seen
     order = Window.partitionBy(F.regexp_extract("url", urls.ORIGIN, 1)).orderBy("depth", "url")
     return seen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most_pages).drop("nth")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscope.operators import jobs, pagers
+from shelfscope.operators import discovery, jobs, pagers
 from shelfscope.sources import sinks, sitemaps
+from shelfscope.sources.stored import checkpointed
 from shelfscope.sources.tables import read
 
 RULES = jobs.Rules(beat_ms=12 * 3_600_000, most_ms=40 * 3_600_000, wait_ms=600_000, longest_ms=3_600_000)
@@ -90,7 +91,19 @@ def sitemap_levels(spark, d):
     return found.groupBy("root", "depth").agg(F.count("*").alias("sitemaps"))
 
 
-QUERIES = {f.__name__: f for f in (job_lives, job_log, pager_stops, pager_items, sitemap_entries, sitemap_levels)}
+def link_walk(spark, d):
+    """All pages within three links of the first page of their host. A page links to two others of it,
+    some of which link back."""
+    order = Window.partitionBy("o").orderBy("page_id")
+    p = read(spark, d, "pages").select("page_id", F.expr(f"'https://' || {_HOST}").alias("o"))
+    p = p.withColumn("i", F.row_number().over(order) - 1).withColumn("m", F.count("*").over(Window.partitionBy("o")))
+    at = lambda c: F.concat("o", F.lit("/"), F.expr(c).cast("string")).alias("dst")
+    links = p.select(at("i").alias("src"), at("(2 * i + 1) % m")).unionByName(p.select(at("i").alias("src"), at("(2 * i + 2) % m")))
+    roots = p.where("i = 0").select(at("i").alias("url"))
+    return discovery.link_bfs(checkpointed(links), roots, most_pages=None)
+
+
+QUERIES = {f.__name__: f for f in (job_lives, job_log, pager_stops, pager_items, sitemap_entries, sitemap_levels, link_walk)}
 
 _JOB_EVENTS = """e0 AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id * 10 + dayofmonth(ts) // 5 AS job_id, event_type, 'w' || (event_id % 2) AS w FROM events),
   e AS MATERIALIZED (SELECT job_id, ms, w, row_number() OVER o AS n, CASE WHEN row_number() OVER o = 1 THEN 'enqueue' WHEN event_type = 'signup' THEN 'claim' WHEN event_type = 'click' THEN 'heartbeat' WHEN event_type = 'error' THEN 'fail'
@@ -145,3 +158,7 @@ _SITEMAPS = f"""WITH RECURSIVE p AS (SELECT page_id, 'https://' || {_HOST} AS o,
   found AS (SELECT root, url, min(depth) AS depth FROM reach GROUP BY ALL)"""
 ORACLES["sitemap_entries"] = f"{_SITEMAPS} SELECT o || '/p/' || page_id AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-0' || (page_id % 9 + 1) END AS lastmod FROM leaf WHERE url IN (SELECT url FROM found)"
 ORACLES["sitemap_levels"] = f"{_SITEMAPS} SELECT root, depth, count(*) AS sitemaps FROM found GROUP BY ALL"
+ORACLES["link_walk"] = f"""WITH RECURSIVE p AS (SELECT 'https://' || {_HOST} AS o, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY {_HOST}) AS m FROM pages),
+  links AS (SELECT o || '/' || i AS src, o || '/' || (2 * i + 1) % m AS dst FROM p UNION SELECT o || '/' || i, o || '/' || (2 * i + 2) % m FROM p),
+  reach(url, depth) AS (SELECT o || '/0', 0 FROM p WHERE i = 0 UNION SELECT dst, depth + 1 FROM reach JOIN links ON src = url WHERE depth < 3)
+  SELECT url, min(depth) AS depth FROM reach GROUP BY 1"""
