@@ -273,7 +273,9 @@ def daily_events(spark, d):
 
 
 def retry_waits(spark, d):
-    return spark.range(0, 12).select(F.col("id").alias("attempt"), times.backoff_ms(F.col("id")).alias("ms"))
+    """How many attempts of the jobs wait how long before the next."""
+    tries = read(spark, d, "events").select((F.col("event_id") % 12).alias("attempt"))
+    return tries.groupBy("attempt", times.backoff_ms(F.col("attempt")).alias("ms")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -350,5 +352,5 @@ ORACLES = {
     "spread_sample": "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS rn, count(*) OVER () AS c FROM events) SELECT event_id FROM n WHERE rn % greatest(1, c // 25) = 0 ORDER BY rn LIMIT 25",
     "cursor_round_trip": "SELECT o_orderkey, replace(replace(rtrim(base64(encode((o_orderkey * 1000) || '|' || lower(lpad(printf('%X', o_orderkey), 24, '0')))), '='), '+', '-'), '/', '_') AS cursor, o_orderkey * 1000 AS ts, lower(lpad(printf('%X', o_orderkey), 24, '0')) AS id FROM orders",
     "daily_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "retry_waits": "SELECT i AS attempt, least(15000 * pow(2, i), 900000)::BIGINT AS ms FROM range(12) r(i)",
+    "retry_waits": "SELECT event_id % 12 AS attempt, least(15000 * pow(2, event_id % 12), 900000)::BIGINT AS ms, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -1,10 +1,10 @@
-"""Queries over pages and small fixed inputs: extraction, platforms, sitemaps, site profiles."""
+"""Queries over pages and parts: extraction, platforms, sitemaps, site profiles."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfscope.functions import prices
@@ -13,31 +13,43 @@ from shelfscope.sources import extract, platforms, sitemaps
 from shelfscope.sources.tables import read
 
 
+_HOST = r"lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+
 def _ld(doc: object) -> str:
     return f'<html><script type="application/ld+json">{json.dumps(doc)}</script></html>'
 
 
-#: Pages with one product each, by case.
-FIXTURES = {
-    "root": _ld({"@type": "Product", "name": "Root", "offers": {"@type": "Offer", "price": "1,400.00", "priceCurrency": "OMR"}}),
-    "graph": _ld({"@graph": [{"@type": "WebPage"}, {"@type": ["Thing", "Product"], "name": "Graph", "brand": {"name": "Acme"}, "offers": [{"price": 9}, {"price": 7, "availability": "https://schema.org/InStock"}]}]}),
-    "main_entity": _ld([{"@type": "WebPage", "mainEntity": {"@type": "schema:Product", "name": "Main", "sku": "S1", "gtin13": 123, "gtin": "00012345"}}]),
-    "aggregate": _ld({"@type": "Product", "name": "Range", "offers": {"@type": "AggregateOffer", "lowPrice": "10", "highPrice": "20"}}),
-    "nested_price": _ld({"@type": "Product", "name": "Nested", "offers": {"priceSpecification": {"price": "1.400,00", "priceCurrency": "EUR"}}}),
-    "broken_then_good": '<script type="application/ld+json">{bad</script>' + _ld({"@type": "Product", "name": "Second"}),
-    "meta": '<meta property="og:title" content="Meta"><meta property="product:price:amount" content="12.5"><meta property="product:availability" content="instock">',
-    "text": "<h1>Text <b>item</b></h1><script>var a='$1'</script><span class=\"price\">OMR 90</span> Add to cart",
-    "text_symbol": "<h1>Sym</h1><p>Total price <i>$</i><b>$65.00</b></p> sold out",
-    "nothing": "<h1>Only a heading</h1>",
+#: Pages by kind; NAME, DOT (1,234.56), COMMA (1.234,56), TEXT (1234.56) and KEY stand for a part's.
+TEMPLATES = {
+    "root": _ld({"@type": "Product", "name": "NAME", "offers": {"@type": "Offer", "price": "DOT", "priceCurrency": "OMR"}}),
+    "graph": _ld({"@graph": [{"@type": "WebPage"}, {"@type": ["Thing", "Product"], "name": "NAME", "brand": {"name": "Acme"}, "offers": [{"price": "TEXT"}, {"price": 7, "availability": "https://schema.org/InStock"}]}]}),
+    "main_entity": _ld([{"@type": "WebPage", "mainEntity": {"@type": "schema:Product", "name": "NAME", "sku": "SKEY", "gtin13": 123, "gtin": "0001234KEY"}}]),
+    "aggregate": _ld({"@type": "Product", "name": "NAME", "offers": {"@type": "AggregateOffer", "lowPrice": "TEXT", "highPrice": "99999"}}),
+    "nested_price": _ld({"@type": "Product", "name": "NAME", "offers": {"priceSpecification": {"price": "COMMA", "priceCurrency": "EUR"}}}),
+    "broken_then_good": '<script type="application/ld+json">{bad</script>' + _ld({"@type": "Product", "name": "NAME"}),
+    "meta": '<meta property="og:title" content="NAME"><meta property="product:price:amount" content="TEXT"><meta property="product:availability" content="instock">',
+    "text": "<h1>NAME <b>item</b></h1><script>var a='$1'</script><span class=\"price\">OMR DOT</span> Add to cart",
+    "text_symbol": "<h1>NAME</h1><p>Total price <i>$</i><b>$DOT</b></p> sold out",
+    "nothing": "<h1>Only NAME</h1>",
 }
 
 
-def _fixture_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(FIXTURES.items()), "url string, html string")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with a price of four digits and cents, written in three ways."""
+    n, cents = "(1000 + p_partkey % 9000)", "lpad(CAST(p_partkey % 100 AS STRING), 2, '0')"
+    rest = f"lpad(CAST({n} % 1000 AS STRING), 3, '0')"
+    texts = {"plain": f"{n} || '.' || {cents}", "dot": f"({n} div 1000) || ',' || {rest} || '.' || {cents}", "comma": f"({n} div 1000) || '.' || {rest} || ',' || {cents}", "whole": f"({n} div 1000) || ',' || {rest}"}
+    return read(spark, d, "part").withColumns({k: F.expr(v) for k, v in texts.items()}).withColumn("n", F.expr(n))
 
 
 def extracted_products(spark, d):
-    p = extract.products(_fixture_pages(spark)).withColumn("p", F.col("product"))
+    """A page of one of the kinds for each part. Prices in running text lose all their signs where they
+    have more than a decimal one."""
+    html = F.element_at(F.array(*map(F.lit, TEMPLATES.values())), (F.col("p_partkey") % len(TEMPLATES) + 1).cast("int"))
+    for mark, c in (("NAME", F.col("p_name")), ("DOT", F.col("dot")), ("COMMA", F.col("comma")), ("TEXT", F.col("plain")), ("KEY", F.col("p_partkey").cast("string"))):
+        html = F.replace(html, F.lit(mark), c)
+    p = extract.products(_texts(spark, d).select(F.col("p_partkey").cast("string").alias("url"), html.alias("html"))).withColumn("p", F.col("product"))
     return p.select("url", "p.name", "p.price", "p.currency", "p.availability", "p.brand", "p.sku", "p.gtin", "p.source")
 
 
@@ -107,30 +119,51 @@ def homepage_links(spark, d):
 
 
 def number_texts(spark, d):
-    values = ["1,400.00", "1.400,00", "1,400", "19,99", "free", "0", "0.00", "", "-5", None]
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    """Prices of parts as shops write them, some of them no numbers or below zero."""
+    text = F.element_at(F.array("plain", "dot", "comma", "whole", F.lit("free"), F.concat(F.lit("-"), "plain"), F.lit("0.00"), F.lit(None)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    rows = _texts(spark, d).select(F.col("p_partkey").alias("i"), text.alias("v"))
     return rows.select("i", prices.decimal_text(F.col("v")).alias("number"), prices.price_text(F.col("v")).alias("price"), prices.positive(F.col("v")).alias("positive"))
 
 
+def _platform_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(origin, json) of parts as three platforms tell them, a third of the parts each."""
+    t, key = _texts(spark, d), F.col("p_partkey").cast("string")
+    of = lambda k, *columns: t.where(f"p_partkey % 3 = {k}").select(F.lit("https://s.example").alias("origin"), F.to_json(F.struct(*columns)).alias("json"))
+    c = lambda value, name: (value if isinstance(value, Column) else F.lit(value)).alias(name)
+    more = (F.col("n") + 500).cast("string")
+    variants = F.array(
+        F.struct(c("0", "price"), c(F.lit(None).cast("string"), "compare_at_price"), c(0, "inventory_quantity"), c(F.concat(F.lit("X"), key), "sku")),
+        F.struct(c(F.col("plain"), "price"), c(more, "compare_at_price"), c((F.col("p_partkey") % 2).cast("int"), "inventory_quantity"), c("", "sku")),
+    )
+    shop = of(0, c(F.col("p_partkey"), "id"), c(F.col("p_name"), "title"), c(F.concat(F.lit("h-"), key), "handle"), c(F.col("p_brand"), "vendor"), c("a, b,", "tags"), c(variants, "variants"))
+    coded = F.array(F.struct(c("_ean", "key"), c(F.concat(F.lit(" 40063"), key), "value")))
+    stock = F.when(F.col("p_partkey") % 2 == 0, "outofstock").otherwise("instock")
+    woo = of(1, c(F.col("p_partkey"), "id"), c(F.concat(F.lit(" "), "p_name", F.lit(" ")), "name"), c(F.concat(F.lit("m-"), key), "slug"), c(F.col("whole"), "price"), c(F.when(F.col("p_partkey") % 4 == 0, F.col("whole")).otherwise(more), "regular_price"), c(coded, "meta_data"), c(stock, "stock_status"))
+    custom = F.struct(c(F.concat(F.when(F.col("p_partkey") % 4 < 2, "/").otherwise(""), F.lit("b"), key, F.lit("/")), "url"))
+    big = of(2, c(F.col("p_partkey"), "id"), c(F.concat("p_name", F.lit("!")), "name"), c(F.col("n") + 500, "price"), c(F.col("n"), "calculated_price"), c(F.when(F.col("p_partkey") % 2 == 0, "available").otherwise("disabled"), "availability"), c(custom, "custom_url"))
+    return shop, woo, big
+
+
 def platform_products(spark, d):
-    shop = {"id": 1, "title": "Tee", "handle": "tee", "vendor": "V", "tags": "a, b,", "variants": [{"price": "0"}, {"price": "5.50", "compare_at_price": "8", "inventory_quantity": 2, "sku": "X"}]}
-    woo = {"id": 2, "name": " Mat ", "slug": "mat", "price": "1,200", "regular_price": "1,500", "meta_data": [{"key": "_ean", "value": "4006381333931"}], "stock_status": "outofstock"}
-    big = {"id": 3, "name": "Ball!", "price": 20, "calculated_price": 15, "availability": "available", "custom_url": {"url": "/ball/"}}
-    of = lambda x: spark.createDataFrame([("https://s.example", json.dumps(x))], "origin string, json string")
-    out = platforms.shopify(of(shop)).unionByName(platforms.woocommerce(of(woo))).unionByName(platforms.bigcommerce(of(big)))
-    return out.select("url", "name", "price", "compare_at", "available", "sku", "gtin", F.size("tags").alias("tags"))
+    shop, woo, big = _platform_rows(spark, d)
+    out = platforms.shopify(shop).unionByName(platforms.woocommerce(woo)).unionByName(platforms.bigcommerce(big))
+    return out.select("url", "name", "price", "compare_at", "available", "sku", "gtin", F.coalesce(F.when(F.col("tags").isNotNull(), F.size("tags")), F.lit(0)).cast("long").alias("tags"))
 
 
 def sitemap_candidates(spark, d):
-    robots = spark.createDataFrame([("https://s.example", "User-agent: *\r\nSitemap: https://s.example/om/map.xml\r\nsitemap: https://s.example/bh/map.xml\r\n")], "origin string, body string")
-    return sitemaps.candidates(robots, "om").select("url", F.row_number().over(Window.orderBy("rank")).cast("long").alias("rank"))
+    """Of each host's robots file, with a sitemap for each first part of its pages' paths, those to try."""
+    p = read(spark, d, "pages").select(F.expr(f"'https://' || {_HOST}").alias("origin"), F.expr(r"lower(regexp_extract(url, '://[^/?#]*/([a-zA-Z]+)', 1))").alias("part"))
+    line = F.concat(F.element_at(F.array(F.lit("Sitemap: "), F.lit("sitemap: ")), (F.length("part") % 2 + 1).cast("int")), "origin", F.lit("/"), "part", F.lit("/map.xml\r\n"))
+    robots = p.groupBy("origin").agg(F.concat(F.lit("User-agent: *\r\n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("part") != "", line))), "")).alias("body"))
+    order = Window.partitionBy("origin").orderBy("rank")
+    return sitemaps.candidates(robots, "fr").select("origin", "url", F.row_number().over(order).cast("long").alias("rank"))
 
 
 def site_health(spark, d):
-    """Profiles over all combinations of five findings."""
+    """Pages as sites: a finding for each of five bits of their numbers."""
     bit = lambda k: (F.col("id").bitwiseAND(F.lit(1 << k)) > 0)
-    p = spark.range(32).select(
-        "id", bit(0).alias("api_public"), bit(1).alias("blocking"), bit(2).alias("sitemap_found"), F.when(bit(2), F.col("id") * 40).otherwise(0).alias("sitemap_urls"),
+    p = read(spark, d, "pages").select(F.col("page_id").alias("id")).select(
+        "id", bit(0).alias("api_public"), bit(1).alias("blocking"), bit(2).alias("sitemap_found"), F.when(bit(2), F.col("id") % 32 * 40).otherwise(0).alias("sitemap_urls"),
         F.when(bit(3), "csr-shell").otherwise("ssr").alias("rendering"), F.lit("store").alias("kind"), bit(4).alias("product_schema"), bit(4).alias("priced_schema"), F.lit(False).alias("budget_limited"),
         F.lit(True).alias("looks_like_store"), F.expr("CAST(array() AS array<string>)").alias("store_hosts"), F.lit("none").alias("provider"),
     )
@@ -143,6 +176,8 @@ QUERIES = {f.__name__: f for f in (extracted_products, page_products, page_platf
 _LINKS = r"""list_transform(regexp_extract_all(html, '(?i)<a\s+[^>]*href=["'']([^"''#]+)["'']', 1), lambda a: CASE WHEN regexp_matches(a, '(?i)^https?://') THEN a ELSE regexp_extract(url, '^(\w+://[^/?#]*)', 1) || CASE WHEN starts_with(a, '/') THEN '' ELSE '/' END || a END)"""
 _SITE = r"regexp_replace(lower(regexp_extract({}, '(?is)^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 _TRACED = ", ".join(f"({k}, {', '.join(repr(x) for x in t[2:])})" for k, t in enumerate(TRACES))
+_TEXTS = """q AS (SELECT *, 1000 + p_partkey % 9000 AS n, lpad((p_partkey % 100)::VARCHAR, 2, '0') AS c FROM part),
+  t AS (SELECT *, n || '.' || c AS plain, (n // 1000) || '.' || lpad((n % 1000)::VARCHAR, 3, '0') || ',' || c AS comma FROM q)"""
 ORACLES = {
     "page_platform": r"""WITH p AS (SELECT lower(html) AS page, html, lower(array_to_string(regexp_extract_all(html, '(?i)<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)["'']', 1), ' · ')) AS g,
         regexp_replace(html, '(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>', '', 'g') AS seen FROM pages),
@@ -161,9 +196,22 @@ ORACLES = {
           list_distinct(list_filter(list_transform(links, lambda x: {_SITE.format("x")}), lambda h: h <> {_SITE.format("url")} AND regexp_matches(h, '(^|\.)(shop|store|buy)\.|shop|store'))) AS hosts FROM l)
       SELECT url, product_links, category_links, least(len(hosts), 5)::BIGINT AS hosts, product_links > 0 OR category_links > 0 AS looks_like_store FROM c""",
     "page_products": "SELECT NULL::VARCHAR AS source, count(*) AS n FROM pages",
-    "number_texts": "SELECT * FROM (VALUES (0::BIGINT, 1400.0::DOUBLE, 1400.0::DOUBLE, 1400.0::DOUBLE), (1, 1400, 1400, 1.4), (2, 1400, 1400, 1400), (3, 1999, 1999, 1999), (4, 0, NULL, 0), (5, 0, 0, 0), (6, 0, 0, 0), (7, 0, NULL, 0), (8, -5, -5, 0), (9, 0, NULL, 0)) t(i, number, price, positive)",
-    "sitemap_candidates": "SELECT * FROM (VALUES ('https://s.example/om/map.xml', 1::BIGINT), ('https://s.example/sitemap.xml', 2), ('https://s.example/sitemap_index.xml', 3)) t(url, rank)",
-    "site_health": """WITH p AS (SELECT i::BIGINT AS id, i & 1 > 0 AS api, i & 2 > 0 AS blk, i & 4 > 0 AS sm, CASE WHEN i & 4 > 0 THEN i * 40 ELSE 0 END AS n, i & 8 > 0 AS sh, i & 16 > 0 AS sc FROM range(32) r(i)),
+    "number_texts": f"""WITH {_TEXTS}, v AS (SELECT p_partkey AS i, p_partkey % 8 AS k, plain::DOUBLE AS x, n::DOUBLE AS n, comma FROM t)
+      SELECT i, CASE WHEN k < 3 THEN x WHEN k = 3 THEN n WHEN k = 5 THEN -x ELSE 0 END AS number, CASE WHEN k < 3 THEN x WHEN k = 3 THEN n WHEN k = 5 THEN -x WHEN k = 6 THEN 0 END AS price,
+        CASE WHEN k < 2 THEN x WHEN k = 2 THEN replace(comma, ',', '')::DOUBLE WHEN k = 3 THEN n ELSE 0 END AS positive FROM v""",
+    "extracted_products": f"""WITH {_TEXTS}, c AS (SELECT *, p_partkey % 10 AS k, plain::DOUBLE AS x FROM t)
+      SELECT p_partkey::VARCHAR AS url, CASE WHEN k = 7 THEN p_name || ' item' WHEN k < 9 THEN p_name END AS name, CASE WHEN k IN (2, 5) THEN 0.0 WHEN k IN (7, 8) THEN (n * 100 + p_partkey % 100)::DOUBLE WHEN k < 9 THEN x END AS price,
+        CASE WHEN k IN (0, 7) THEN 'OMR' WHEN k = 4 THEN 'EUR' WHEN k IN (6, 8) THEN 'USD' END AS currency, CASE WHEN k IN (2, 5) THEN 'unknown' WHEN k = 8 THEN 'out_of_stock' WHEN k < 9 THEN 'in_stock' END AS availability,
+        CASE WHEN k = 1 THEN 'Acme' END AS brand, CASE WHEN k = 2 THEN 'S' || p_partkey END AS sku, CASE WHEN k = 2 THEN '0001234' || p_partkey END AS gtin,
+        CASE WHEN k < 6 THEN 'jsonld' WHEN k = 6 THEN 'opengraph' WHEN k < 9 THEN 'html-heuristics' END AS source FROM c""",
+    "platform_products": f"""WITH {_TEXTS}, c AS (SELECT *, p_partkey AS i, p_partkey % 3 AS k FROM t)
+      SELECT 'https://s.example/' || CASE k WHEN 0 THEN 'products/h-' || i WHEN 1 THEN 'product/m-' || i ELSE 'b' || i || '/' END AS url, CASE k WHEN 2 THEN p_name || '!' ELSE p_name END AS name,
+        CASE k WHEN 0 THEN plain::DOUBLE ELSE n END AS price, CASE WHEN k = 1 AND i % 4 = 0 THEN NULL ELSE (n + 500)::DOUBLE END AS compare_at, CASE k WHEN 2 THEN i % 2 = 0 ELSE i % 2 = 1 END AS available,
+        CASE k WHEN 0 THEN 'X' || i ELSE '' END AS sku, CASE k WHEN 1 THEN '40063' || i ELSE '' END AS gtin, CASE k WHEN 0 THEN 2 ELSE 0 END AS tags FROM c""",
+    "sitemap_candidates": rf"""WITH p AS (SELECT DISTINCT 'https://' || {_HOST} AS origin, lower(regexp_extract(url, '://[^/?#]*/([a-zA-Z]+)', 1)) AS part FROM pages),
+      c AS (SELECT origin, origin || '/fr/map.xml' AS url, 0 AS r FROM p WHERE part = 'fr' UNION ALL SELECT DISTINCT origin, origin || f, r FROM p, (VALUES ('/sitemap.xml', 1), ('/sitemap_index.xml', 2)) v(f, r))
+      SELECT origin, url, row_number() OVER (PARTITION BY origin ORDER BY r) AS rank FROM c""",
+    "site_health": """WITH p AS (SELECT i::BIGINT AS id, i & 1 > 0 AS api, i & 2 > 0 AS blk, i & 4 > 0 AS sm, CASE WHEN i & 4 > 0 THEN i % 32 * 40 ELSE 0 END AS n, i & 8 > 0 AS sh, i & 16 > 0 AS sc FROM (SELECT page_id AS i FROM pages)),
       v AS (SELECT *, CASE WHEN api THEN 'healthy' WHEN blk THEN 'blocked' WHEN NOT sh AND NOT sc AND (NOT sm OR n < 100) THEN 'no-products' ELSE 'healthy' END AS verdict,
         CASE WHEN api THEN 50 ELSE 0 END + CASE WHEN sc THEN 40 ELSE 0 END + 5 + CASE WHEN sm THEN 10 + CASE WHEN n >= 1000 THEN 15 WHEN n >= 100 THEN 10 WHEN n >= 10 THEN 5 ELSE 0 END ELSE 0 END AS pts FROM p)
       SELECT id, CASE WHEN api THEN 'API-first' WHEN blk THEN 'manual' WHEN NOT sm OR n = 0 THEN 'HTML-BFS' WHEN sh THEN 'sitemap-browser' ELSE 'sitemap-HTTP' END AS tier, verdict,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,11 +252,17 @@ def test_base_dominance_needs_more_than_sixty_per_cent(spark):
 
 
 def test_extraction_cases(spark):
-    out = {r.url: r.product for r in extract.products(spark.createDataFrame(sorted(extraction.FIXTURES.items()), "url string, html string")).collect()}
+    texts = {"root": "1,400.00", "nested_price": "1.400,00", "aggregate": "10", "meta": "12.5", "text": "90", "text_symbol": "65.00"}
+    pages = []
+    for k, html in extraction.TEMPLATES.items():
+        for mark in ("DOT", "COMMA", "TEXT"):
+            html = html.replace(mark, texts.get(k, "9"))
+        pages.append((k, html.replace("NAME", k.title()).replace("KEY", "5")))
+    out = {r.url: r.product for r in extract.products(spark.createDataFrame(pages, "url string, html string")).collect()}
     assert (out["root"].price, out["root"].currency) == (1400.0, "OMR")
     assert (out["graph"].name, out["graph"].brand, out["graph"].price) == ("Graph", "Acme", 9.0)
-    assert (out["main_entity"].sku, out["main_entity"].gtin) == ("S1", "00012345")
-    assert out["aggregate"].price == 10.0 and out["nested_price"].price == 1400.0 and out["broken_then_good"].name == "Second"
+    assert (out["main_entity"].sku, out["main_entity"].gtin) == ("S5", "00012345")
+    assert out["aggregate"].price == 10.0 and out["nested_price"].price == 1400.0 and out["broken_then_good"].name == "Broken_Then_Good"
     assert (out["meta"].price, out["meta"].currency, out["meta"].availability) == (12.5, "USD", "in_stock")
     assert (out["text"].name, out["text"].price, out["text"].currency, out["text"].availability) == ("Text item", 90.0, "OMR", "in_stock")
     assert (out["text_symbol"].price, out["text_symbol"].availability) == (65.0, "out_of_stock") and out["nothing"] is None
@@ -279,7 +286,12 @@ def test_json_ld_to_any_depth(spark):
 
 
 def test_platform_rows(spark):
-    out = {r.name: r for r in extraction.platform_products(spark, "").collect()}
+    shop = {"id": 1, "title": "Tee", "handle": "tee", "vendor": "V", "tags": "a, b,", "variants": [{"price": "0"}, {"price": "5.50", "compare_at_price": "8", "inventory_quantity": 2, "sku": "X"}]}
+    woo = {"id": 2, "name": " Mat ", "slug": "mat", "price": "1,200", "regular_price": "1,500", "meta_data": [{"key": "_ean", "value": "4006381333931"}], "stock_status": "outofstock"}
+    big = {"id": 3, "name": "Ball!", "price": 20, "calculated_price": 15, "availability": "available", "custom_url": {"url": "/ball/"}}
+    of = lambda x: spark.createDataFrame([("https://s.example", json.dumps(x))], "origin string, json string")
+    every = platforms.shopify(of(shop)).unionByName(platforms.woocommerce(of(woo))).unionByName(platforms.bigcommerce(of(big)))
+    out = {r.name: r for r in every.withColumn("tags", F.size("tags")).collect()}
     assert (out["Tee"].price, out["Tee"].compare_at, out["Tee"].available, out["Tee"].tags) == (5.5, 8.0, True, 2)
     assert (out["Mat"].price, out["Mat"].gtin, out["Mat"].available) == (1200.0, "4006381333931", False)
     assert (out["Ball!"].price, out["Ball!"].compare_at, out["Ball!"].url) == (15.0, 20.0, "https://s.example/ball/")
