@@ -74,11 +74,12 @@ def rendering(html: Column) -> Column:
     return F.when(needs_browser(html), "csr-shell").when(framework(html) == "gatsby", "ssg").otherwise("ssr")
 
 
-def protection(status: Column, headers: Column, html: Column) -> Column:
-    """struct<provider, blocking> from a response: status, headers (map, lower-case names), body."""
+def protection(status: Column, headers: Column, html: Column, most: int | None = 60_000) -> Column:
+    """struct<provider, blocking> from a response: status, headers (map, lower-case names), body, of
+    which the first `most` characters are looked at, or all."""
     h = lambda n: F.try_element_at(headers, F.lit(n))
     server = F.lower(F.coalesce(h("server"), F.lit("")))
-    challenge = F.lower(F.substring(html, 1, 60_000)).rlike("just a moment|checking your browser|verify you are human|captcha|cf-chl")
+    challenge = F.lower(html if most is None else F.substring(html, 1, most)).rlike("just a moment|checking your browser|verify you are human|captcha|cf-chl")
     akamai = F.coalesce(*(h(n) for n in ("akamai-x-s", "akamai-x-stuck", "akamai-x-cache", "x-akamai-transformed"))).isNotNull()
     made = lambda name, blocking: F.struct(F.lit(name).alias("provider"), blocking.alias("blocking"))
     return (
@@ -89,15 +90,16 @@ def protection(status: Column, headers: Column, html: Column) -> Column:
     )
 
 
-def homepage(pages: DataFrame) -> DataFrame:
-    """(url, html) to link counts, other shops linked to (5 at most) and whether it looks like one."""
+def homepage(pages: DataFrame, most: int | None = 5) -> DataFrame:
+    """(url, html) to link counts, other shops linked to (`most` of them, or all) and whether it looks
+    like one."""
     u = F.col("url")
     links = F.transform(extract.anchors(F.col("html")), lambda a: F.when(a.rlike("(?i)^https?://"), a).otherwise(F.concat(F.regexp_extract(u, r"^(\w+://[^/?#]*)", 1), F.when(~a.startswith("/"), "/").otherwise(""), a)))
     rows = pages.select("url", links.alias("links"))
     own = urls.host_key(u)
     hosts = F.array_distinct(F.filter(F.transform("links", urls.host_key), lambda h: (h != own) & h.rlike(r"(^|\.)(shop|store|buy)\.|shop|store")))
     products, categories = F.size(F.filter("links", urls.is_product_link)), F.size(F.filter("links", urls.is_category_link))
-    return rows.select("url", products.cast("long").alias("product_links"), categories.cast("long").alias("category_links"), F.slice(hosts, 1, 5).alias("store_hosts"), ((products > 0) | (categories > 0)).alias("looks_like_store"))
+    return rows.select("url", products.cast("long").alias("product_links"), categories.cast("long").alias("category_links"), (hosts if most is None else F.slice(hosts, 1, most)).alias("store_hosts"), ((products > 0) | (categories > 0)).alias("looks_like_store"))
 
 
 def has_price(node: Column) -> Column:

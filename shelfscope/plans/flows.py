@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscope.operators import discovery, jobs, pagers
+from shelfscope.operators import discovery, health, jobs, pagers
 from shelfscope.sources import sinks, sitemaps
 from shelfscope.sources.stored import checkpointed
 from shelfscope.sources.tables import read
@@ -103,7 +103,25 @@ def link_walk(spark, d):
     return discovery.link_bfs(checkpointed(links), roots, most_pages=None)
 
 
-QUERIES = {f.__name__: f for f in (job_lives, job_log, pager_stops, pager_items, sitemap_entries, sitemap_levels, link_walk)}
+def page_protection(spark, d):
+    """What guards pages, told from answers that their numbers stand for; whole pages are looked at."""
+    p = read(spark, d, "pages").where("html IS NOT NULL")
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 429, 503))), (F.col("page_id") % 4 + 1).cast("int"))
+    server = F.element_at(F.array(F.lit("Cloudflare"), F.lit("nginx"), F.lit("AkamaiGHost")), (F.col("page_id") % 3 + 1).cast("int"))
+    headers = F.when(F.col("page_id") % 5 == 0, F.create_map(F.lit("cf-ray"), F.lit("1"))).when(F.col("page_id") % 7 == 0, F.create_map(F.lit("akamai-x-cache"), F.lit("1"))).otherwise(F.create_map(F.lit("server"), server))
+    html = F.when(F.col("page_id") % 11 == 0, F.concat("html", F.lit("<p>Just a moment</p>"))).otherwise(F.col("html"))
+    found = p.select(health.protection(status, headers, html, None).alias("p"))
+    return found.groupBy("p.provider", "p.blocking").agg(F.count("*").alias("n"))
+
+
+def linked_shops(spark, d):
+    """All shops that pages link to, each page with two more links by its number."""
+    more = F.concat(F.lit('<a href="https://shop'), F.col("page_id") % 50, F.lit('.example/x"></a><a href="https://store.example/'), "page_id", F.lit('"></a><a href="https://other.example/"></a>'))
+    p = read(spark, d, "pages").where("html IS NOT NULL").withColumn("html", F.concat("html", F.when(F.col("page_id") % 3 > 0, more).otherwise("")))
+    return health.homepage(p, most=None).select(F.explode("store_hosts").alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (job_lives, job_log, pager_stops, pager_items, sitemap_entries, sitemap_levels, link_walk, page_protection, linked_shops)}
 
 _JOB_EVENTS = """e0 AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id * 10 + dayofmonth(ts) // 5 AS job_id, event_type, 'w' || (event_id % 2) AS w FROM events),
   e AS MATERIALIZED (SELECT job_id, ms, w, row_number() OVER o AS n, CASE WHEN row_number() OVER o = 1 THEN 'enqueue' WHEN event_type = 'signup' THEN 'claim' WHEN event_type = 'click' THEN 'heartbeat' WHEN event_type = 'error' THEN 'fail'
@@ -162,3 +180,8 @@ ORACLES["link_walk"] = f"""WITH RECURSIVE p AS (SELECT 'https://' || {_HOST} AS
   links AS (SELECT o || '/' || i AS src, o || '/' || (2 * i + 1) % m AS dst FROM p UNION SELECT o || '/' || i, o || '/' || (2 * i + 2) % m FROM p),
   reach(url, depth) AS (SELECT o || '/0', 0 FROM p WHERE i = 0 UNION SELECT dst, depth + 1 FROM reach JOIN links ON src = url WHERE depth < 3)
   SELECT url, min(depth) AS depth FROM reach GROUP BY 1"""
+ORACLES["page_protection"] = """WITH p AS (SELECT [200, 403, 429, 503][(page_id % 4 + 1)::INT] AS s, page_id % 5 = 0 OR page_id % 7 <> 0 AND page_id % 3 = 0 AS cf, page_id % 5 <> 0 AND (page_id % 7 = 0 OR page_id % 3 = 2) AS ak,
+    page_id % 11 = 0 OR regexp_matches(lower(html), 'just a moment|checking your browser|verify you are human|captcha|cf-chl') AS asks FROM pages WHERE html IS NOT NULL)
+  SELECT CASE WHEN s = 429 THEN 'rate-limited' WHEN cf THEN 'cloudflare' WHEN ak THEN 'akamai' ELSE 'none' END AS provider, s = 429 OR cf AND (s >= 400 OR asks) OR NOT cf AND ak AND s >= 400 AS blocking, count(*) AS n FROM p GROUP BY ALL"""
+ORACLES["linked_shops"] = """WITH a AS (SELECT host, n FROM (SELECT 'shop' || page_id % 50 || '.example' AS host, count(*) AS n FROM pages WHERE html IS NOT NULL AND page_id % 3 > 0 GROUP BY 1)),
+  b AS (SELECT 'store.example' AS host, count(*) AS n FROM pages WHERE html IS NOT NULL AND page_id % 3 > 0) SELECT * FROM a UNION ALL SELECT * FROM b"""
