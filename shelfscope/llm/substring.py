@@ -14,8 +14,12 @@ are looked up in the texts and their windows compared by digests of the words th
 (verification). When more than `fan_in` tables have gathered, the next batch first compacts the two
 latest, again bucket by bucket.
 
+Each batch's texts are stored once beside its run, bucketed and sorted by id. Only batches that hold
+a document to look up are read again; their texts meet the wanted places bucket by bucket and are
+never shuffled a second time. Batches come in ascending order of ids; one that does not is refused.
+
 The tables and a manifest lie in a folder; open() goes on from it in a later session. A batch that
-fails leaves the manifest, and so the index, as it was.
+fails or is refused leaves the manifest, and so the index, as it was.
 
 Null or empty texts have no words. Texts of fewer words than the window have no windows. Rows with
 a null id are never compared: they keep their words. Rows with one id must have one text; repeated
@@ -40,6 +44,7 @@ from shelfscope.llm.textbytes import SPACES, Words, anchors, slices, word_prefix
 
 PRINTS = "doc_id long, fp long, dig long, span long"
 WINDOWS = "doc_id long, h1 long, h2 long, start long, fresh boolean"
+MANIFEST = "window long, gram long, buckets long, runs array<string>, texts array<struct<name:string,low:long,high:long>>"
 #: A span packs its first window start and the number of further starts below this.
 SPAN = 1 << 12
 
@@ -168,7 +173,7 @@ def _bucketwise(spark: SparkSession) -> Iterator[None]:
 class FingerprintIndex:
     """Incremental index of word-window fingerprints; see the module's docstring.
 
-    Batches come in ascending order of ids: each id of a batch is above all earlier ones.
+    runs: the names of the tables of runs; texts: those of each batch's texts, with their range of ids.
     """
 
     def __init__(self, spark: SparkSession, window: int = 50, gram: int = 25, fan_in: int = 1, folder: str | None = None, buckets: int | None = None):
@@ -178,30 +183,58 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = folder or scratch.path(spark, "substring-index")
         self.runs: list[str] = []
+        self.texts: list[tuple[str, int, int]] = []
         self.version = 0
         scratch.small_batches(spark)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, fan_in: int = 1) -> FingerprintIndex:
         """The index as its last finished batch left it in the folder."""
-        last = spark.read.schema("window long, gram long, buckets long, runs array<string>, version long").parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        last = spark.read.schema(f"{MANIFEST}, version long").parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
         index = cls(spark, last["window"], last["gram"], fan_in, folder, last["buckets"])
-        index.runs, index.version = list(last["runs"]), last["version"]
-        for name in index.runs:
-            columns = "fp BIGINT, dig BIGINT, doc_id BIGINT, span BIGINT, n BIGINT, head BIGINT"
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, dig) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        index.runs, index.texts, index.version = list(last["runs"]), [tuple(t) for t in last["texts"]], last["version"]
+        runs = [(name, "fp BIGINT, dig BIGINT, doc_id BIGINT, span BIGINT, n BIGINT, head BIGINT", "fp", "fp, dig") for name in index.runs]
+        for name, columns, key, order in [*runs, *((name, "doc_id BIGINT, text STRING", "doc_id", "doc_id") for name, _, _ in index.texts)]:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({order}) INTO {index.buckets} BUCKETS LOCATION '{folder}/{name}'")
         return index
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"substring_run_{uuid.uuid4().hex}"
+    def _write(self, df: DataFrame, kind: str, *order: str) -> str:
+        """Writes a table bucketed by the first of the columns and sorted by all of them."""
+        name = f"substring_{kind}_{uuid.uuid4().hex}"
         with scratch.freed_shuffles(self.spark), _bucketwise(self.spark):
-            df.write.bucketBy(self.buckets, "fp").sortBy("fp", "dig").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
+            df.write.bucketBy(self.buckets, order[0]).sortBy(*order).format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _finish(self, runs: list[str]) -> None:
-        self.runs, self.version = runs, self.version + 1
-        state = [(self.window, self.gram, self.buckets, runs)]
-        self.spark.createDataFrame(state, "window long, gram long, buckets long, runs array<string>").coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+    def _remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.remove(self.spark, f"{self.folder}/{name}")
+
+    def _finish(self, runs: list[str], texts: list[tuple[str, int, int]]) -> None:
+        self.runs, self.texts, self.version = runs, texts, self.version + 1
+        state = [(self.window, self.gram, self.buckets, runs, texts)]
+        self.spark.createDataFrame(state, MANIFEST).coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+
+    def _stored(self, batch: DataFrame) -> list[tuple[str, int, int]]:
+        """Stores a batch's texts; empty if there are none. An id that is not above all earlier ones is refused."""
+        rows = batch.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+        name = self._write(rows.repartition(self.buckets, "doc_id"), "texts", "doc_id")
+        low, high = self.spark.table(name).agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and (not self.texts or low > self.texts[-1][2]):
+            return [(name, low, high)]
+        self._remove(name)
+        if low is None:
+            return []
+        raise ValueError(f"ids of a batch must be above all earlier ones: {low} is not above {self.texts[-1][2]}")
+
+    def lookup(self, probes: DataFrame, texts: list[tuple[str, int, int]]) -> DataFrame | None:
+        """The texts of the probed documents with their spans, from the batches that hold any."""
+        held = probes.agg(F.lit(0), *(F.count_if(F.col("doc_id").between(low, high)) for _, low, high in texts)).first()[1:]
+        parts = []
+        for (name, low, high), n in zip(texts, held, strict=True):
+            if n:
+                wanted = probes.where(F.col("doc_id").between(low, high)).groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.max("fresh").alias("fresh"))
+                parts.append(self.spark.table(name).join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "spans", "fresh"))
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _history(self) -> list[DataFrame]:
         """The distinct runs of each table: those that no earlier one had."""
@@ -232,28 +265,33 @@ class FingerprintIndex:
         fresh = mixed.where("company").select("doc_id", "span", F.lit(True).alias("fresh"))
         return fresh if out is None else out.unionByName(fresh)
 
-    def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text) and returns its marks (doc_id, spans): windows that an
-        earlier document has. texts: all documents so far, this batch included."""
+        earlier document has. Raises ValueError if an id is not above those of all earlier batches."""
         if len(self.runs) > self.fan_in:
             self.compact()
-        prints = scratch.save(batch.mapInArrow(_prints(self.window, self.gram), PRINTS), "substring-prints")
-        run = self._write(self.merged(prints))
+        stored = self._stored(batch)
+        texts = [*self.texts, *stored]
+        rows = self.spark.table(stored[0][0]) if stored else self.spark.createDataFrame([], "doc_id long, text string")
+        prints = scratch.save(rows.mapInArrow(_prints(self.window, self.gram), PRINTS), "substring-prints")
+        run = self._write(self.merged(prints), "run", "fp", "dig")
         # Rows of one passage meet only its head; a passage of very many rows is split by the join.
         heads = self.spark.table(run).where("head IS NOT NULL OR n > 1").select("fp", "dig", F.coalesce("head", "doc_id").alias("first"))
         known = prints.join(heads.hint("merge"), ["fp", "dig"]).where(F.col("first") < F.col("doc_id")).select("doc_id", "span")
         known = scratch.save(known, "substring-known")
         with _bucketwise(self.spark):
             probes = scratch.save(self._probes(run), "substring-probes")
-        wanted = probes.groupBy("doc_id").agg(F.collect_list("span").alias("spans"), F.max("fresh").alias("fresh"))
-        found = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "spans", "fresh")
-        windows = scratch.save(found.mapInArrow(_windows(self.window), WINDOWS), "substring-windows")
-        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        repeats = windows.where("fresh").join(first.hint("merge"), ["h1", "h2"]).where(F.col("first") < F.col("doc_id"))
-        spans = known.unionByName(repeats.select("doc_id", (F.col("start") * SPAN).alias("span")))
+            found, spans, done = self.lookup(probes, texts), known, [prints, known, probes]
+            if found is not None:
+                windows = scratch.save(found.mapInArrow(_windows(self.window), WINDOWS), "substring-windows")
+                done.append(windows)
+        if found is not None:
+            first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+            repeats = windows.where("fresh").join(first.hint("merge"), ["h1", "h2"]).where(F.col("first") < F.col("doc_id"))
+            spans = known.unionByName(repeats.select("doc_id", (F.col("start") * SPAN).alias("span")))
         marks = scratch.save(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "substring-marks")
-        self._finish([*self.runs, run])
-        scratch.drop(prints, known, probes, windows)
+        self._finish([*self.runs, run], texts)
+        scratch.drop(*done)
         return marks
 
     def compaction(self) -> DataFrame:
@@ -266,15 +304,22 @@ class FingerprintIndex:
         """Merges the two latest tables into one until fan_in are left."""
         while len(self.runs) > max(self.fan_in, 1):
             old = self.runs[-2:]
-            self._finish([*self.runs[:-2], self._write(self.compaction())])
+            self._finish([*self.runs[:-2], self._write(self.compaction(), "run", "fp", "dig")], self.texts)
             for name in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                scratch.remove(self.spark, f"{self.folder}/{name}")
+                self._remove(name)
 
-    def drop(self) -> None:
+    def close(self) -> None:
+        """Forgets the index and its runs but leaves the files of the stored texts to plans that read them."""
         for name in self.runs:
+            self._remove(name)
+        for name, _, _ in self.texts:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.texts = [], []
+
+    def drop(self) -> None:
+        for name in [*self.runs, *(name for name, _, _ in self.texts)]:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+        self.runs, self.texts = [], []
         scratch.remove(self.spark, self.folder)
 
 
@@ -289,13 +334,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     cuts = texts.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    index, marks = FingerprintIndex(spark, window, gram), []
+    index = FingerprintIndex(spark, window, gram)
+    # Rows without id or text have no marks; the others are read from the index, in the buckets of
+    # their batch, so that marks alone are shuffled. The result is lazy: stored texts outlast this call.
+    cut = docs.where("doc_id IS NULL OR text IS NULL").withColumn("spans", F.lit(None).cast("array<long>"))
     try:
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            upto = texts if high is None else texts.where(F.col("doc_id") <= high)
-            batch = upto if low is None else upto.where(F.col("doc_id") > low)
-            marks.append(index.add(batch, upto))
-    finally:
+            batch = texts if high is None else texts.where(F.col("doc_id") <= high)
+            before = len(index.texts)
+            marks = index.add(batch if low is None else batch.where(F.col("doc_id") > low))
+            for name, _, _ in index.texts[before:]:
+                cut = cut.unionByName(spark.table(name).join(marks.hint("merge"), "doc_id", "left"))
+    except BaseException:
         index.drop()
-    marked = docs.join(reduce(DataFrame.unionByName, marks), "doc_id", "left")
-    return marked.select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long")
+        raise
+    index.close()
+    return cut.mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long")

@@ -69,13 +69,13 @@ def test_substring_dedup(spark, batches):
     assert len(got) == len(rows)
 
 
-def exchanges(plan: str) -> list[int]:
+def exchanges(plan: str, table: str = "substring_run") -> list[int]:
     """How many exchanges stand above each scan of an index table in a plan's tree."""
     out, path = [], []
     for line in plan.splitlines():
         depth = len(line) - len(line.lstrip(" :+-*"))
         path = [x for x in path if x[0] < depth] + [(depth, "Exchange" in line)]
-        if "substring_run" in line:
+        if table in line:
             out.append(sum(e for _, e in path))
     return out
 
@@ -96,13 +96,25 @@ def test_substring_index_is_merged_compacted_and_opened_again(spark):
                 if len(index.runs) > 1:
                     plan = index.compaction()._jdf.queryExecution().executedPlan().toString()
                     assert exchanges(plan) == [0, 0], plan
-        marked |= {r.doc_id for r in index.add(batch, docs.where(F.col("doc_id") < high)).collect()}
+        marked |= {r.doc_id for r in index.add(batch).collect()}
         numbers.append(len(index.runs))
     assert numbers == [1, 2, 3, 3, 3]
-    for name in index.runs:
+    for name in [*index.runs, *(name for name, _, _ in index.texts)]:
         spark.sql(f"DROP TABLE {name}")
     again = substring.FingerprintIndex.open(spark, index.folder)
     assert [spark.table(x).count() for x in again.runs] and again.runs == index.runs
+    assert again.texts == index.texts and sum(spark.table(x).count() for x, _, _ in again.texts) == len(rows)
+    with pytest.raises(ValueError, match="above"):
+        again.add(docs.where("doc_id = 5"))
+    assert again.texts == index.texts and again.add(docs.where("doc_id < 0")).collect() == []
+    # Places of the first and of the last batch: the texts between them aren't read, no text is shuffled.
+    probes = spark.createDataFrame([(3, 0, False), (3, 1, True), (21, 0, True)], "doc_id long, span long, fresh boolean")
+    with substring._bucketwise(spark):
+        found = again.lookup(probes, again.texts)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(plan, "substring_texts") == [0, 0], plan
+    texts = dict(rows)
+    assert sorted((r.doc_id, r.text, sorted(r.spans), r.fresh) for r in found.collect()) == [(3, texts[3], [0, 1], True), (21, texts[21], [0], True)]
     again.drop()
     assert marked == {i for i, (_, n, _) in brute_words(rows, 10).items() if n}
 
