@@ -6,10 +6,11 @@ longest (host and path together) wins.
 
 For pages without a rule, personalised PageRank over host edges decides. Edges are the absolute
 links in the pages' HTML, counted by pair of hosts, and one edge each way between a host and its
-parent domain. Trust restarts at hosts in proportion to their pages that rules allow and follows
+parent domain, if that is no top-level domain: `com` says nothing of a host, and would be one key for
+half the web. Trust restarts at hosts in proportion to their pages that rules allow and follows
 edges; distrust restarts at hosts in proportion to their pages that rules block and follows edges
 backwards, for who links to bad hosts is suspect. Both are stepped until a round moves less than
-`tolerance` of the mass. A host's suspicion is distrust / (trust + distrust); it is blocked if that
+`tolerance` of the mass; a warning tells if they still do after the last round. A host's suspicion is distrust / (trust + distrust); it is blocked if that
 exceeds `threshold`. Hosts that neither reaches are allowed.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed; it has
@@ -19,6 +20,8 @@ count as pages. Rules with a null or empty host fit nothing. An empty table give
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +56,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     linked = linked.select("src", host_of(F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))).alias("dst"))
     links = linked.where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     names = pages.where("host <> ''").select("host").distinct().unionByName(links.select(F.col("dst").alias("host"))).distinct()
-    # Every host and all domains above it, each linked with the next.
+    # Every host and all domains above it but the top level, each linked with the next.
     labels = F.split("host", r"\.")
-    chain = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = names.select(chain.alias("chain")).where(F.size("chain") > 1)
     steps = steps.select(F.explode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("a"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("b"))).alias("s")).select("s.a", "s.b").distinct()
     tree = steps.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(steps.select(F.col("b").alias("src"), F.col("a").alias("dst"))).withColumn("weight", F.lit(1.0))
@@ -84,6 +87,8 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             scratch.drop(last)
         if (moved or 0) <= tolerance * (mass or 0):
             break
+    else:
+        warnings.warn(f"ranks still move after {most_rounds} rounds", stacklevel=2)
     return rank.select("host", "rank")
 
 

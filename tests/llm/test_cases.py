@@ -200,8 +200,8 @@ def test_url_filter_by_brute_force(spark, tmp_path):
                 edges[src, dst] += 1
                 names |= {dst}
     for x in {".".join(n.split(".")[i:]) for n in names for i in range(n.count(".") + 1)}:
-        if "." in x:
-            up = x.split(".", 1)[1]
+        up = x.partition(".")[2]
+        if "." in up:
             names |= {x, up}
             edges[x, up] += 1
             edges[up, x] += 1

@@ -325,6 +325,37 @@ def test_distrust_spreads_to_hosts_that_link_to_blocked_ones(spark):
     assert out[10] == "block" and out[11] == "allow"
 
 
+def test_links_decide_between_hosts_of_one_domain(spark):
+    """No host but the seeds has a page with a rule; what a host links to flips its verdict, and a
+    blocked host taints its neighbours of the same top level only by links."""
+    seeds = [(1, "http://good.org/", "<a href='http://friend.net/'>"), (2, "http://bad.net/", None)]
+    rules = [("good.org", "/", "allow"), ("bad.net", "/", "block")]
+
+    def verdict(link):
+        page = [(3, "http://friend.net/", f"<a href='http://{link}/'>"), (4, "http://other.net/", None)]
+        rows = spark.createDataFrame(seeds + page, "page_id long, url string, html string")
+        return {r.page_id: (r.verdict, r.trust > 0, r.distrust > 0) for r in urlgraph.judge(rows, rules).collect()}
+
+    assert verdict("good.org") == {1: ("allow", True, False), 2: ("block", False, True), 3: ("allow", True, False), 4: ("allow", False, False)}
+    # friend.net is trusted through one link (0.85 of a seed's share) and distrusted through one; its
+    # distrust also reaches good.org, which has the rule's verdict all the same.
+    linked = verdict("bad.net")
+    assert linked[3][1:] == (True, True) and linked[1] == ("allow", True, True) and linked[4] == ("allow", False, False)
+
+
+def test_rank_flips_the_verdict_of_a_host(spark):
+    """Two trusted links against one to a blocked host, then the same with the weights turned."""
+    def verdict(good, bad):
+        rows = [(1, "http://good.org/", "<a href='http://m.io/'>" * good + "<a href='http://n.io/'>" * (3 - good)), (2, "http://bad.net/", None)]
+        rows += [(3, "http://m.io/", "<a href='http://bad.net/'>"), (4, "http://k.io/", "<a href='http://bad.net/'>" * bad + "<a href='http://n.io/'>")]
+        out = urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [("good.org", "/", "allow"), ("bad.net", "/", "block")])
+        return {r.page_id: r for r in out.collect()}
+
+    much, little = verdict(3, 9)[3], verdict(1, 1)[3]
+    assert much.rule is None and little.rule is None
+    assert (much.verdict, little.verdict) == ("allow", "block"), (much, little)
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
