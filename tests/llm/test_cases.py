@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -124,9 +125,46 @@ def test_exact_dedup_goes_on_from_stored_state(spark, tmp_path):
     assert take(exact.duplicates(empty, state=state, corpus=both)) == []
 
 
-def test_exact_dedup_tells_collisions_apart(spark):
+def test_exact_dedup_opens_only_the_files_of_keepers(spark, tmp_path):
+    """Earlier keepers are compared byte for byte, from their own files; the others are not there any more."""
+    state, parts, take = str(tmp_path / "state"), {}, lambda out: sorted((r.doc_id, r.keep_id, r.group_size) for r in out.collect())
+    for k, rows in enumerate([[(1, "a"), (2, "b")], [(3, "c"), (4, "d")], [(5, "e")]]):
+        parts[k] = str(tmp_path / f"part {k} [{k}]")
+        frame(spark, rows).coalesce(1).write.parquet(parts[k])
+    for k in range(3):
+        exact.duplicates(spark.read.parquet(re.sub(r"([\[\]])", r"\\\1", parts[k])), state=state).collect()
+    opened = []
+
+    def read(files):
+        opened.extend(files)
+        return spark.read.parquet(*files)
+
+    new = frame(spark, [(9, "c"), (10, "x")])
+    assert take(exact.duplicates(new, state=state, read=read)) == [(9, 9, 2), (10, 10, 1)]
+    assert len(opened) == 1 and "part 1" in opened[0]
+    with pytest.raises(ValueError, match="no longer stand"):
+        exact.duplicates(frame(spark, [(11, "e")]), state=state, read=lambda files: new.where("doc_id < 0"))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_exact_dedup_sees_collisions_with_texts_of_earlier_calls(spark, tmp_path, few):
+    def save(rows, name):
+        frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    calls = [[(1, "aa"), (2, "b")], [(3, "cc"), (4, "b")], [(5, "cc"), (6, "aa"), (7, "ddd")], [(9, None)], [(8, "aa"), (10, "")]]
+    state, so_far, tables = str(tmp_path / "state"), [], None
+    for k, rows in enumerate(calls):
+        docs = save(rows, f"call{k}")
+        so_far, tables = so_far + rows, docs if tables is None else tables.unionByName(docs)
+        out = exact.duplicates(docs, state=state, corpus=tables, digest=lambda c: F.length(c).cast("long"), few=few)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out.collect()) == sizes_of(rows, so_far)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_exact_dedup_tells_collisions_apart(spark, few):
     rows = corpus(4) + [(100, "One two  three"), (101, "a")]
-    out = exact.duplicates(frame(spark, rows), digest=lambda c: F.length(c).cast("long") % 7)
+    out = exact.duplicates(frame(spark, rows), digest=lambda c: F.length(c).cast("long") % 7, few=few)
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out.collect()) == sizes_of(rows, rows)
 
 
