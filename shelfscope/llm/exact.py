@@ -57,13 +57,14 @@ def stream_states(own: DataFrame, state: str, per_trigger: int, few: int = FEW)
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    def latest() -> DataFrame:
-        seen = _among(spark.read.schema(f"{_STATE}, batch LONG").parquet(updates), mine, few)
-        return seen.groupBy("digest").agg(F.max_by(F.struct("keep_id", "n", "file"), "batch").alias("s")).select("digest", "s.*")
+    def latest(apart: bool) -> DataFrame:
+        seen = spark.read.schema(f"{_STATE}, batch LONG").parquet(updates)
+        return (_among(seen, mine, few) if apart else seen).groupBy("digest").agg(F.max_by(F.struct("keep_id", "n", "file"), "batch").alias("s")).select("digest", "s.*")
 
     mine = scratch.save(own.select("digest").distinct(), "exact-digests")
     spark.createDataFrame([], _STATE).write.mode("overwrite").parquet(f"{updates}/batch=-1")  # an empty feed runs no batch
-    earlier = scratch.save(latest(), "exact-earlier")
+    went_on = not spark.read.schema(_STATE).parquet(updates).isEmpty()  # a new state holds own's digests alone
+    earlier = scratch.save(latest(went_on), "exact-earlier")
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         spark.conf.set(k, v)
@@ -78,7 +79,7 @@ def stream_states(own: DataFrame, state: str, per_trigger: int, few: int = FEW)
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    states = scratch.save(latest(), "exact-states")
+    states = scratch.save(latest(went_on), "exact-states")
     scratch.drop(mine)
     return states, earlier
 
