@@ -127,10 +127,11 @@ def new_urls(spark, d):
 
 
 def resume_crawl(spark, d):
-    """Pages with what an earlier crawl stored of them."""
+    """Pages with what an earlier crawl stored of them; of a url stored more than once, the earliest."""
     day = lambda k: F.concat(F.lit("2024-01-0"), F.col("page_id") % k + 1)
     found = _found(spark, d, 0).withColumn("lastmod", F.when(F.col("page_id") % 7 != 0, day(3)))
-    state = _found(spark, d, 1).withColumn("lastmod", day(2)).withColumn("etag", F.concat(F.lit("e"), F.col("page_id"))).drop("page_id").dropDuplicates(["url"])
+    stored = F.struct(day(2).alias("lastmod"), F.col("page_id").alias("page_id"))
+    state = _found(spark, d, 1).groupBy("url").agg(F.min(stored).alias("s")).select("url", "s.lastmod", F.concat(F.lit("e"), "s.page_id").alias("etag"))
     return discovery.resumed(found, state).select("page_id", "lastmod", "stored_lastmod", "skip")
 
 

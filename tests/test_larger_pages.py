@@ -1,0 +1,18 @@
+"""What shows only over more pages than the small tables hold."""
+
+from __future__ import annotations
+
+import duckdb
+
+from shelfscope import plans
+from tests.test_queries import rows
+
+
+def test_resume_crawl_of_urls_stored_twice(spark, tmp_path):
+    urls = [f"https://a.example/{i % 41}" for i in range(410)]
+    spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(7, "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    out = plans.queries()["resume_crawl"](spark, str(tmp_path))
+    want = con.sql(plans.oracle_sql()["resume_crawl"])
+    assert rows(out.columns, [tuple(r) for r in out.collect()]) == rows(want.columns, want.fetchall())
