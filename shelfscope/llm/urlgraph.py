@@ -67,26 +67,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, every: int = 6) -> DataFrame:
     """(src, dst, weight) and seeds (host, seed) to (host, rank). The mass of hosts without edges out
-    is lost to the others. Every `every` rounds the ranks are saved and compared with the last saved
-    ones: at damping d, all later rounds move at most d / (1 - d) times what one round moves."""
+    is lost to the others. Each round is saved, and every `every` rounds compared with the one before:
+    at damping d, all later rounds move at most d / (1 - d) times what one round moves."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-edges")
-    rank = seeds = scratch.save(seeds.select("host", "seed", F.col("seed").alias("rank")), "rank-seeds")
-    for _ in range(0, most_rounds, every):
+    row = lambda host, rank, before: (F.col(host).alias("host"), rank.alias("rank"), before.alias("before"))
+    zero = F.lit(0.0)
+    restart = scratch.save(seeds.select(*row("host", (1 - damping) * F.col("seed"), zero)), "rank-seeds")
+    rank = scratch.save(seeds.select("host", F.col("seed").alias("rank")), "rank")
+    for n in range(1, -(-most_rounds // every) * every + 1):
+        # A host that has rank keeps some, so the rows of the round before add no host. A round is one
+        # small plan of its own: what many rounds take in one grows with their number in the driver.
         last = rank
-        for _ in range(every):
-            before = rank
-            moved = rank.join(shares, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-            rank = seeds.select("host", "seed").join(moved, F.col("host") == F.col("dst"), "full_outer").select(
-                F.coalesce("host", "dst").alias("host"), ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank")
-            )
-        step = before.select("host", F.col("rank").alias("previous"))
-        rank = scratch.save(rank.join(step, "host", "left").select("host", "rank", F.coalesce("previous", F.lit(0.0)).alias("previous")), "rank")
-        moved, mass = rank.agg(F.sum(F.abs(F.col("rank") - F.col("previous"))), F.sum("rank")).first()
-        if last is not seeds:
-            scratch.drop(last)
-        if (moved or 0) <= tolerance * (mass or 0):
-            break
+        moved = last.join(shares, F.col("host") == F.col("src")).select(*row("dst", damping * F.col("rank") * F.col("share"), zero))
+        both = moved.unionByName(restart).unionByName(last.select(*row("host", zero, F.col("rank"))))
+        rank = scratch.save(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        scratch.drop(last)
+        if n % every == 0:
+            step, mass = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.sum("rank")).first()
+            if (step or 0) <= tolerance * (mass or 0):
+                break
     else:
         warnings.warn(f"ranks still move after {most_rounds} rounds", stacklevel=2)
     return rank.select("host", "rank")
