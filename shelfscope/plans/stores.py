@@ -10,7 +10,7 @@ from shelfscope.functions import names, numbers, prices, times, urls
 from shelfscope.operators import analytics, discovery, ingest, matching, metrics, readpath
 from shelfscope.plans import catalogue, market
 from shelfscope.sources import extract, platforms, sinks
-from shelfscope.sources.tables import distinct_values, lookup, read
+from shelfscope.sources.tables import dealt, distinct_values, lookup, read
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -237,7 +237,7 @@ def _product_pages(spark, d):
         .when(k % 5 == 3, F.concat(F.lit('<meta property="og:title" content="'), name, F.lit('"><meta property="product:price:amount" content="'), price, F.lit('"><meta property="product:price:currency" content="AED">')))
         .otherwise(F.concat(F.lit("<p>Only text about "), name, F.lit("</p>")))
     )
-    return _part(spark, d).select(k.cast("string").alias("url"), html.alias("html"))
+    return dealt(_part(spark, d), "p_partkey").select(k.cast("string").alias("url"), html.alias("html"))
 
 
 def page_extraction(spark, d):

@@ -1,11 +1,13 @@
-"""Plans of steps that larger tables showed to be too dear: broadcasts of growing tables."""
+"""Plans of steps that larger tables showed to be too dear: broadcasts of growing tables, values computed more than once."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfscope import plans
 from shelfscope.operators import matching
 from shelfscope.plans import catalogue
+from shelfscope.sources import extract
 from tests.test_queries import DATA
 
 
@@ -17,3 +19,10 @@ def test_rows_are_matched_by_merge_joins(spark):
     mine, theirs = (matching.keyed(x) for x in catalogue._catalogues(spark, DATA))
     for df in (matching.exact_edges(mine, theirs), matching.unmatched(mine, mine.select(F.col("ord").alias("mine")), "mine")):
         assert "SortMergeJoin" in physical(df) and "BroadcastHashJoin" not in physical(df)
+
+
+def test_a_page_has_its_offers_found_once_and_parts_go_to_all_cores(spark):
+    out = extract.products(spark.createDataFrame([("u", "<h1>x</h1>")], "url string, html string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_min(") == 1
+    for name in ("page_extraction", "extracted_products"):
+        assert "REPARTITION_BY_NUM" in physical(plans.queries()[name](spark, DATA))
