@@ -203,7 +203,7 @@ def price_history_tail(spark, d):
 
 
 def price_range(spark, d):
-    h = _obs(spark, d).groupBy("store_id", "product_id")
+    h = observations(tables.by_product(read(spark, d, "lineitem"))).groupBy("store_id", "product_id")
     return h.agg(F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("n"), F.max_by("price", "t").alias("last"))
 
 
