@@ -34,3 +34,29 @@ def test_prices_in_text_are_whole_words_and_whole_numbers(spark):
     rows = [(t, f"<h1>Name</h1><p>{t}</p>") for t in texts]
     got = extract.products(spark.createDataFrame(rows, "t string, html string")).select("t", "product.price").collect()
     assert {r.t: r.price for r in got} == texts
+
+
+def test_signs_in_a_row_are_no_currency(spark):
+    texts = {
+        "shan*** onndan$$$ 1142126282388588$$$ thlywh": None,
+        "onorea$$$ 170.116.163.254### thhe": None,
+        '<b class="price">re$$$ 12</b>': None,
+        "total a€€ 12": None,
+        "a$$$ 12 and $13": 13.0,
+        "US$12": 12.0,
+        "was € 9.50": 9.5,
+        "$</i><b>$1,234</b>": 1234.0,
+    }
+    rows = [(t, f"<h1>Name</h1><p>{t}</p>") for t in texts]
+    got = extract.products(spark.createDataFrame(rows, "t string, html string")).select("t", "product.price").collect()
+    assert {r.t: r.price for r in got} == texts
+
+
+def test_page_products_where_a_card_number_follows_signs(spark, tmp_path):
+    """Page 420 of sf0.1 was the one with a product."""
+    con = duckdb.connect()
+    con.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.1/pages.parquet' WHERE page_id BETWEEN 400 AND 440")
+    con.sql(f"COPY (FROM pages) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    out = plans.queries()["page_products"](spark, str(tmp_path))
+    want = con.sql(plans.oracle_sql()["page_products"])
+    assert rows(out.columns, [tuple(r) for r in out.collect()]) == rows(want.columns, want.fetchall())
