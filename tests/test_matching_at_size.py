@@ -151,3 +151,21 @@ def test_limits_can_be_lifted(spark):
     assert matching.match(one, two, pair_limit=None, trigrams=False).count() == 260
     assert matching.match(one, two, pair_limit=0, gram_pairs=10).count() == 0
     assert matching.match(one, two, pair_limit=0, gram_pairs=None, gram_most=None, gram_top=None).where(F.col("method") == "trigram").count() == 260
+
+
+def test_copies_meet_by_rare_trigrams_once_for_a_pair_of_names(spark):
+    """A row for each pair of names and not of rows, and the greedy loop's pairs, with ends that don't pass."""
+    rng = random.Random(5)
+    some = ["steel mug blue", "steel mug", "mug blue steel x", "blue steel", "travel lamp", "travel lamps", "lamp"]
+    rows = lambda n: [(i, rng.choice(some), "", "") for i in range(1, n + 1)]
+    mine, theirs = rows(60), rows(60)
+    one, two = (catalogue(spark, [(o, n, s, g, "") for o, n, s, g in side]) for side in (mine, theirs))
+    least = matching.gram_edges(matching.keyed(one), matching.keyed(two), most_pairs=None)
+    pairs = least.collect()
+    assert 0 < len(pairs) <= len(some) ** 2 and {r.passes for r in pairs} == {True, False}
+    known = {(r.a, r.b): r for r in pairs}
+    edges = [(m, t, [*known[a, b]["rank"], float(t)], known[a, b].passes) for m, a, *_ in mine for t, b, *_ in theirs if (a, b) in known]
+    got = matching.match(one, two, pair_limit=0, gram_pairs=None).collect()
+    assert sorted((r.mine, r.theirs) for r in got) == greedy(edges)
+    whole = lambda most: matching.gram_edges(matching.keyed(one), matching.keyed(two), most_pairs=most).count()
+    assert whole(len(edges)) == len(pairs) and whole(len(edges) - 1) == 0
