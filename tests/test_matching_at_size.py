@@ -143,6 +143,19 @@ def test_a_large_component_of_names_is_unfolded(spark):
         assert sorted((r.mine, r.theirs) for r in assign.assigned_classes(mine, theirs, table, most=most).collect()) == want
 
 
+def test_a_large_component_of_copies_is_solved_in_portions(spark, monkeypatch):
+    """No row for each pair of rows, of which there would be the square of the copies."""
+    monkeypatch.setattr(assign, "assigned", lambda edges, by: edges.select("mine", "theirs", "method", "confidence") if edges.isEmpty() else pytest.fail("unfolded"))
+    rng = random.Random(4)
+    rows = lambda c: spark.createDataFrame([(i, rng.choice("pqrs")) for i in range(80)], f"ord long, {c} string")
+    mine, theirs = rows("a"), rows("b")
+    edges = [(a, b, [float(rng.randint(0, 1))], "m", 90, rng.random() < 0.8) for a in "pqrs" for b in "pqrs" if rng.random() < 0.8]
+    table = spark.createDataFrame(edges, "a string, b string, rank array<double>, method string, confidence long, passes boolean")
+    one, two = ([(r.ord, r[c]) for r in df.collect()] for df, c in ((mine, "a"), (theirs, "b")))
+    want = greedy([(m, t, [*rank, t], passes) for m, x in one for t, y in two for a, b, rank, _, _, passes in edges if (a, b) == (x, y)])
+    assert sorted((r.mine, r.theirs) for r in assign.assigned_classes(mine, theirs, table, most=90).collect()) == want
+
+
 def test_limits_can_be_lifted(spark):
     """More pairs than the defaults allow: the tiers are skipped with them and run without."""
     rows = [(i, f"item number {i:04d}", "", "", "") for i in range(260)]
